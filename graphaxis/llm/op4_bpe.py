@@ -305,3 +305,17 @@ def digests(docs: DataFrame, ranks: str) -> DataFrame:
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
         F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"),
     )
+
+
+def encoded_with_digests(docs: DataFrame, ranks: str) -> DataFrame:
+    """Per row the ids with their offsets, their number, and the digests of ids and round trip."""
+    ids = encode(docs, ranks)
+    back = decode(ids, ranks, keep=("doc_id", "ids", "ends"))
+    return back.select(
+        "doc_id",
+        "ids",
+        "ends",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
