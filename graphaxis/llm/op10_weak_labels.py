@@ -27,7 +27,7 @@ MAX_TEXTS = 4_000
 BUCKETS = 1 << 16
 GRAM = 4
 RIDGE = 1e-4
-ROUNDS = 300
+ROUNDS = 150
 KEEP = 0.5
 ABSTAIN, BAD, GOOD = 0, 1, 2
 
@@ -41,6 +41,7 @@ def _set(chars: str) -> np.ndarray:
 _SYMBOL, _MARK = _set("#*$%&|<>"), _set("!")
 _UPPER, _LOWER = _set("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _set("abcdefghijklmnopqrstuvwxyz")
 _STOP = _set(".?!\"')")
+_ODD = _set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
 def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -80,8 +81,11 @@ def scan(texts: pa.Array) -> Scan:
     symbols = _per_text(_SYMBOL[data], offsets) / some
     marks = _per_text(_MARK[data], offsets) / some
     upper, lower = _per_text(_UPPER[data], offsets), _per_text(_LOWER[data], offsets)
+    wide = _per_text((data > 127).astype(np.int64), offsets)
     shout = upper / np.maximum(upper + lower, 1)
-    shape = _per_text(ends - starts, first) / some
+    letters = _per_text(ends - starts, first)
+    shape = letters / some
+    odd = _per_text(_ODD[data], offsets) / np.maximum(letters, 1)
     closed = np.zeros(len(data), dtype=np.int64)
     line_end = np.append(data[1:] == 10, True) if len(data) else np.zeros(0, dtype=bool)
     if len(data):
@@ -90,14 +94,15 @@ def scan(texts: pa.Array) -> Scan:
         closed = _STOP[data] * line_end
     lines = _per_text(line_end.astype(np.int64), offsets)
     sentences = _per_text(closed, offsets) / np.maximum(lines, 1)
+    none = np.zeros(len(n), dtype=bool)  # most labellers know junk only, and abstain elsewhere
     judged = [
-        (symbols > 0.2, symbols < 0.02),
-        (shout > 0.5, shout < 0.2),
-        (marks > 0.3, marks < 0.05),
-        (twins / some > 0.15, twins / some < 0.02),
-        (repeats > 0.3, repeats < 0.05),
-        (n < 5, n >= 40),
-        ((shape < 2.5) | (shape > 12), (shape > 3.5) & (shape < 9)),
+        (symbols > 0.15, none),
+        (shout > 0.5, none),
+        (marks > 0.3, none),
+        (twins / some > 0.15, none),
+        (repeats > 0.3, none),
+        (upper + lower + wide < 0.3 * letters, n >= 40),
+        ((n >= 8) & (odd > 0.1) | (shape > 15), (odd < 0.05) & (shape < 9)),
         (sentences < 0.2, sentences > 0.7),
     ]
     votes = np.column_stack([np.where(bad, BAD, np.where(good, GOOD, ABSTAIN)) for bad, good in judged])
@@ -127,30 +132,42 @@ def pattern_counts(docs: DataFrame, text: str = "text") -> dict[int, int]:
     return dict(zip(counted.column("pattern").to_pylist(), counted.column("k").to_pylist()))
 
 
+#: Beliefs before any data: the chance that a labeller votes bad on a good and on a bad text, and
+#: that one which can vote good does so. They weigh as much as this share of all texts. Such a model
+#: needs them: kinds of junk hardly overlap, so votes alone don't say which side is which.
+BELIEF_BAD, BELIEF_GOOD = {GOOD: 0.003, BAD: 0.3}, {GOOD: 0.7, BAD: 0.5}
+BELIEF_SHARE = 0.5
+
+
 def estimate(counts: dict[int, int]) -> dict[int, float]:
-    """P(good) for each pattern of votes, by expectation maximisation over labeller accuracies."""
+    """P(good) for each pattern of votes, by expectation maximisation over vote probabilities.
+
+    The E step weighs the votes of a pattern, labellers independent given the class; the M step
+    counts each labeller's votes within each class.
+    """
     if not counts:
         return {}
     patterns = np.array(sorted(counts))
     weight = np.array([counts[p] for p in patterns.tolist()], dtype=np.float64)
     votes = (patterns[:, None] // _BASE3) % 3
-    good, bad = (votes == GOOD).sum(axis=1), (votes == BAD).sum(axis=1)
-    p = (good + 1) / (good + bad + 2) ** 1.0
-    p = np.where(bad >= 2, np.minimum(p, 0.3), p)  # labellers err more often by passing junk
-    for _ in range(200):
-        total_good = (weight * p).sum()
-        prior = (total_good + 1) / (weight.sum() + 2)
-        logs = np.full(len(p), np.log(prior) - np.log(1 - prior))
+    speaks = [(votes[:, j] == GOOD).any() for j in range(N_LABELLERS)]
+    belief = np.empty((2, N_LABELLERS, 3))
+    for c, kind in enumerate((BAD, GOOD)):
         for j in range(N_LABELLERS):
-            for vote in (ABSTAIN, BAD, GOOD):
-                cast = votes[:, j] == vote
-                in_good = ((weight * p)[cast].sum() + 1) / (total_good + 3)
-                in_bad = ((weight * (1 - p))[cast].sum() + 1) / (weight.sum() - total_good + 3)
-                logs[cast] += np.log(in_good) - np.log(in_bad)
+            good = BELIEF_GOOD[kind] * (1 - BELIEF_BAD[kind]) if speaks[j] else 1e-9
+            belief[c, j, [ABSTAIN, BAD, GOOD]] = 1 - BELIEF_BAD[kind] - good, BELIEF_BAD[kind], good
+    chance, prior, p = belief, 0.8, np.full(len(patterns), 0.5)
+    strength = BELIEF_SHARE * weight.sum()
+    for _ in range(200):
+        logs = np.log(prior / (1 - prior)) + sum(np.log(chance[1, j, votes[:, j]]) - np.log(chance[0, j, votes[:, j]]) for j in range(N_LABELLERS))
         new = 1 / (1 + np.exp(-np.clip(logs, -30, 30)))
-        if np.abs(new - p).max() < 1e-6:
+        done, p = np.abs(new - p).max() < 1e-9, new
+        if done:
             break
-        p = new
+        prior = float(np.clip((weight * p).sum() / weight.sum(), 0.05, 0.95))
+        own = np.stack([weight * (1 - p), weight * p])
+        seen = np.stack([[np.bincount(votes[:, j], weights=own[c], minlength=3) for j in range(N_LABELLERS)] for c in range(2)])
+        chance = (seen + strength * belief) / (own.sum(axis=1)[:, None, None] + strength)
     return dict(zip(patterns.tolist(), p.tolist()))
 
 
@@ -227,7 +244,7 @@ def fit(row: np.ndarray, idx: np.ndarray, share: np.ndarray, twins: np.ndarray,
         g = np.concatenate([np.bincount(idx, weights=error[row] * x, minlength=BUCKETS), [(error * twins).sum() * 10, error.sum()]])
         g[:-1] += RIDGE * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta = theta - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Scorer(theta[:-2] * SCALE, float(theta[-2] * 10), float(theta[-1]))
 
 

@@ -1,6 +1,6 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse word features.
 
-Severity has three grades: 0 for texts labelled clean; toxic texts are 1 or 2 as their share of
+Severity has three grades: 0 for texts labelled clean; toxic texts are 1 or 2 as their number of
 words that tell toxic from clean training texts lies up to or over the median of toxic texts.
 P(grade <= k) = sigmoid(threshold_k - w . x) with one weight vector for all thresholds, so a word
 that raises one grade raises all. The result is the expected grade, and toxic if P(grade >= 1)
@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 from graphaxis.llm.textscan import chunks, raw_bytes, runs, small_batches, span_hashes, text_column
 
 MAX_TEXTS = 12_000
-#: A word is a feature if its log odds towards toxic texts have at least this z-score.
+#: A word is a feature if its lean towards toxic texts has at least this z-score
+#: (signed root of the likelihood ratio).
 LEAST_Z = 5.0
 LEAST_TEXTS = 5
 MAX_FEATURES = 5_000
 GRADES = 3
-RIDGE = 1e-3
+RIDGE = 1e-5
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[ord("a") : ord("z") + 1] = True
 _LETTER[128:] = True
@@ -61,8 +62,8 @@ def strength(counts: np.ndarray) -> np.ndarray:
     return np.log1p(counts)
 
 
-def fit(word: np.ndarray, row: np.ndarray, count: np.ndarray, total: np.ndarray, toxic: np.ndarray) -> Ordinal:
-    """``word``, ``row``, ``count``: sparse entries; ``total``, ``toxic``: words and label by row."""
+def fit(word: np.ndarray, row: np.ndarray, count: np.ndarray, toxic: np.ndarray) -> Ordinal:
+    """``word``, ``row``, ``count``: sparse entries; ``toxic``: the label by row."""
     none = Ordinal(np.zeros(0, dtype=np.int64), np.zeros(0), np.full(GRADES - 1, 50.0))
     if not len(word) or toxic.all() or not toxic.any():
         return none
@@ -70,11 +71,15 @@ def fit(word: np.ndarray, row: np.ndarray, count: np.ndarray, total: np.ndarray,
     texts = np.bincount(at, minlength=len(names))
     bad = np.bincount(at, weights=toxic[row], minlength=len(names))
     n_bad, n_good = toxic.sum(), (~toxic).sum()
-    # Log odds of a word's presence, with a prior of the corpus's own rate.
-    prior = texts / len(toxic)
-    odds_bad = (bad + prior) / (n_bad - bad + 1 - prior + 1e-9)
-    odds_good = (texts - bad + prior) / (n_good - texts + bad + 1 - prior + 1e-9)
-    z = (np.log(odds_bad) - np.log(odds_good)) / np.sqrt(1 / (bad + prior) + 1 / (texts - bad + prior))
+    # Signed root of the likelihood ratio that a word's presence depends on the label.
+    def term(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return seen * np.log(np.where(seen > 0, seen, 1) / np.maximum(expected, 1e-12))
+
+    n_bad, n = toxic.sum(), len(toxic)
+    good = texts - bad
+    ratio = term(bad, texts * n_bad / n) + term(good, texts * (n - n_bad) / n)
+    ratio += term(n_bad - bad, (n - texts) * n_bad / n) + term(n - n_bad - good, (n - texts) * (n - n_bad) / n)
+    z = np.sqrt(np.maximum(2 * ratio, 0)) * np.where(bad > texts * n_bad / n, 1, -1)
     tells = np.flatnonzero((z >= LEAST_Z) & (texts >= LEAST_TEXTS))
     tells = np.sort(tells[np.argsort(-z[tells], kind="stable")][:MAX_FEATURES])
     if not len(tells):
@@ -84,9 +89,8 @@ def fit(word: np.ndarray, row: np.ndarray, count: np.ndarray, total: np.ndarray,
     use = column[at] >= 0
     j, i, x = column[at[use]], row[use], strength(count[use].astype(np.float64))
     hits = np.bincount(i, weights=count[use], minlength=len(toxic))
-    share = hits / np.maximum(total, 1)
-    middle = np.median(share[toxic])
-    grade = np.where(toxic, np.where(share > middle, 2, 1), 0)
+    middle = np.median(hits[toxic])
+    grade = np.where(toxic, np.where(hits > middle, 2, 1), 0)
     return _descend(names[tells], i, j, x, grade, len(toxic))
 
 
@@ -99,7 +103,7 @@ def _descend(features: np.ndarray, i: np.ndarray, j: np.ndarray, x: np.ndarray,
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     p = len(features)
     sigmoid = lambda t: 1 / (1 + np.exp(-np.clip(t, -50, 50)))
-    for step in range(1, 401):
+    for step in range(1, 601):
         w, gaps = theta[:p], np.exp(theta[p + 1 :])
         cuts = theta[p] + np.concatenate([[0.0], np.cumsum(gaps)])
         linear = np.bincount(i, weights=w[j] * x, minlength=n)
@@ -133,15 +137,15 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
                 edge = pa.array(np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]), pa.int32())
                 values, counts = (np.concatenate([f[k] for f in found]) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [labels.slice(a, b - a), pa.array(np.diff(first)), pa.ListArray.from_arrays(edge, pa.array(values)), pa.ListArray.from_arrays(edge, pa.array(counts.astype(np.int32)))],
-                    names=["toxic", "total", "words", "counts"],
+                    [labels.slice(a, b - a), pa.ListArray.from_arrays(edge, pa.array(values)), pa.ListArray.from_arrays(edge, pa.array(counts.astype(np.int32)))],
+                    names=["toxic", "words", "counts"],
                 )
 
-    got = sample.mapInArrow(count, "toxic int, total long, words array<long>, counts array<int>").toArrow()
+    got = sample.mapInArrow(count, "toxic int, words array<long>, counts array<int>").toArrow()
     flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy() if got.num_rows else np.zeros(0, dtype=np.int64)
     lengths = got.column("words").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if got.num_rows else np.zeros(0, dtype=np.int64)
     row = np.repeat(np.arange(got.num_rows), lengths)
-    return fit(flat("words"), row, flat("counts"), got.column("total").to_numpy(), got.column("toxic").to_numpy() > 0)
+    return fit(flat("words"), row, flat("counts"), got.column("toxic").to_numpy() > 0)
 
 
 def score(docs: DataFrame, model: Ordinal, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
