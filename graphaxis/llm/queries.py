@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphaxis.llm import op1_minhash, op2_lines, op3_toxicity, op4_bpe, op5_mixing, op6_quality, op7_embeddings, op9_language, op10_weak_labels
+from graphaxis.llm import op1_minhash, op2_lines, op3_toxicity, op4_bpe, op5_mixing, op6_quality, op7_embeddings, op8_secrets, op9_language, op10_weak_labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,10 @@ def op7_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_embeddings.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", op9_language.held_out(F.col("doc_id")))
     return op9_language.identify(docs, op9_language.learn(docs), keep=("doc_id", "held_out"))
@@ -65,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op5_mixing_sources": op5_mixing_sources,
     "op6_quality_rules": op6_quality_rules,
     "op7_embedding_forest": op7_embedding_forest,
+    "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
 }
