@@ -106,7 +106,8 @@ def slots(sources: DataFrame) -> DataFrame:
     total = F.broadcast(sources.agg(F.greatest(F.ceil(F.sum("slots") / SHARD_SLOTS).cast("long"), F.lit(1)).alias("shards")))  # one row
     used = sources.where("slots > 0").select("sid", "blocks", "slots", "side", "other")
     runs = used.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(CHUNK_SLOTS).cast("long"))))
-    runs = runs.join(total).repartition("sid", "lo")
+    # A stated number of partitions: these few rows grow many-fold, and must not be coalesced.
+    runs = runs.join(total).repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "lo")
     each = runs.withColumn("k", F.explode(F.sequence(F.col("lo"), F.least(F.col("lo") + CHUNK_SLOTS, F.col("slots")) - 1)))
     each = each.withColumn("pass", F.floor(F.col("k") / F.col("blocks")).cast("long")).withColumn("x", F.col("k") % F.col("blocks"))
     each = _feistel(each, "x", "y")
@@ -135,13 +136,17 @@ def placed_rows(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return known.withColumn("inside", inside).join(heads, ["sid", "bucket"]).withColumn("start", F.col("before") + F.col("inside")).drop("inside", "before", "bucket")
 
 
+# Joins with slots are hinted: the optimiser doesn't see that their few source rows were exploded,
+# and would broadcast them.
+
+
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Every row's id, ``size``, its source's size and target, and the words the mix takes."""
     rows = measured(docs, id, text, source)
     sources = targets(rows)
     placed = materialise(placed_rows(rows, sources), "placed")
     takes = slots(sources).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = pieces(placed).join(takes, ["sid", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    taken = pieces(placed).join(takes.hint("merge"), ["sid", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     return placed.join(taken, "row", "left").select(
         F.col("id").alias(id), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("source").alias("mixed_source")
     )
@@ -156,7 +161,7 @@ def materialised_mix(docs: DataFrame, id: str = "doc_id", text: str = "text", so
     rows = measured(docs, id, text, source, tuple(docs.columns))
     sources = targets(rows)
     placed = materialise(placed_rows(rows, sources), "placed")
-    hits = pieces(placed).join(slots(sources).select("sid", "block", "pass"), ["sid", "block"])
+    hits = pieces(placed).join(slots(sources).select("sid", "block", "pass").hint("merge"), ["sid", "block"])
     parts = hits.groupBy("row", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts"), F.sum("words").alias("words"))
     joined = rows.select("row", "size", *[F.col(f"c_{c}") for c in docs.columns]).join(parts, "row")
     whole = F.col("words") == F.col("size")
