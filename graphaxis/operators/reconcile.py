@@ -7,7 +7,7 @@ each axis. Nothing is ever dropped by a limit: what is not known makes a record
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -252,15 +252,18 @@ def dynamic_records(facts: Facts, dynamic: DataFrame, scopes: DataFrame) -> Data
 
 
 def reconcile(facts: Facts, max_finite: int = dynamics.MAX_FINITE_KEYS, resolved: bindings.Resolved | None = None) -> Records:
-    dynamic = dynamics.validate(facts.dynamic_edges, facts.candidates, facts.pattern_domains, max_finite)
+    # Each of these feeds several joins below; kept (spilling to disk) they are computed once.
+    facts = replace(facts, candidates=facts.candidates.persist(), inventory=facts.inventory.persist())
+    dynamic = dynamics.validate(facts.dynamic_edges, facts.candidates, facts.pattern_domains, max_finite).persist()
     resolved = resolved or bindings.resolve(facts.candidates)
-    wanted = demands(facts, dynamic)
+    resolved = bindings.Resolved(resolved.partitions.persist(), resolved.selections.persist())
+    wanted = demands(facts, dynamic).persist()
     listed = facts.inventory.select(F.explode("declared_scopes").alias("scope"), F.struct("snapshot_ord", "ord").alias("at"))
     scopes = coverage.scopes_of([
         wanted.select("scope", F.col("o.ord").alias("ord")), dynamic.select("scope", "ord"), facts.candidates.select("scope", "ord"),
         facts.target_statuses.select("scope", "ord"), listed.select("scope", F.col("at.ord").alias("ord")),
     ])
-    covered = coverage.scope_coverage(scopes, facts.gaps)
+    covered = coverage.scope_coverage(scopes, facts.gaps).persist()
     strong = coverage.strong_scopes(covered, facts.closed_scopes, facts.inputs, facts.inventory)
     return Records(
         demand_records(facts, wanted, resolved, dynamic, strong),

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from graphaxis.functions import predicates as P
 from graphaxis.functions import safety
-from graphaxis.operators import bindings, coverage, dynamics, reconcile
-from graphaxis.plans import derive
+from graphaxis.operators import bindings, reconcile
+from graphaxis.plans import derive, report
+from graphaxis.sources import discovery, manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,7 +71,7 @@ direct AS (SELECT 'REGION_' || region AS unit, phase, stage, 'PART_' || part AS
     CASE WHEN part % 4 = 0 THEN 3 ELSE 4 END AS t, 'ref-' || part AS ref FROM reads WHERE part % 97 <> 0 AND part % 23 <> 0),
 ev AS (SELECT DISTINCT user_id % 5 AS region, event_type, length(event_type) AS n FROM events),
 kinds AS (SELECT *, 'REGION_' || region AS unit, CASE WHEN n % 3 = 2 AND region = 3 THEN 'unbounded' WHEN n % 3 = 1 THEN 'pattern' ELSE 'finite' END AS kind FROM ev),
-reach AS (SELECT region, event_type, list(DISTINCT name) AS names FROM kinds k JOIN cand c ON c.unit = k.unit AND c.phase = 'runtime' AND c.stage IN ('A', 'all')
+reach AS (SELECT k.region AS region, event_type, list(DISTINCT name) AS names FROM kinds k JOIN cand c ON c.unit = k.unit AND c.phase = 'runtime' AND c.stage IN ('A', 'all')
     AND starts_with(name, 'PART_1' || (k.region + 2)) WHERE kind = 'pattern' GROUP BY ALL),
 valid AS (SELECT k.*, coalesce(len(names), 0) > 64 AS over, CASE WHEN kind = 'finite' THEN ['PART_' || (region * 10 + n * 100 + 1), 'PART_' || (region * 10 + n * 100 + 2), 'PART_' || (region * 10 + n * 100 + 3)]
     WHEN kind = 'pattern' AND coalesce(len(names), 0) <= 64 THEN coalesce(names, []) ELSE [] END AS keys FROM kinds k LEFT JOIN reach USING (region, event_type)),
@@ -263,3 +264,73 @@ def a6_shared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = derive.read(spark, sf_dir).where("part % 97 <> 0").groupBy("region", "part").agg(F.count_distinct("nation").alias("k"))
     shared = reads.join(members, "region").where("k = n and n >= 2")
     return shared.select(F.concat(F.lit("REGION_"), F.col("region").cast("string")).alias("deployment"), F.concat(F.lit("PART_"), F.col("part").cast("string")).alias("name"))
+
+
+# --- Reports -------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH base AS ({_DEMAND_RECORDS}),
+d AS (SELECT name, unit || '/' || phase || '/' || stage AS at, disposition FROM base)
+SELECT 'env:' || name AS group_key, count(*) AS n_scopes, count(*) > 1 AS shared,
+  CASE max(CASE disposition WHEN 'inconclusive' THEN 2 WHEN 'review' THEN 1 ELSE 0 END) WHEN 2 THEN 'inconclusive' WHEN 1 THEN 'review' ELSE 'informational' END AS disposition
+FROM d GROUP BY name
+""")
+def a8_report_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of demand by key, shared over scopes, with their worst disposition."""
+    r = reconcile.reconcile(derive.facts(spark, sf_dir))
+    return report.groups(r.demand, r.inventory.limit(0)).select("group_key", "n_scopes", "shared", "disposition")
+
+
+@query(f"""
+WITH base AS ({_DEMAND_RECORDS})
+SELECT CASE WHEN inventory = 'missing' THEN 'SRI002' ELSE 'SRI003' END AS rule_id, unit, count(*) AS n
+FROM base WHERE inventory = 'missing' OR disposition = 'inconclusive' GROUP BY ALL
+""")
+def c13_sarif_demand_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = reconcile.reconcile(derive.facts(spark, sf_dir))
+    found = report.sarif_results(r.demand, r.inventory.limit(0), r.dynamic.limit(0))
+    return found.groupBy("rule_id", "unit").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- Sources -------------------------------------------------------------------------------
+
+
+@query("""
+WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') || CASE page_id % 5 WHEN 0 THEN '/a.ts' WHEN 1 THEN '/b.min.js' WHEN 2 THEN '/node_modules/c.JS' WHEN 3 THEN '/d.d.ts' ELSE '/e.py' END AS path FROM pages)
+SELECT page_id, path, CASE WHEN page_id % 5 = 2 THEN 'EXCLUDED_DIRECTORY' WHEN page_id % 5 IN (1, 3) THEN 'GENERATED' WHEN page_id % 5 = 4 THEN 'UNSUPPORTED_FILE' END AS code,
+  CASE page_id % 5 WHEN 0 THEN 'ts' WHEN 1 THEN 'js' WHEN 2 THEN 'js' WHEN 3 THEN 'ts' END AS language FROM p
+""")
+def s2_s3_s5_file_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id") % 5
+    name = F.when(n == 0, "/a.ts").when(n == 1, "/b.min.js").when(n == 2, "/node_modules/c.JS").when(n == 3, "/d.d.ts").otherwise("/e.py")
+    path = F.concat(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", ""), name)
+    listing = derive.table(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.lit(1).alias("bytes"), F.lit(1).alias("depth"), F.lit("file").alias("kind"), F.lit(False).alias("ignored"))
+    return discovery.classify(listing).select("page_id", "path", "code", "language")
+
+
+@query("""
+WITH o AS (SELECT r.r_regionkey, p_partkey AS ord, p_size * 1000 AS bytes FROM part, region r WHERE p_partkey % 5 = r_regionkey),
+s AS (SELECT *, count(*) OVER w AS n, sum(bytes) OVER w AS b FROM o WINDOW w AS (PARTITION BY r_regionkey ORDER BY ord))
+SELECT 'root-' || r_regionkey AS root_id, count(*) FILTER (n <= 300 AND b <= 5000000) AS n_in, count(*) FILTER (NOT (n <= 300 AND b <= 5000000)) AS n_out FROM s GROUP BY r_regionkey
+""")
+def b1_discovery_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first file over the budget stops its root; nothing is sampled."""
+    files = derive.table(spark, sf_dir, "part").select(
+        F.concat(F.lit("root-"), (F.col("p_partkey") % 5).cast("string")).alias("root_id"), F.col("p_partkey").alias("ord"), (F.col("p_size") * 1000).cast("long").alias("bytes"), F.lit(None).cast("string").alias("code")
+    )
+    judged = discovery.within_budget(files, 300, 5_000_000)
+    return judged.groupBy("root_id").agg(F.count_if(F.col("code").isNull()).alias("n_in"), F.count_if(F.col("code").isNotNull()).alias("n_out"))
+
+
+@query("""
+SELECT 'r' || a.o_custkey AS outer_id, 'r' || b.o_custkey AS inner_id, 'ambiguous-repository-root' AS code
+FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 10 = 0) a JOIN (SELECT DISTINCT o_custkey FROM orders) b ON b.o_custkey // 10 = a.o_custkey // 10 AND b.o_custkey % 10 <> 0
+""")
+def d7_root_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots /w/<tens> and /w/<tens>/<unit>: every tenth repository contains its nine neighbours."""
+    c = F.col("o_custkey")
+    tens = F.concat(F.lit("/w/"), F.floor(c / 10).cast("string"))
+    root = F.when(c % 10 == 0, tens).otherwise(F.concat(tens, F.lit("/"), (c % 10).cast("string")))
+    roots = derive.table(spark, sf_dir, "orders").select("o_custkey").distinct().select(F.concat(F.lit("r"), c.cast("string")).alias("id"), root.alias("root"))
+    return manifest.root_conflicts(roots)
