@@ -13,6 +13,7 @@ rows each give a row; rows with a null id are scored but never learned from.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -128,13 +129,20 @@ def learn(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     return counts
 
 
+_models: dict[str, Backoff] = {}
+
+
 def identify(docs: DataFrame, counts: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, ``lang_pred`` and ``score``, the probability of that language."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # of a bounded sample
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Backoff(shared.value)
+        if name not in _models:  # built once in each worker, not in each task
+            _models.clear()
+            _models[name] = Backoff(shared.value)
+        model = _models[name]
         for batch in batches:
             names, scores = [], []
             for text in batch.column(len(keep)).to_pylist():
