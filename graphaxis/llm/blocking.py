@@ -22,93 +22,92 @@ from graphaxis.llm.components import components
 from graphaxis.llm.scratch import materialise
 
 SMALL = 32
-#: Takes two arrays of guards, gives which pairs may pass.
+#: An item's guard is two longs; this takes those of two items side by side, as arrays of two rows,
+#: and gives which pairs may pass.
 Guard = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def _runs(close: Guard) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def emit(u: np.ndarray, v: np.ndarray, key: np.ndarray, guard: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, key, guard)], names=["u", "v", "key", "guard"])
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, dtype=np.int64)
-        rest = (none, none, none)  # the last run may go on in the next batch
-        long_key: int | None = None
-        lead = (0, 0)
+        none = np.zeros((4, 0), dtype=np.int64)  # key, node and guards of the last run, which may go on
+        rest, long_key, lead = none, None, none
         for batch in batches:
-            key, node, guard = (np.concatenate([r, batch.column(i).to_numpy()]) for i, r in enumerate(rest))
-            if long_key is not None and len(key):
-                n = int(np.searchsorted(key, long_key, "right"))
-                yield from tail(key[:n], node[:n], guard[:n], lead, emit, close)
-                key, node, guard = key[n:], node[n:], guard[n:]
-                if not len(key):
-                    rest = (none, none, none)
+            rows = np.concatenate([rest, np.stack([batch.column(i).to_numpy() for i in range(4)])], axis=1)
+            if long_key is not None and rows.shape[1]:
+                n = int(np.searchsorted(rows[0], long_key, "right"))
+                yield from _part_of_long(rows[:, :n], lead, close)
+                rows = rows[:, n:]
+                if not rows.shape[1]:
+                    rest = none
                     continue
                 long_key = None
-            start = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            yield from whole(key[:start], node[:start], guard[:start], emit, close)
-            rest = (key[start:], node[start:], guard[start:])
-            if len(rest[0]) > SMALL:
-                long_key, lead = int(rest[0][0]), (int(rest[1][0]), int(rest[2][0]))
-                yield from tail(*rest, lead, emit, close)
-                rest = (none, none, none)
-        yield from whole(*rest, emit, close)
+            start = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
+            yield from _whole(rows[:, :start], close)
+            rest = rows[:, start:]
+            if rest.shape[1] > SMALL:
+                long_key, lead = int(rest[0, 0]), rest[:, :1]
+                yield from _part_of_long(rest, lead, close)
+                rest = none
+        yield from _whole(rest, close)
 
     return scan
 
 
-def tail(key, node, guard, lead, emit, close) -> Iterator[pa.RecordBatch]:
-    """Part of a long run: its memberships, and its items paired with the run's first."""
-    if not len(key):
+def _emit(u: np.ndarray, v: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, rows[0], rows[2], rows[3])], names=["u", "v", "key", "g", "h"])
+
+
+def _part_of_long(rows: np.ndarray, lead: np.ndarray, close: Guard) -> Iterator[pa.RecordBatch]:
+    """Memberships of a long run, and its items paired with the run's first."""
+    if not rows.shape[1]:
         return
-    yield emit(np.full(len(key), -1), node, key, guard)
-    first = np.full(len(key), lead[0])
-    pick = np.flatnonzero((node != lead[0]) & close(np.full(len(key), lead[1]), guard))
-    yield emit(first[pick], node[pick], key[pick], guard[pick])
+    yield _emit(np.full(rows.shape[1], -1), rows[1], rows)
+    first = np.repeat(lead, rows.shape[1], axis=1)
+    pick = (rows[1] != first[1]) & close(first[2:], rows[2:])
+    yield _emit(first[1, pick], rows[1, pick], rows[:, pick])
 
 
-def whole(key, node, guard, emit, close) -> Iterator[pa.RecordBatch]:
+def _whole(rows: np.ndarray, close: Guard) -> Iterator[pa.RecordBatch]:
     """Complete runs, small and long."""
-    if len(key) < 2:
+    n = rows.shape[1]
+    if n < 2:
         return
-    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    size = np.diff(np.append(edge, len(key)))
-    for a, n in zip(edge[size > SMALL].tolist(), size[size > SMALL].tolist()):
-        yield from tail(key[a : a + n], node[a : a + n], guard[a : a + n], (int(node[a]), int(guard[a])), emit, close)
-    use = np.repeat((size > 1) & (size <= SMALL), size)
-    key, node, guard = key[use], node[use], guard[use]
+    edge = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
+    size = np.diff(np.append(edge, n))
+    for a, k in zip(edge[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        yield from _part_of_long(rows[:, a : a + k], rows[:, a : a + 1], close)
+    rows = rows[:, np.repeat((size > 1) & (size <= SMALL), size)]
     for step in range(1, SMALL):
-        i = np.flatnonzero(key[step:] == key[:-step])
+        i = np.flatnonzero(rows[0, step:] == rows[0, :-step])
         if not len(i):
             break
         j = i + step
-        pick = (node[i] != node[j]) & close(guard[i], guard[j])
-        i, j = i[pick], j[pick]
-        yield emit(node[i], node[j], key[i], guard[i])
+        pick = (rows[1, i] != rows[1, j]) & close(rows[2:, i], rows[2:, j])
+        yield _emit(rows[1, i[pick]], rows[1, j[pick]], rows[:, i[pick]])
 
 
-def link(blocks: DataFrame, close: Guard, close_sql: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(blocks: DataFrame, close: Guard, close_sql: Callable[[Column, Column, Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``node`` and ``component`` of every linked item.
 
-    ``blocks``: ``key``, ``node``, ``guard`` (longs). ``verify``: from pairs ``u`` < ``v`` to those
+    ``blocks``: ``key``, ``node``, and the guard ``g``, ``h`` (longs). ``verify``: from pairs ``u`` < ``v`` to those
     that are links. ``close`` and ``close_sql`` are one guard, for arrays and for columns.
     """
-    dealt = blocks.repartition("key").sortWithinPartitions("key", "node")
-    found = materialise(dealt.mapInArrow(_runs(close), "u long, v long, key long, guard long"), "candidates")
+    dealt = blocks.select("key", "node", "g", "h").repartition("key").sortWithinPartitions("key", "node")
+    found = materialise(dealt.mapInArrow(_runs(close), "u long, v long, key long, g long, h long"), "candidates")
     pairs = materialise(_ordered(found.where("u <> -1").select("u", "v")), "pairs")
     links = materialise(verify(pairs), "verified")
     grouped = materialise(components(links), "components")
-    members = found.where("u = -1").select("key", F.col("v").alias("node"), "guard").distinct()
-    member = members.join(grouped, "node", "left").select("key", "node", "guard", F.coalesce("component", "node").alias("component"))
+    members = found.where("u = -1").select("key", F.col("v").alias("node"), "g", "h").distinct()
+    member = members.join(grouped, "node", "left").select("key", "node", "g", "h", F.coalesce("component", "node").alias("component"))
     member = materialise(member, "members")
     shares = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = shares.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     largest = materialise(largest, "largest")
     if largest.isEmpty():
         return grouped
-    all_of = materialise(member.join(largest, "key").select("key", "node", "guard", "component", "largest"), "members")
-    few = all_of.where("component <> largest").select("key", F.col("node").alias("a"), F.col("guard").alias("g"), F.col("component").alias("c"))
-    across = few.join(all_of, "key").where((F.col("c") != F.col("component")) & ((F.col("component") == F.col("largest")) | (F.col("a") < F.col("node"))) & close_sql("g", "guard"))
+    all_of = materialise(member.join(largest, "key").select("key", "node", "g", "h", "component", "largest"), "members")
+    few = all_of.where("component <> largest").select("key", F.col("node").alias("a"), F.col("g").alias("g2"), F.col("h").alias("h2"), F.col("component").alias("c"))
+    across = few.join(all_of, "key").where((F.col("c") != F.col("component")) & ((F.col("component") == F.col("largest")) | (F.col("a") < F.col("node"))) & close_sql(F.col("g"), F.col("h"), F.col("g2"), F.col("h2")))
     more = _ordered(across.select(F.col("a").alias("u"), F.col("node").alias("v"))).join(pairs, ["u", "v"], "left_anti")
     late = materialise(verify(materialise(more, "pairs")), "verified")
     return materialise(components(links.union(late)), "components")

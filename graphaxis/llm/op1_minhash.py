@@ -149,10 +149,10 @@ def _text_keys(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def signatures(docs: DataFrame, idf: np.ndarray, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, ``n`` words, text keys ``h`` and ``g``, total ``weight`` and ``bands``."""
+    """``id``, ``n`` words, text keys ``h`` and ``g``, ``bands`` and the guard ``a``, ``b``."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # COUNTERS numbers
-    names = ["id", "n", "h", "g", "weight", "bands"]
+    names = ["id", "n", "h", "g", "a", "b", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(BANDS * ROWS)
@@ -160,14 +160,15 @@ def signatures(docs: DataFrame, idf: np.ndarray, id: str = "doc_id", text: str =
             texts = text_column(batch.column(1))
             for a, b in chunks(texts, 1 << 20):
                 words, first, shingles, weights, begin = weighted_shingles(texts.slice(a, b - a), shared.value)
-                keys = bands(sampler.sample(shingles, weights, begin)).view(np.int64)
+                samples = sampler.sample(shingles, weights, begin)
+                keys = bands(samples).view(np.int64)
                 total = np.concatenate([[0.0], np.cumsum(weights)])
                 edge = pa.array(np.arange(b - a + 1) * BANDS, pa.int32())
                 h, g = _text_keys(words, first)
-                columns = [batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(h), pa.array(g), pa.array((total[begin[1:]] - total[begin[:-1]]).astype(np.float32)), pa.ListArray.from_arrays(edge, pa.array(keys.reshape(-1)))]
+                columns = [batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(h), pa.array(g), *map(pa.array, guards(samples, total[begin[1:]] - total[begin[:-1]])), pa.ListArray.from_arrays(edge, pa.array(keys.reshape(-1)))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, h long, g long, weight float, bands array<long>")
+    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, h long, g long, a long, b long, bands array<long>")
 
 
 def similarity(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
@@ -209,22 +210,43 @@ def _verifier(texts: DataFrame, idf: np.ndarray):
     return verify
 
 
+#: Of 2-bit digests of the 56 samples so many must agree: at the threshold 48 do, give or take 3.
+LEAST_AGREEING = 36
+_LOW = (1 << BANDS * ROWS) - 1
+_WEIGHT_STEPS = 2000  # of the logarithm of a text's total weight
+_MOST_STEPS = int(-np.log(THRESHOLD) * _WEIGHT_STEPS) + 3
+
+
+def guards(samples: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two longs for each set: a bit of each sample in each, and above them half of the log weight."""
+    place = np.arange(samples.shape[0], dtype=np.uint64)[:, None]
+    step = np.clip(np.log(np.maximum(total, 1.0)) * _WEIGHT_STEPS, 0, 65535).astype(np.uint64)
+    one = ((samples & _U(1)) << place).sum(axis=0, dtype=np.uint64) | (step >> _U(8)) << _U(56)
+    two = ((samples >> _U(1) & _U(1)) << place).sum(axis=0, dtype=np.uint64) | (step & _U(255)) << _U(56)
+    return one.view(np.int64), two.view(np.int64)
+
+
 def _guard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Total weights (in thousandths) within the ratio that the threshold demands."""
-    return np.minimum(a, b) >= (THRESHOLD - 1e-3) * np.maximum(a, b)
+    """Enough samples agree, and total weights are within the ratio that the threshold demands."""
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    differ = ((a[0] ^ b[0]) | (a[1] ^ b[1])) & _U(_LOW)
+    steps = [((x[0] >> _U(56)) << _U(8) | x[1] >> _U(56)).astype(np.int64) for x in (a, b)]
+    return (np.bitwise_count(differ) <= BANDS * ROWS - LEAST_AGREEING) & (np.abs(steps[0] - steps[1]) <= _MOST_STEPS)
 
 
-def _guard_sql(a: str, b: str) -> Column:
-    return F.least(a, b) >= (THRESHOLD - 1e-3) * F.greatest(a, b)
+def _guard_sql(g: Column, h: Column, g2: Column, h2: Column) -> Column:
+    differ = g.bitwiseXOR(g2).bitwiseOR(h.bitwiseXOR(h2)).bitwiseAND(F.lit(_LOW))
+    step = lambda x, y: F.shiftrightunsigned(x, 56) * 256 + F.shiftrightunsigned(y, 56)
+    return (F.bit_count(differ) <= BANDS * ROWS - LEAST_AGREEING) & (F.abs(step(g, h) - step(g2, h2)) <= _MOST_STEPS)
 
 
 def groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row's id with ``class_id`` (least id of its exact copies), ``component_id``, ``kept``."""
     idf = word_frequencies(docs, text)
     signed = materialise(signatures(docs, idf, id, text), "signatures")
-    classes = signed.where("n > 0 and id is not null").groupBy("h", "g").agg(F.min("id").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
+    classes = signed.where("n > 0 and id is not null").groupBy("h", "g").agg(F.min("id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("bands").alias("bands"))
     classes = materialise(classes, "classes")
-    blocks = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("node"), (F.col("weight") * 1000).cast("long").alias("guard"))
+    blocks = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("node"), F.col("a").alias("g"), F.col("b").alias("h"))
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     found = link(blocks, _guard, _guard_sql, _verifier(texts, idf))
     row = signed.select("id", "n", "h", "g").join(classes.select("h", "g", "rep"), ["h", "g"], "left")

@@ -3,7 +3,7 @@
 A line is normalised to its lower-case words of letters and digits; lines of five words or more
 take part. Equal lines form a class. A class has a 192-bit SimHash of its words; its eight 24-bit
 blocks are join keys, so two lines that differ in up to seven bits always meet (pigeonhole), and
-most that differ in more. Pairs that pass a check of 64 of the bits are verified by edit
+most that differ in more. Pairs that pass a check of 128 of the bits are verified by edit
 similarity of the normalised lines, 0.8 or more. Of each connected group the first occurrence (least
 document id, then line) stays; the others go, within one document too.
 
@@ -28,8 +28,8 @@ from graphaxis.llm.textscan import chunks, mix, raw_bytes, runs, small_batches,
 LEAST_WORDS = 5
 SIMILARITY = 0.8
 BITS, BLOCKS = 192, 8
-#: Of the 64 bits that travel with a block key, so many may differ.
-GUARD_BITS = 18
+#: Of the 128 bits that travel with a block key, so many may differ.
+GUARD_BITS = 34
 _U = np.uint64
 
 _WORD = np.zeros(256, dtype=bool)
@@ -90,7 +90,7 @@ def line_rows(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def block_keys(classes: DataFrame) -> DataFrame:
-    """One row for each class and block: ``key`` (block number and bits), ``node``, ``guard``."""
+    """One row for each class and block: ``key`` (block number and bits), ``node``, guard ``g``, ``h``."""
     bits = []
     for k in range(BLOCKS):
         at = 24 * k
@@ -99,15 +99,15 @@ def block_keys(classes: DataFrame) -> DataFrame:
         if shift > 40:
             value = value.bitwiseOR(F.shiftleft(f"s{word + 1}", 64 - shift))
         bits.append(value.bitwiseAND(F.lit(0xFFFFFF)) + F.lit(k << 24))
-    return classes.select(F.explode(F.array(*bits)).alias("key"), F.col("h").alias("node"), F.col("s1").alias("guard"))
+    return classes.select(F.explode(F.array(*bits)).alias("key"), F.col("h").alias("node"), F.col("s1").alias("g"), F.col("s2").alias("h"))
 
 
 def _guard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64)) <= GUARD_BITS
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=0) <= GUARD_BITS
 
 
-def _guard_sql(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= GUARD_BITS
+def _guard_sql(g: Column, h: Column, g2: Column, h2: Column) -> Column:
+    return F.bit_count(g.bitwiseXOR(g2)) + F.bit_count(h.bitwiseXOR(h2)) <= GUARD_BITS
 
 
 def _verifier(docs: DataFrame, classes: DataFrame, id: str, text: str):
