@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from graphaxis.functions import predicates as P
 from graphaxis.functions import safety
-from graphaxis.operators import bindings, reconcile
+from graphaxis.operators import bindings, reconcile, workspace
+from graphaxis.operators.extract.facts import observations
 from graphaxis.plans import derive, report
 from graphaxis.sources import discovery, manifest
 
@@ -334,3 +335,67 @@ def d7_root_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = F.when(c % 10 == 0, tens).otherwise(F.concat(tens, F.lit("/"), (c % 10).cast("string")))
     roots = derive.table(spark, sf_dir, "orders").select("o_custkey").distinct().select(F.concat(F.lit("r"), c.cast("string")).alias("id"), root.alias("root"))
     return manifest.root_conflicts(roots)
+
+
+# --- Workspaces ----------------------------------------------------------------------------
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One deployment; a member for each region but the last, reading at run time in stage A."""
+    region = derive.table(spark, sf_dir, "region").where("r_regionkey < 4")
+    return region.select(F.lit("all").alias("deployment_id"), F.concat(F.lit("repo-"), F.col("r_regionkey").cast("string")).alias("repository_id"), derive.scope(F.col("r_regionkey"), F.lit("runtime"), derive.stage("exact", F.lit("A"))).alias("scope"))
+
+
+@query(f"""
+WITH {_CANDIDATES}
+SELECT 'repo-' || region AS repository_id, CASE WHEN phase = 'runtime' AND stage IN ('A', 'all') THEN 'assign' ELSE 'uncertain' END AS relation, count(*) AS n FROM cand WHERE region < 4 GROUP BY ALL
+UNION ALL SELECT 'repo-' || r, 'stray', count(*) FROM cand, range(4) t(r) WHERE region = 4 GROUP BY r
+""")
+def j16_candidate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    candidates = derive.candidates(spark, sf_dir).withColumn("deployment_id", F.lit("all"))
+    found = workspace.candidate_members(_members(spark, sf_dir), candidates).join(candidates.select(F.col("id").alias("candidate_id"), F.col("scope.id").alias("unit")), "candidate_id")
+    relation = F.when(F.col("unit") == "REGION_4", "stray").otherwise(F.col("relation"))
+    return found.groupBy("repository_id", relation.alias("relation")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH listed AS (SELECT p_partkey AS part, r FROM part, range(5) t(r) WHERE p_size % 10 <> 0),
+bound AS (SELECT part, r, m FROM listed, range(4) t(m) WHERE part % 7 = m)
+SELECT 'repo-' || m AS repository_id, 'assign' AS relation, 'O2' AS reason, count(*) AS n FROM bound WHERE part % 50 <> 0 GROUP BY m
+UNION ALL SELECT 'repo-' || m, 'uncertain', 'UNATTRIBUTED_INVENTORY', count(*) FROM listed, range(4) t(m) WHERE part % 50 <> 0 AND part % 7 > 3 GROUP BY m
+UNION ALL SELECT 'repo-' || r, 'assign', 'O4', count(*) FROM listed WHERE part % 50 = 0 AND r < 4 GROUP BY r
+UNION ALL SELECT 'repo-' || m, 'uncertain', 'O3', count(*) FROM listed, range(4) t(m) WHERE part % 50 = 0 AND r = 4 GROUP BY m
+""")
+def j18_inventory_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh part is bound by one member; the others have no owner unless they declare one."""
+    items = derive.inventory(spark, sf_dir).withColumn("deployment_id", F.lit("all")).withColumn("id", F.concat_ws("/", "resource.authority_id", "resource.canonical_id"))
+    part = F.regexp_extract("resource.canonical_id", "_(\\d+)$", 1).cast("long")
+    exact = items.where(part % 7 < 4).select("deployment_id", F.concat(F.lit("repo-"), (part % 7).cast("string")).alias("repository_id"), "resource")
+    found = workspace.inventory_owners(_members(spark, sf_dir), items, exact)
+    return found.groupBy("repository_id", "relation", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def b3_greedy_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a brand as repositories with their price as cost, admitted while the budget lasts."""
+    costs = derive.table(spark, sf_dir, "part").select(F.col("p_brand").alias("workspace_id"), F.format_string("repo-%08d", "p_partkey").alias("repository_id"), F.floor("p_retailprice").cast("long").alias("cost"))
+    return workspace.admit(costs, 50_000)
+
+
+@query()
+def x1_extracted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source text made of part names; every form of read occurs."""
+    part = derive.table(spark, sf_dir, "part")
+    n = F.col("p_partkey")
+    name = F.concat(F.lit("PART_"), n.cast("string"))
+    text = (
+        F.when(n % 6 == 0, F.concat(F.lit("const v = process.env."), name, F.lit(";")))
+        .when(n % 6 == 1, F.concat(F.lit("const e = process.env; const {"), name, F.lit(": x} = e; e['Q_' + 'R'];")))
+        .when(n % 6 == 2, F.concat(F.lit("process.env[`"), name, F.lit("_${request.query.k}`]")))
+        .when(n % 6 == 3, F.concat(F.lit("export function f(k) { return process.env[k]; } // "), name))
+        .when(n % 6 == 4, F.concat(F.lit("process.env[f ? '"), name, F.lit("' : 'OTHER'];")))
+        .otherwise("export const = ;")
+    )
+    files = part.select(n.alias("ord"), F.concat(F.lit("src/f"), n.cast("string"), F.lit(".ts")).alias("path"), text.alias("content"))
+    seen = observations(files)
+    return seen.select("file_ord", "nth", "status", "exact", "domain_kind", F.array_join("keys", ",").alias("keys"), "prefix", "suffix", "origin")
