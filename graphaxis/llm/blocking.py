@@ -25,6 +25,9 @@ SMALL = 32
 #: An item's guard is two longs; this takes those of two items side by side, as arrays of two rows,
 #: and gives which pairs may pass.
 Guard = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: From the payloads of some items and of others to the matrix of which are links.
+Linked = Callable[[pa.Array, pa.Array], np.ndarray]
+TILE = 256
 
 
 def _runs(close: Guard) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -86,11 +89,13 @@ def _whole(rows: np.ndarray, close: Guard) -> Iterator[pa.RecordBatch]:
         yield _emit(rows[1, i[pick]], rows[1, j[pick]], rows[:, i[pick]])
 
 
-def link(blocks: DataFrame, close: Guard, close_sql: Callable[[Column, Column, Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(blocks: DataFrame, close: Guard, close_sql: Callable[[Column, Column, Column, Column], Column], verify: Callable[[DataFrame], DataFrame], in_tasks: tuple[DataFrame, Linked] | None = None) -> DataFrame:
     """``node`` and ``component`` of every linked item.
 
     ``blocks``: ``key``, ``node``, and the guard ``g``, ``h`` (longs). ``verify``: from pairs ``u`` < ``v`` to those
     that are links. ``close`` and ``close_sql`` are one guard, for arrays and for columns.
+    ``in_tasks``: a table of ``node`` and ``payload``, and how payloads are compared, where the rest
+    is to be compared inside tasks instead of as a table of pairs.
     """
     dealt = blocks.select("key", "node", "g", "h").repartition("key").sortWithinPartitions("key", "node")
     found = materialise(dealt.mapInArrow(_runs(close), "u long, v long, key long, g long, h long"), "candidates")
@@ -100,17 +105,67 @@ def link(blocks: DataFrame, close: Guard, close_sql: Callable[[Column, Column, C
     members = found.where("u = -1").select("key", F.col("v").alias("node"), "g", "h").distinct()
     member = members.join(grouped, "node", "left").select("key", "node", "g", "h", F.coalesce("component", "node").alias("component"))
     member = materialise(member, "members")
-    shares = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = shares.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    largest = materialise(largest, "largest")
-    if largest.isEmpty():
+    late = _rest_in_tasks(member, *in_tasks) if in_tasks else _rest_by_pairs(member, pairs, close_sql, verify)
+    if late is None:
         return grouped
-    all_of = materialise(member.join(largest, "key").select("key", "node", "g", "h", "component", "largest"), "members")
+    return materialise(components(links.union(materialise(late, "late"))), "components")
+
+
+def _largest(member: DataFrame, group: str) -> DataFrame:
+    """Groups of more than one component, and the component that most of their items are in."""
+    shares = member.groupBy(group, "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = shares.groupBy(group).agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts"))
+    return materialise(largest.where("parts > 1").select(group, "largest"), "largest")
+
+
+def _rest_by_pairs(member: DataFrame, pairs: DataFrame, close_sql, verify) -> DataFrame | None:
+    largest = _largest(member, "key")
+    if largest.isEmpty():
+        return None
+    all_of = materialise(member.join(largest, "key"), "members")
     few = all_of.where("component <> largest").select("key", F.col("node").alias("a"), F.col("g").alias("g2"), F.col("h").alias("h2"), F.col("component").alias("c"))
-    across = few.join(all_of, "key").where((F.col("c") != F.col("component")) & ((F.col("component") == F.col("largest")) | (F.col("a") < F.col("node"))) & close_sql(F.col("g"), F.col("h"), F.col("g2"), F.col("h2")))
+    across = few.join(all_of, "key").where(
+        (F.col("c") != F.col("component")) & ((F.col("component") == F.col("largest")) | (F.col("a") < F.col("node"))) & close_sql(F.col("g"), F.col("h"), F.col("g2"), F.col("h2"))
+    )
     more = _ordered(across.select(F.col("a").alias("u"), F.col("node").alias("v"))).join(pairs, ["u", "v"], "left_anti")
-    late = materialise(verify(materialise(more, "pairs")), "verified")
-    return materialise(components(links.union(late)), "components")
+    return verify(materialise(more, "pairs"))
+
+
+def _rest_in_tasks(member: DataFrame, payload: DataFrame, linked: Linked) -> DataFrame | None:
+    """The rest, compared inside tasks: blocks with one first item are one group, cut into tiles.
+
+    ``payload``: ``node`` and what ``linked`` compares. A tile holds up to ``TILE`` items outside
+    of the group's largest component and ``TILE`` of all; only one link for each of the former
+    and each component it reaches leaves the task, so nothing grows with the pairs.
+    """
+    lead = member.groupBy("key").agg(F.min("node").alias("lead"))
+    rows = materialise(member.join(materialise(lead, "leads"), "key").select("lead", "node", "component").distinct(), "led")
+    largest = _largest(rows, "lead")
+    if largest.isEmpty():
+        return None
+    rows = rows.join(largest, "lead").withColumn("few", F.col("component") != F.col("largest"))
+    sizes = materialise(rows.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("n_all"), F.ceil(F.count_if("few") / TILE).cast("int").alias("n_few")), "sizes")
+    rows = materialise(rows.join(sizes, "lead"), "led")
+    at = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), F.col(n).cast("long")).cast("int")
+    over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = rows.where("few").select("lead", "node", "component", F.lit(True).alias("few"), at("n_few").alias("i"), over("n_all").alias("j"))
+    asked = rows.select("lead", "node", "component", F.lit(False).alias("few"), at("n_all").alias("j"), over("n_few").alias("i"))
+    tiles = asking.unionByName(asked).join(payload, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        few = table.column("few").to_numpy(zero_copy_only=False)
+        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        one, two = np.flatnonzero(few), np.flatnonzero(~few)
+        if not len(one) or not len(two):
+            return pa.table({"u": node[:0], "v": node[:0]})
+        content = table.column("payload").combine_chunks()
+        hit = linked(content.take(pa.array(one)), content.take(pa.array(two)))
+        hit &= component[one][:, None] != component[two][None, :]
+        a, b = np.nonzero(hit)
+        _, first = np.unique(np.stack([node[one[a]], component[two[b]]]), axis=1, return_index=True)
+        return pa.table({"u": node[one[a[first]]], "v": node[two[b[first]]]})
+
+    return _ordered(tiles.groupBy("lead", "i", "j").applyInArrow(compare, "u long, v long"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

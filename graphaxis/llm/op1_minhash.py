@@ -73,8 +73,8 @@ def word_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.log1p(total / frequency)
 
 
-def weighted_shingles(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, first words, distinct shingles, their weights, and each text's first shingle."""
+def weighted_shingles(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words, first words, distinct shingles, their weights and counts, and each text's first."""
     words, first = _words(texts)
     shingles, begin = shingle_hashes(words, first, SHINGLE)
     rarity = np.concatenate([[0.0], np.cumsum(idf[_counter(words)])])
@@ -86,11 +86,11 @@ def weighted_shingles(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.
     order = np.lexsort((shingles, owner))
     s, o, w = shingles[order], owner[order], mean[order]
     if not len(s):
-        return words, first, s, w, begin
+        return words, first, s, w, np.zeros(0, dtype=np.int64), begin
     new = np.append(True, (s[1:] != s[:-1]) | (o[1:] != o[:-1]))
     edge = np.flatnonzero(new)
     count = np.diff(np.append(edge, len(s)))
-    return words, first, s[edge], w[edge] * count, np.searchsorted(o[edge], np.arange(len(texts) + 1))
+    return words, first, s[edge], w[edge] * count, count, np.searchsorted(o[edge], np.arange(len(texts) + 1))
 
 
 class Sampler:
@@ -159,7 +159,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, id: str = "doc_id", text: str =
         for batch in batches:
             texts = text_column(batch.column(1))
             for a, b in chunks(texts, 1 << 20):
-                words, first, shingles, weights, begin = weighted_shingles(texts.slice(a, b - a), shared.value)
+                words, first, shingles, weights, _, begin = weighted_shingles(texts.slice(a, b - a), shared.value)
                 samples = sampler.sample(shingles, weights, begin)
                 keys = bands(samples).view(np.int64)
                 total = np.concatenate([[0.0], np.cumsum(weights)])
@@ -176,7 +176,7 @@ def similarity(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
     n = len(left)
     s, o, w = [], [], []
     for texts in (left, right):
-        _, _, shingles, weights, begin = weighted_shingles(texts, idf)
+        _, _, shingles, weights, _, begin = weighted_shingles(texts, idf)
         s.append(shingles)
         w.append(weights)
         o.append(np.repeat(np.arange(n), np.diff(begin)))
@@ -189,6 +189,39 @@ def similarity(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
     return shared / np.maximum(total - shared, 1e-12)
 
 
+#: Columns of a dense piece of the matrices that are multiplied.
+_COLUMNS = 4096
+
+
+def linked_matrix(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
+    """Which texts of the left are at the threshold with which of the right.
+
+    A shingle that occurs k times is k elements of its own, so that the weight of what two texts
+    share is a product of matrices; it is added up over pieces of the columns.
+    """
+    sides = []
+    for texts in (left, right):
+        _, _, shingles, weights, count, begin = weighted_shingles(texts, idf)
+        owner = np.repeat(np.repeat(np.arange(len(texts)), np.diff(begin)), count)
+        level = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        key = mix(np.repeat(shingles, count) + level.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        sides.append((owner, key, np.repeat(weights / np.maximum(count, 1), count)))
+    common = np.intersect1d(sides[0][1], sides[1][1])
+    total = [np.bincount(o, weights=w, minlength=len(t)) for (o, _, w), t in zip(sides, (left, right))]
+    shared = np.zeros((len(left), len(right)))
+    for at in range(0, len(common), _COLUMNS):
+        piece = common[at : at + _COLUMNS]
+        dense = []
+        for (owner, key, weight), texts, weighted in zip(sides, (left, right), (True, False)):
+            column = np.minimum(np.searchsorted(piece, key), len(piece) - 1)
+            use = piece[column] == key
+            m = np.zeros((len(texts), len(piece)))
+            m[owner[use], column[use]] = weight[use] if weighted else 1.0
+            dense.append(m)
+        shared += dense[0] @ dense[1].T
+    return shared >= THRESHOLD * np.maximum(total[0][:, None] + total[1][None, :] - shared, 1e-12)
+
+
 def _verifier(texts: DataFrame, idf: np.ndarray):
     shared = texts.sparkSession.sparkContext.broadcast(idf)  # COUNTERS numbers
 
@@ -248,7 +281,9 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     classes = materialise(classes, "classes")
     blocks = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("node"), F.col("a").alias("g"), F.col("b").alias("h"))
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    found = link(blocks, _guard, _guard_sql, _verifier(texts, idf))
+    shared = docs.sparkSession.sparkContext.broadcast(idf)  # COUNTERS numbers
+    payload = texts.select(F.col("id").alias("node"), F.col("text").alias("payload"))
+    found = link(blocks, _guard, _guard_sql, _verifier(texts, idf), (payload, lambda a, b: linked_matrix(text_column(a), text_column(b), shared.value)))
     row = signed.select("id", "n", "h", "g").join(classes.select("h", "g", "rep"), ["h", "g"], "left")
     row = row.withColumn("class_id", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
     out = row.join(found, F.col("class_id") == F.col("node"), "left")
