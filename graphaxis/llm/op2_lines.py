@@ -4,7 +4,7 @@ A line is normalised to its lower-case words of letters and digits; lines of fiv
 take part. Equal lines form a class. A class has a 192-bit SimHash of its words; its eight 24-bit
 blocks are join keys, so two lines that differ in up to seven bits always meet (pigeonhole), and
 most that differ in more. Pairs that pass a check of 128 of the bits are verified by edit
-similarity of the normalised lines, 0.8 or more. Of each connected group the first occurrence (least
+similarity of the two sequences of words, 0.8 or more (one less edits by the longer length). Of each connected group the first occurrence (least
 document id, then line) stays; the others go, within one document too.
 
 Defined results: a null text stays null and counts no lines; a null id's lines are never compared;
@@ -43,6 +43,12 @@ def normalised(line: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(line), _GAPS, " "))
 
 
+def word_letters(line: Column) -> Column:
+    """A text with one letter for each word, so that edits of letters are edits of words."""
+    letter = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(50000)) + 256), 4, "0")
+    return F.decode(F.unhex(F.array_join(F.transform(F.split(line, " "), letter), "")), "UTF-16BE")
+
+
 def _simhash(words: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Three 64-bit words for each line; ``sizes`` are the words' bytes, long words weigh more."""
     names, at, where = np.unique(words, return_index=True, return_inverse=True)
@@ -117,7 +123,7 @@ def _verifier(docs: DataFrame, classes: DataFrame, id: str, text: str):
         places = nodes.join(classes, F.col("node") == F.col("h")).groupBy("first.id").agg(F.collect_list(F.struct("first.no", "node")).alias("wanted"))
         held = docs.select(F.col(id).cast("long").alias("__id"), F.split(text, "\n").alias("lines")).where("__id is not null and lines is not null")
         found = held.join(places, F.col("__id") == F.col("id")).select("lines", F.explode("wanted").alias("w"))
-        lines = found.select(F.col("w.node").alias("node"), normalised(F.get("lines", F.col("w.no").cast("int"))).alias("line"))
+        lines = found.select(F.col("w.node").alias("node"), word_letters(normalised(F.get("lines", F.col("w.no").cast("int")))).alias("line"))
         lines = materialise(lines.groupBy("node").agg(F.min("line").alias("line")), "lines")
         one = pairs.join(lines.select(F.col("node").alias("u"), F.col("line").alias("a")), "u")
         two = one.join(lines.select(F.col("node").alias("v"), F.col("line").alias("b")), "v")
