@@ -69,9 +69,13 @@ def targets(rows: DataFrame) -> DataFrame:
     filled = filled.withColumn("fill", F.first(free, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     target = F.when(F.col("fill").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * F.col("fill")))
     blocks = F.ceil(F.col("source_size") / BLOCK).cast("long")
+    # Whole passes take the source's words as they are; the last block of a source may be short.
+    passes = F.floor(target / F.greatest(F.col("source_size"), F.lit(1)) + 1e-9).cast("long")
+    rest = F.floor((target - passes * F.col("source_size")) / BLOCK + 0.5).cast("long")
+    slots = passes * blocks + F.least(F.greatest(rest, F.lit(0)), blocks)
     side = F.greatest(F.ceil(F.sqrt(blocks.cast("double"))).cast("long"), F.lit(1))
     return materialise(
-        filled.select("source", "sid", "source_size", target.alias("target"), blocks.alias("blocks"), F.floor(target / BLOCK + 0.5).cast("long").alias("slots"), side.alias("side")).withColumn(
+        filled.select("source", "sid", "source_size", target.alias("target"), blocks.alias("blocks"), slots.alias("slots"), side.alias("side")).withColumn(
             "other", F.greatest(F.ceil(F.col("blocks") / F.col("side")).cast("long"), F.lit(1))
         ),
         "targets",

@@ -38,15 +38,18 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_long_blocks_lose_no_link_between_components(spark):
+@pytest.mark.parametrize("in_tasks", [False, True])
+def test_long_blocks_lose_no_link_between_components(spark, in_tasks):
     # One block of 90 items: guards within one of each other link; nearly all are one run.
     guards = [i % 40 for i in range(80)] + [1000 + i for i in range(10)]
-    blocks = spark.createDataFrame([(7, i, g) for i, g in enumerate(guards)], "key long, node long, guard long")
-    close = lambda a, b: np.abs(a - b) <= 1
+    blocks = spark.createDataFrame([(7, i, g, 0) for i, g in enumerate(guards)], "key long, node long, g long, h long")
+    payload = spark.createDataFrame([(i, g) for i, g in enumerate(guards)], "node long, payload long")
+    close = lambda a, b: np.abs(a[0] - b[0]) <= 1
+    linked = lambda a, b: np.abs(a.to_numpy()[:, None] - b.to_numpy()[None, :]) <= 1
     from pyspark.sql import functions as F
 
-    close_sql = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1
-    got = {r.node: r.component for r in blocking.link(blocks, close, close_sql, lambda pairs: pairs).collect()}
+    close_sql = lambda g, h, g2, h2: F.abs(g - g2) <= 1
+    got = {r.node: r.component for r in blocking.link(blocks, close, close_sql, lambda pairs: pairs, (payload, linked) if in_tasks else None).collect()}
     want = closure(90, [(i, j) for i, j in combinations(range(90), 2) if abs(guards[i] - guards[j]) <= 1])
     assert all(got.get(i, i) == want[i] for i in range(90))
 
@@ -107,7 +110,7 @@ def test_samples_agree_as_often_as_sets_are_alike():
 
 def test_line_dedup_keeps_one_of_each_group(spark):
     rng = random.Random(4)
-    long = [" ".join(rng.choices(WORDS, k=60)) for _ in range(20)]
+    long = [" ".join(rng.choices(WORDS, k=300)) for _ in range(20)]
     close = [re.sub(r"\w+$", "otherword", line) for line in long[:5]]
     texts = ["\n".join(long[:10]), "\n".join([long[3].upper() + "!!", "short line", *close[:3]]), "\n".join(long[10:] + [long[12]]), "short line\nshort line", None, "", "\n".join(close[:2])]
     docs = spark.createDataFrame([(i, t, "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long")
