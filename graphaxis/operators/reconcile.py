@@ -167,6 +167,8 @@ def demand_records(facts: Facts, wanted: DataFrame, resolved: bindings.Resolved,
     applicable = applicable.groupBy("demand_id").agg(F.max((F.col("c_resolution") == "dynamic").cast("int")).alias("any_dynamic"))
     gaps = coverage.gap_ids(coverage.affecting(wanted.select("demand_id", "scope", "key"), facts.gaps, "demand_id", True), "demand_id")
     unsure = uncertain_ids(wanted, dynamic, "demand_id")
+    # Stored before they meet, so that no plan holds all of them at once.
+    effective, status, applicable, gaps, unsure, strong = (x.persist() for x in (effective, status, applicable, gaps, unsure, strong))
     d = wanted.join(effective, "demand_id", "left").join(status, "demand_id", "left").join(applicable, "demand_id", "left").join(gaps, "demand_id", "left").join(unsure, "demand_id", "left")
     d = d.withColumns({"gap_ids": F.coalesce("gap_ids", none), "uncertain": F.coalesce("uncertain", F.lit(False)), "n_effective": F.coalesce("n_effective", F.lit(0)), "candidate_ids": F.coalesce("candidate_ids", none)})
     d = d.withColumn("coverage", F.when(F.size("gap_ids") > 0, "incomplete").otherwise("complete"))
@@ -177,7 +179,7 @@ def demand_records(facts: Facts, wanted: DataFrame, resolved: bindings.Resolved,
         .when(F.col("any_dynamic") == 1, "dynamic").when(F.col("any_dynamic") == 0, "possible").otherwise("no-static-evidence")
     )
     d = d.withColumn("binding", binding).withColumn("lone", F.when(n == 1, F.col("resource")))
-    first = _first_match(facts.inventory)
+    d, first = d.persist(), _first_match(facts.inventory)
     d = d.join(first, (F.col("lone.authority_id") == F.col("m_authority")) & (F.col("lone.canonical_id") == F.col("m_canonical")), "left")
     d = d.withColumn("scope_id", P.scope_key(F.col("scope"))).join(strong.withColumn("is_strong", F.lit(True)), "scope_id", "left")
     firm = F.coalesce("is_strong", F.lit(False)) & (F.col("coverage") == "complete") & ~F.col("uncertain")
@@ -200,7 +202,8 @@ def inventory_records(facts: Facts, wanted: DataFrame, resolved: bindings.Resolv
     """J5 to J8, C6, C7."""
     none = F.array().cast(NONE)
     winners = resolved.partitions.where("outcome = 'effective'").select("slot", "part").join(resolved.selections.where("status = 'effective'"), ["slot", "part"]).select("candidate_id").distinct()
-    c = facts.candidates.join(winners, F.col("id") == F.col("candidate_id"), "left_semi").where("resource is not null").select(F.col("id").alias("candidate_id"), "scope", F.col("destination").alias("key"), "resource")
+    winners = winners.persist()
+    c = facts.candidates.join(winners, F.col("id") == F.col("candidate_id"), "left_semi").where("resource is not null").select(F.col("id").alias("candidate_id"), "scope", F.col("destination").alias("key"), "resource").persist()
     items = facts.inventory.select(F.col("authority_id").alias("snapshot_authority"), "as_of", F.col("resource").alias("item"), "declared_scopes")
     bound = c.join(items.drop("declared_scopes"), (F.col("resource.authority_id") == F.col("item.authority_id")) & (F.col("resource.canonical_id") == F.col("item.canonical_id")))
     w = wanted.select(F.col("scope").alias("d_scope"), F.col("key").alias("d_key"), F.col("demand").alias("d_demand"), F.col("o"))
@@ -208,6 +211,7 @@ def inventory_records(facts: Facts, wanted: DataFrame, resolved: bindings.Resolv
     used = used.groupBy("candidate_id").agg(F.min_by("d_demand", "o").alias("used"))
     gaps = coverage.gap_ids(coverage.affecting(c.select("candidate_id", "scope", "key"), facts.gaps, "candidate_id", True), "candidate_id")
     unsure = uncertain_ids(c, dynamic, "candidate_id")
+    bound, used, gaps, unsure = (x.persist() for x in (bound, used, gaps, unsure))
     b = bound.join(used, "candidate_id", "left").join(gaps, "candidate_id", "left").join(unsure, "candidate_id", "left")
     b = b.withColumns({"gap_ids": F.coalesce("gap_ids", none), "uncertain": F.coalesce("uncertain", F.lit(False))})
     b = b.withColumn("coverage", F.when(F.size("gap_ids") > 0, "incomplete").otherwise("complete"))

@@ -164,8 +164,17 @@ def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.unionByName(wild)
 
 
+def kept(facts: DataFrame) -> DataFrame:
+    """Facts as stored rows: predicates then read columns instead of repeating how they are made.
+
+    Without this the optimiser copies the struct expressions into every use of every predicate.
+    """
+    return facts.persist()
+
+
 def facts(spark: SparkSession, sf_dir: str) -> Facts:
-    return Facts.of(
-        spark, references=references(spark, sf_dir), demand_edges=demand_edges(spark, sf_dir), dynamic_edges=dynamic_edges(spark, sf_dir),
+    made = dict(
+        references=references(spark, sf_dir), demand_edges=demand_edges(spark, sf_dir), dynamic_edges=dynamic_edges(spark, sf_dir),
         candidates=candidates(spark, sf_dir), inventory=inventory(spark, sf_dir), gaps=gaps(spark, sf_dir),
     )
+    return Facts.of(spark, **{name: kept(df) for name, df in made.items()})

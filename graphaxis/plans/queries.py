@@ -146,7 +146,7 @@ def v6_safe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SLOTS} SELECT id AS candidate_id, branch, status FROM chosen")
 def w1_a3_u6_binding_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = bindings.resolve(derive.candidates(spark, sf_dir))
+    resolved = bindings.resolve(derive.kept(derive.candidates(spark, sf_dir)))
     clause = F.get(F.col("applies_when.condition.clauses"), F.lit(0))
     branch = F.when(clause.isNull(), "any").when(clause["operator"] == "equals", "main").otherwise("other")
     parts = resolved.partitions.select("slot", "part", branch.alias("branch"))
@@ -155,7 +155,7 @@ def w1_a3_u6_binding_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SLOTS} SELECT outcome, branch, count(*) AS n FROM outcomes GROUP BY ALL")
 def c2_partition_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = bindings.resolve(derive.candidates(spark, sf_dir))
+    resolved = bindings.resolve(derive.kept(derive.candidates(spark, sf_dir)))
     clause = F.get(F.col("applies_when.condition.clauses"), F.lit(0))
     branch = F.when(clause.isNull(), "any").when(clause["operator"] == "equals", "main").otherwise("other")
     return resolved.partitions.groupBy("outcome", branch.alias("branch")).agg(F.count(F.lit(1)).alias("n"))
@@ -352,8 +352,8 @@ SELECT 'repo-' || region AS repository_id, CASE WHEN phase = 'runtime' AND stage
 UNION ALL SELECT 'repo-' || r, 'stray', count(*) FROM cand, range(4) t(r) WHERE region = 4 GROUP BY r
 """)
 def j16_candidate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates = derive.candidates(spark, sf_dir).withColumn("deployment_id", F.lit("all"))
-    found = workspace.candidate_members(_members(spark, sf_dir), candidates).join(candidates.select(F.col("id").alias("candidate_id"), F.col("scope.id").alias("unit")), "candidate_id")
+    candidates = derive.kept(derive.candidates(spark, sf_dir).withColumn("deployment_id", F.lit("all")))
+    found = workspace.candidate_members(derive.kept(_members(spark, sf_dir)), candidates).join(candidates.select(F.col("id").alias("candidate_id"), F.col("scope.id").alias("unit")), "candidate_id")
     relation = F.when(F.col("unit") == "REGION_4", "stray").otherwise(F.col("relation"))
     return found.groupBy("repository_id", relation.alias("relation")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -369,9 +369,10 @@ UNION ALL SELECT 'repo-' || m, 'uncertain', 'O3', count(*) FROM listed, range(4)
 def j18_inventory_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh part is bound by one member; the others have no owner unless they declare one."""
     items = derive.inventory(spark, sf_dir).withColumn("deployment_id", F.lit("all")).withColumn("id", F.concat_ws("/", "resource.authority_id", "resource.canonical_id"))
+    items = derive.kept(items)
     part = F.regexp_extract("resource.canonical_id", "_(\\d+)$", 1).cast("long")
     exact = items.where(part % 7 < 4).select("deployment_id", F.concat(F.lit("repo-"), (part % 7).cast("string")).alias("repository_id"), "resource")
-    found = workspace.inventory_owners(_members(spark, sf_dir), items, exact)
+    found = workspace.inventory_owners(derive.kept(_members(spark, sf_dir)), items, exact)
     return found.groupBy("repository_id", "relation", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -71,7 +71,7 @@ def test_manifest_text_and_roots(spark):
 
 
 def test_safe_values(spark):
-    mixed = "aB3" * 5 + "xY9kLmQ7zR"
+    mixed = "aB3xY9kLmQ7zR" + "tW2uPe5HsDfG"
     values = ["DATABASE_URL", "lower_key", "sk_" + "live_abc", "gh" + "p_abc", mixed, "0" * 30, "src/a.ts", "../a", ""]
     row = {r.v: r for r in spark.createDataFrame([(v,) for v in values], "v string").select("v", safety.environment_key(F.col("v")).alias("k"), safety.is_secret_like(F.col("v")).alias("s"), safety.safe_path(F.col("v")).alias("p"), safety.redacted(F.col("v")).alias("r")).collect()}
     assert [v for v in values if row[v].k] == ["DATABASE_URL"]
