@@ -63,9 +63,9 @@ def inventory_owners(members: DataFrame, items: DataFrame, exact: DataFrame) ->
     orphans = orphans.select("deployment_id", "repository_id", "item_id", F.lit("uncertain").alias("relation"), F.lit("UNATTRIBUTED_INVENTORY").alias("reason"))
     said = i.where(scoped).select("deployment_id", "item_id", F.explode("declared_scopes").alias("scope"))
     units = m.select("deployment_id", F.col("member.id").alias("unit")).distinct()
-    unknown = said.join(units, (said["deployment_id"] == units["deployment_id"]) & (F.col("scope.id") == F.col("unit")), "left_anti").select("deployment_id", "item_id").distinct()
+    unknown = said.join(units.withColumnRenamed("deployment_id", "in_deployment"), (F.col("deployment_id") == F.col("in_deployment")) & (F.col("scope.id") == F.col("unit")), "left_anti").select("deployment_id", "item_id").distinct()
     everyone = unknown.join(m.select("deployment_id", "repository_id"), "deployment_id").select("deployment_id", "repository_id", "item_id", F.lit("uncertain").alias("relation"), F.lit("O3").alias("reason"))
-    met = said.join(unknown, ["deployment_id", "item_id"], "left_anti").join(m, (said["deployment_id"] == m["deployment_id"]) & (F.col("scope.id") == F.col("member.id"))).drop(m["deployment_id"])
+    met = said.join(unknown, ["deployment_id", "item_id"], "left_anti").join(m.withColumnRenamed("deployment_id", "in_deployment"), (F.col("deployment_id") == F.col("in_deployment")) & (F.col("scope.id") == F.col("member.id"))).drop("in_deployment")
     rank = F.max(F.when(P.relation_to_scope(F.col("scope"), F.col("member")) == "covers", 2).when(P.relation_to_scope(F.col("scope"), F.col("member")) == "overlaps", 1).otherwise(0))
     per = met.groupBy("deployment_id", "item_id", "repository_id").agg(rank.alias("r")).where("r > 0").join(bound, ["deployment_id", "item_id", "repository_id"], "left")
     covers, binds = F.col("r") == 2, F.coalesce("binds", F.lit(False))
