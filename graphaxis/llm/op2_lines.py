@@ -1,10 +1,17 @@
 """Fuzzy line dedup.
 
 A line is normalised to its lower-case words of letters and digits; lines of five words or more
-take part. Equal lines form a class. A class has a 192-bit SimHash of its words; its eight 24-bit
-blocks are join keys, so two lines that differ in up to seven bits always meet (pigeonhole), and
-most that differ in more. Pairs that pass a check of 128 of the bits are verified by edit
-similarity of the two sequences of words, 0.8 or more (one less edits by the longer length). Of each connected group the first occurrence (least
+take part. Equal lines form a class. Two lines are alike if the edit similarity of their sequences
+of words is 0.8 or more (one less edits by the longer length).
+
+Every pair of lines that are alike meets: a line of ``l`` words is within ``L // 5`` edits of one of ``L >= l``,
+of which ``L - l`` or more are insertions; an insertion parts one pair of adjacent words and another edit two,
+so at most ``2 * (l // 5)`` of the line's word pairs, and one more where ``l % 5 == 4``, are lost in the other.
+A line's join keys are one more of its word pairs than that, least first in an order that all lines
+share; the pair that stays is then among the keys of both. The order is by how often words and pairs
+occur in a part of the documents, so that common ones are rarely keys; it has no part in what is found.
+Pairs of lines that pass a check of their lengths and of the parities of their words, which drops none that are alike, are
+verified. Of each connected group the first occurrence (least
 document id, then line) stays; the others go, within one document too.
 
 Defined results: a null text stays null and counts no lines; a null id's lines are never compared;
@@ -23,13 +30,15 @@ from pyspark.sql import functions as F
 
 from graphaxis.llm.blocking import link
 from graphaxis.llm.scratch import materialise
-from graphaxis.llm.textscan import chunks, mix, raw_bytes, runs, small_batches, span_hashes, text_column
+from graphaxis.llm.textscan import chunks, mix, ranges, raw_bytes, runs, small_batches, span_hashes, text_column
 
 LEAST_WORDS = 5
 SIMILARITY = 0.8
-BITS, BLOCKS = 192, 8
-#: Of the 128 bits that travel with a block key, so many may differ.
-GUARD_BITS = 34
+COUNTERS = 1 << 18
+#: The order of keys is taken from one document in so many.
+ORDER_SHARE = 8
+#: A guard's bits for the line's length; the others are parities.
+LENGTH_BITS = 12
 _U = np.uint64
 
 _WORD = np.zeros(256, dtype=bool)
@@ -49,71 +58,141 @@ def word_letters(line: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(F.split(line, " "), letter), "")), "UTF-16BE")
 
 
-def _simhash(words: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Three 64-bit words for each line; ``sizes`` are the words' bytes, long words weigh more."""
-    names, at, where = np.unique(words, return_index=True, return_inverse=True)
-    weight = np.clip(sizes[at] - 1, 1, 8).astype(np.int16)
-    bits = np.stack([mix(names ^ _U(0xA5A5 + k)) for k in range(3)], axis=1).view(np.uint8)
-    table = (np.unpackbits(bits, axis=1, bitorder="little").astype(np.int16) * 2 - 1) * weight[:, None]
-    kind = np.int16 if np.diff(first).max(initial=0) < 4000 else np.int32
-    total = np.add.reduceat(table.astype(kind, copy=False)[where], first[:-1], axis=0)
-    return np.packbits(total > 0, axis=1, bitorder="little").view(np.int64)
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of lines that take part: ids, line numbers, all word hashes, and each line's first word."""
+    for batch in batches:
+        ids, texts = batch.column(0), text_column(batch.column(1))
+        for a, b in chunks(texts, 1 << 19):
+            data, offsets = raw_bytes(pc.utf8_lower(texts.slice(a, b - a)))
+            # Lines as texts of their own: a line begins at each offset and after each break.
+            breaks = np.flatnonzero(data == 10) + 1
+            edge = np.unique(np.concatenate([offsets, breaks]))
+            doc = np.searchsorted(offsets, edge[:-1], "right") - 1
+            before = np.searchsorted(breaks, offsets[:-1], "right")
+            no = np.searchsorted(breaks, edge[:-1], "right") - before[doc]
+            starts, ends, first = runs(_WORD[data], edge)
+            words = span_hashes(data, starts, ends)
+            counts = np.diff(first)
+            use = np.flatnonzero(counts >= LEAST_WORDS)
+            if not len(use):
+                continue
+            words, counts = words[np.repeat(counts >= LEAST_WORDS, counts)], counts[use]
+            yield ids.take(pa.array(a + doc[use])), no[use], words, np.concatenate([[0], np.cumsum(counts)])
+
+
+def _hash(words: np.ndarray, begin: np.ndarray, k: int) -> np.ndarray:
+    place = (np.arange(len(words)) - np.repeat(begin[:-1], np.diff(begin))).astype(np.uint64)
+    return mix(np.add.reduceat(mix(words * _U(2 * k + 1) + mix(place + _U(k << 40))), begin[:-1])).view(np.int64)
+
+
+def _source(docs: DataFrame, id: str, text: str) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
 
 
 def line_rows(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, line number ``no``, two text hashes ``h`` and ``g``, and the SimHash ``s``."""
-    small_batches(docs.sparkSession)
+    """``id``, line number ``no``, and two text hashes ``h`` and ``g``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, no, words, begin in _lines(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array(no), *[pa.array(_hash(words, begin, k)) for k in (3, 4)]], names=["id", "no", "h", "g"])
+
+    return _source(docs, id, text).mapInArrow(run, "id long, no long, h long, g long")
+
+
+def _word_pairs(words: np.ndarray) -> np.ndarray:
+    """A hash of each word and the next; the last of a line has none and its value is not used."""
+    return mix(words[:-1] * _U(3) + mix(words[1:] + _U(11)))
+
+
+def _counters(words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mask = _U(COUNTERS - 1)
+    return (words & mask).astype(np.int64), COUNTERS + (pairs & mask).astype(np.int64)
+
+
+def key_order(docs: DataFrame, id: str = "doc_id", text: str = "text") -> np.ndarray:
+    """Eight times the logarithm of the count in each counter of words and of word pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * COUNTERS, dtype=np.int64)
+        for _, _, words, begin in _lines(batches):
+            total += np.bincount(np.concatenate(_counters(words, np.delete(_word_pairs(words), begin[1:-1] - 1))), minlength=2 * COUNTERS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["counter", "k"])
+
+    part = _source(docs, id, text).where(F.pmod(F.xxhash64("id"), F.lit(ORDER_SHARE)) == 0)
+    summed = part.mapInArrow(run, "counter long, k long").groupBy("counter").agg(F.sum("k").alias("k")).toArrow()
+    count = np.zeros(2 * COUNTERS)
+    count[summed.column("counter").to_numpy()] = summed.column("k").to_numpy()
+    return np.minimum(8 * np.log2(1 + count), 255).astype(np.uint8)
+
+
+def _line_keys(words: np.ndarray, begin: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of each line, and which line each is of."""
+    counts = np.diff(begin)
+    line = np.repeat(np.arange(len(counts)), counts)
+    inner = np.flatnonzero(line[1:] == line[:-1])
+    pairs, line = _word_pairs(words)[inner], line[inner]
+    of_words, of_pairs = _counters(words, pairs)
+    common = np.minimum(np.minimum(order[of_words[inner]], order[of_words[inner + 1]]), order[of_pairs])
+    rank = np.lexsort((pairs, line * 256 + common))
+    pairs = pairs[rank]
+    place = np.arange(len(pairs)) - np.repeat(begin[:-1] - np.arange(len(counts)), counts - 1)
+    keys = 2 * (counts // 5) + (counts % 5 == 4) + 1
+    take = place < keys[line]
+    take[1:] &= (pairs[1:] != pairs[:-1]) | (line[1:] != line[:-1])
+    return pairs[take].view(np.int64), line[take]
+
+
+def _guards(words: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """One long for each line: its length, and for each bit whether the words of that bit are odd in number."""
+    parities = 64 - LENGTH_BITS
+    bit = _U(1) << ((mix(words + _U(29)) >> _U(8)) % _U(parities) + _U(LENGTH_BITS))
+    length = np.minimum(np.diff(begin), (1 << LENGTH_BITS) - 1).astype(np.uint64)
+    return (np.bitwise_xor.reduceat(bit, begin[:-1]) | length).view(np.int64)
+
+
+def key_rows(docs: DataFrame, order: np.ndarray, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each key of a line: ``key``, ``node`` (the line's ``h``), guard ``g``, and ``h``, which is zero.
+
+    A task gives a line once as long as it remembers it, so that copies don't crowd a key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), text_column(batch.column(1))
-            for a, b in chunks(texts, 1 << 19):
-                data, offsets = raw_bytes(pc.utf8_lower(texts.slice(a, b - a)))
-                # Lines as texts of their own: a line begins at each offset and after each break.
-                breaks = np.flatnonzero(data == 10) + 1
-                edge = np.unique(np.concatenate([offsets, breaks]))
-                doc = np.searchsorted(offsets, edge[:-1], "right") - 1
-                before = np.searchsorted(breaks, offsets[:-1], "right")
-                no = np.searchsorted(breaks, edge[:-1], "right") - before[doc]
-                starts, ends, first = runs(_WORD[data], edge)
-                words = span_hashes(data, starts, ends)
-                counts = np.diff(first)
-                use = np.flatnonzero(counts >= LEAST_WORDS)
-                if not len(use):
-                    continue
-                keep = np.repeat(counts >= LEAST_WORDS, counts)
-                words, sizes, counts = words[keep], (ends - starts)[keep], counts[use]
-                begin = np.concatenate([[0], np.cumsum(counts)])
-                place = (np.arange(len(words)) - np.repeat(begin[:-1], counts)).astype(np.uint64)
-                hashes = [mix(np.add.reduceat(mix(words * _U(2 * k + 1) + mix(place + _U(k << 40))), begin[:-1])).view(np.int64) for k in (3, 4)]
-                s = _simhash(words, sizes, begin)
-                columns = [ids.take(pa.array(a + doc[use])), pa.array(no[use]), pa.array(hashes[0]), pa.array(hashes[1])]
-                columns += [pa.array(np.ascontiguousarray(s[:, k])) for k in range(3)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "no", "h", "g", "s0", "s1", "s2"])
-
-    source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    return source.mapInArrow(run, "id long, no long, h long, g long, s0 long, s1 long, s2 long")
-
-
-def block_keys(classes: DataFrame) -> DataFrame:
-    """One row for each class and block: ``key`` (block number and bits), ``node``, guard ``g``, ``h``."""
-    bits = []
-    for k in range(BLOCKS):
-        at = 24 * k
-        word, shift = at // 64, at % 64
-        value = F.shiftrightunsigned(f"s{word}", shift)
-        if shift > 40:
-            value = value.bitwiseOR(F.shiftleft(f"s{word + 1}", 64 - shift))
-        bits.append(value.bitwiseAND(F.lit(0xFFFFFF)) + F.lit(k << 24))
-    return classes.select(F.explode(F.array(*bits)).alias("key"), F.col("h").alias("node"), F.col("s1").alias("g"), F.col("s2").alias("h"))
+        seen: set[int] = set()
+        for _, _, words, begin in _lines(batches):
+            node, first = np.unique(_hash(words, begin, 3), return_index=True)
+            if len(seen) > 1 << 19:
+                seen.clear()
+            new = np.fromiter((n not in seen for n in node.tolist()), dtype=bool, count=len(node))
+            seen.update(node[new].tolist())
+            node, first = node[new], first[new]
+            counts = np.diff(begin)[first]
+            words, begin = words[ranges(begin[first], counts)], np.concatenate([[0], np.cumsum(counts)])
+            if not len(node):
+                continue
+            key, line = _line_keys(words, begin, order)
+            guard = _guards(words, begin)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[line]), pa.array(guard[line]), pa.array(np.zeros(len(key), dtype=np.int64))], names=["key", "node", "g", "h"])
+
+    return _source(docs, id, text).mapInArrow(run, "key long, node long, g long, h long")
 
 
 def _guard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=0) <= GUARD_BITS
+    """Each of the edits, a fifth of the longer length, changes two parities, an insertion one."""
+    most = (1 << LENGTH_BITS) - 1
+    one, two = a[0] & most, b[0] & most
+    long, short = np.maximum(one, two), np.minimum(one, two)
+    changed = np.bitwise_count(((a[0] ^ b[0]) & ~most).view(np.uint64))
+    return (long == most) | ((5 * short >= 4 * long) & (changed <= 2 * (long // 5) - (long - short)))
 
 
 def _guard_sql(g: Column, h: Column, g2: Column, h2: Column) -> Column:
-    return F.bit_count(g.bitwiseXOR(g2)) + F.bit_count(h.bitwiseXOR(h2)) <= GUARD_BITS
+    most = (1 << LENGTH_BITS) - 1
+    one, two = g.bitwiseAND(F.lit(most)), g2.bitwiseAND(F.lit(most))
+    long, short = F.greatest(one, two), F.least(one, two)
+    changed = F.bit_count(g.bitwiseXOR(g2).bitwiseAND(F.lit(~most)))
+    return (long == most) | ((5 * short >= 4 * long) & (changed <= 2 * F.floor(long / 5) - (long - short)))
 
 
 def _verifier(docs: DataFrame, classes: DataFrame, id: str, text: str):
@@ -139,9 +218,9 @@ def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     """``id`` and the numbers of the lines to drop, for documents that lose any."""
     lines = materialise(line_rows(docs, id, text), "lines")
     first = F.min(F.struct("id", "no")).alias("first")
-    classes = lines.groupBy("h", "g").agg(first, F.count(F.lit(1)).alias("n"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(3)])
+    classes = lines.groupBy("h", "g").agg(first, F.count(F.lit(1)).alias("n"))
     classes = materialise(classes, "classes")
-    found = link(block_keys(classes), _guard, _guard_sql, _verifier(docs, classes, id, text))
+    found = link(key_rows(docs, key_order(docs, id, text), id, text), _guard, _guard_sql, _verifier(docs, classes, id, text))
     grouped = classes.join(found, F.col("h") == F.col("node"), "left").select("h", "g", "n", "first", F.coalesce("component", "h").alias("grp"))
     grouped = materialise(grouped, "grouped")
     keepers = grouped.groupBy("grp").agg(F.min("first").alias("stay"), F.sum("n").alias("total")).where("total > 1").select("grp", "stay")

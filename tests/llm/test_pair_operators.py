@@ -123,6 +123,62 @@ def test_line_dedup_keeps_one_of_each_group(spark):
     assert op2_lines.digests(docs.limit(0)).count() == 0
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def edited_lines(rng, n, share):
+    """Lines and copies with words replaced, put in and left out, up to ``share`` of the longer length."""
+    out = []
+    for _ in range(n):
+        base = rng.choices(WORDS[:200], k=rng.choice([5, 6, 7, 8, 9, 10, 12, 14, 19, 20, 24, 40]))
+        copy = list(base)
+        for _ in range(rng.randint(1, max(1, int(share * len(base))))):
+            at = rng.randrange(len(copy))
+            kind = rng.randrange(3)
+            copy[at : at + (kind != 1)] = [] if kind == 2 else [rng.choice(WORDS[:200])]
+        out += [base, copy]
+    return out
+
+
+def test_line_groups_are_those_of_all_pairs(spark):
+    rng = random.Random(14)
+    lines = [x for x in edited_lines(rng, 130, 0.2) if len(x) >= op2_lines.LEAST_WORDS]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    alike = [(i, j) for i, j in combinations(range(len(lines)), 2) if 5 * edits(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j]))]
+    assert len(alike) > 90
+    want = closure(len(lines), alike)
+    gone = {r.id for r in op2_lines.dropped_lines(docs).collect()}
+    assert gone == {i for i in range(len(lines)) if want[i] != i}
+
+
+def test_lines_that_are_alike_share_a_key_and_pass_the_guard():
+    rng = random.Random(15)
+    order = np.random.default_rng(16).integers(0, 9, 2 * op2_lines.COUNTERS).astype(np.uint8)
+    lines = edited_lines(rng, 3000, 0.25)
+    hashes = {w: np.uint64(i * 7919 + 1) for i, w in enumerate(WORDS)}
+    begin = np.cumsum([0, *map(len, lines)])
+    words = op2_lines.mix(np.array([hashes[w] for x in lines for w in x], dtype=np.uint64))
+    key, line = op2_lines._line_keys(words, begin, order)
+    keys = [set() for _ in lines]
+    for k, i in zip(key.tolist(), line.tolist()):
+        keys[i].add(k)
+    guard = op2_lines._guards(words, begin)
+    seen = 0
+    for i in range(0, len(lines), 2):
+        a, b = lines[i], lines[i + 1]
+        if min(len(a), len(b)) >= op2_lines.LEAST_WORDS and 5 * edits(a, b) <= max(len(a), len(b)):
+            seen += 1
+            assert keys[i] & keys[i + 1]
+            assert op2_lines._guard(np.array([[guard[i]], [0]]), np.array([[guard[i + 1]], [0]])).all()
+    assert seen > 1500
+
+
 def expected_targets(sizes):
     """Sharing by weight with caps, round by round."""
     names = sorted(sizes, key=lambda s: (s is None, s))
