@@ -261,10 +261,10 @@ SELECT 'REGION_' || region AS deployment, 'PART_' || part AS name FROM reads JOI
 """)
 def a6_shared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that every member of a deployment reads (relational division by counting)."""
-    members = derive.table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.count(F.lit(1)).alias("n"))
-    reads = derive.read(spark, sf_dir).where("part % 97 <> 0").groupBy("region", "part").agg(F.count_distinct("nation").alias("k"))
-    shared = reads.join(members, "region").where("k = n and n >= 2")
-    return shared.select(F.concat(F.lit("REGION_"), F.col("region").cast("string")).alias("deployment"), F.concat(F.lit("PART_"), F.col("part").cast("string")).alias("name"))
+    deployment = lambda region: F.concat(F.lit("REGION_"), F.col(region).cast("string")).alias("deployment_id")
+    members = derive.table(spark, sf_dir, "nation").select(deployment("n_regionkey"), F.col("n_nationkey").alias("repository_id"))
+    demand = derive.read(spark, sf_dir).where("part % 97 <> 0").select(deployment("region"), F.col("nation").alias("repository_id"), derive.key(F.col("part")).alias("key"))
+    return workspace.shared_keys(members, demand).select(F.col("deployment_id").alias("deployment"), F.col("key.name").alias("name"))
 
 
 # --- Reports -------------------------------------------------------------------------------
@@ -294,6 +294,21 @@ def c13_sarif_demand_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("rule_id", "unit").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def a8_report_groups_of_all_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of demand and inventory by key; ``a8_report_groups`` has those of demand alone, as its oracle."""
+    r = reconcile.reconcile(derive.facts(spark, sf_dir))
+    return report.groups(r.demand, r.inventory).select("group_key", "n_uses", "n_scopes", "shared", "disposition")
+
+
+@query()
+def c13_sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of all records; ``c13_sarif_demand_results`` has those of demand alone, as its oracle."""
+    r = reconcile.reconcile(derive.facts(spark, sf_dir))
+    found = report.sarif_results(r.demand, r.inventory, r.dynamic)
+    return found.groupBy("rule_id", "unit").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- Sources -------------------------------------------------------------------------------
 
 
