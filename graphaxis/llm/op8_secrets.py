@@ -7,9 +7,8 @@ and its work is to remove false positives: card numbers, versions, addresses, di
 
 The labelled findings come as a table of (token, before, after, path, label) or, by default, from
 ``labelled_findings``: secrets and look-alikes of known families, generated from hashes, as no
-labels of findings exist in the corpus. The dictionary is the ``DICTIONARY`` most frequent words of
-``DICTIONARY_TEXTS`` texts of least hashed id, so that it has a fixed size; every text is scanned
-whole.
+labels of findings exist in the corpus. The dictionary is all words in at least ``DICTIONARY_SHARE`` of all
+texts (two at least), a table that is joined to what tokens hold; every text is counted and scanned whole.
 
 Defined results: a null text has no candidates; repeated rows give their candidates again; texts
 without candidates give no row.
@@ -24,9 +23,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphaxis.llm.scratch import materialise
+
 TOKEN = "[A-Za-z0-9+/=_-]{16,}"
-DICTIONARY, DICTIONARY_TEXTS = 400, 1_000
-LEAST_DICTIONARY_WORD = 4
+DICTIONARY_SHARE = 1e-4
+LEAST_DICTIONARY_WORD, LONGEST_DICTIONARY_WORD = 4, 32
 TREES, DEPTH, SEED = 24, 7, 8
 SECRET = 0.5
 NEIGHBOURS = 3
@@ -45,11 +46,27 @@ def _share(value: Column, chars: str) -> Column:
     return (F.length(value) - F.length(F.regexp_replace(value, chars, ""))) / F.length(value)
 
 
-def features(found: DataFrame, dictionary: str) -> DataFrame:
+def coverage(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Each ``token`` with ``covered``: the share of its characters that are in words of ``dictionary`` (``w``)."""
+    runs = F.filter(F.split(F.lower("token"), "[^a-z]+"), lambda x: F.length(x) >= LEAST_DICTIONARY_WORD)
+    runs = materialise(tokens.select("token").distinct().select("token", F.explode(runs).alias("run")), "runs")
+    at = runs.select("run").distinct().select("run", F.explode(F.sequence(F.lit(1), F.length("run") - LEAST_DICTIONARY_WORD + 1)).alias("at"))
+    longest = F.least(F.length("run") - F.col("at") + 1, F.lit(LONGEST_DICTIONARY_WORD))
+    parts = at.select("run", "at", F.explode(F.sequence(F.lit(LEAST_DICTIONARY_WORD), longest)).alias("k"))
+    hit = parts.select("run", "at", "k", F.col("run").substr(F.col("at"), F.col("k")).alias("w")).join(dictionary, "w")
+    widest = hit.groupBy("run", "at").agg(F.max("k").alias("k"))
+    places = F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("k") - 1)))
+    held = widest.groupBy("run").agg(F.size(F.array_distinct(places)).alias("n"))
+    return runs.join(held, "run").groupBy("token").agg((F.sum("n") / F.length("token")).alias("covered"))
+
+
+def features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Adds the features to ``token``, ``before``, ``after`` (with what touches the token), ``path``.
 
-    ``dictionary``: an expression of alternatives that matches its words.
+    ``found`` is read twice, so it should be stored. ``dictionary``: a table of words ``w``.
     """
+    shares = coverage(found, dictionary)
+    found = found.join(shares, "token", "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
     t, before, after = F.col("token"), F.col("before"), F.col("after")
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "[0-9]+", "0"), "[A-Z]+", "A"), "[a-z]+", "a"), "[+/=_-]+", "+")
     path = F.coalesce(F.col("path"), F.lit(""))
@@ -63,7 +80,7 @@ def features(found: DataFrame, dictionary: str) -> DataFrame:
         "changes": (F.length(kinds) - 1) / F.length(t),
         "distinct": F.size(F.array_distinct(F.split(t, ""))) / F.length(t),
         "vowels": _share(t, "[aeiouAEIOU]"),
-        "covered": _share(F.lower(t), dictionary),
+        "covered": F.col("covered"),
         "path_depth": F.size(F.split(path, "/")) - 1,
         "path_example": path.rlike(EXAMPLE_PATHS),
         "assigned": before.rlike("[=:]\\s*[\"'`(\\[]*$"),
@@ -95,14 +112,13 @@ def candidates(docs: DataFrame, id: str = "doc_id", text: str = "text", path: st
     )
 
 
-def dictionary_of(docs: DataFrame, id: str = "doc_id", text: str = "text") -> str:
-    """The frequent words of a bounded sample, as one expression, longest first."""
-    chosen = docs.select(F.col(id).alias("id")).where("id is not null").orderBy(F.xxhash64("id"), "id").limit(DICTIONARY_TEXTS).distinct()
-    sample = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id", "left_semi")  # at most DICTIONARY_TEXTS ids
-    words = sample.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where(F.length("w") >= LEAST_DICTIONARY_WORD)
-    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(DICTIONARY)
-    found = sorted((r.w for r in top.collect()), key=lambda w: (-len(w), w))
-    return "(" + "|".join(found) + ")" if found else "(?!)"
+def dictionary_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The words ``w`` in ``DICTIONARY_SHARE`` of all texts, and two at least."""
+    texts = docs.where(F.col(text).isNotNull())
+    words = texts.select(F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z]+"))).alias("w"))
+    counted = words.where(F.length("w").between(LEAST_DICTIONARY_WORD, LONGEST_DICTIONARY_WORD)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    least = max(2, texts.count() * DICTIONARY_SHARE)
+    return materialise(counted.where(F.col("n") >= least).select("w"), "dictionary")
 
 
 def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
@@ -127,7 +143,7 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     return ids.select(F.coalesce(secret, false).alias("token"), before.alias("before"), after.alias("after"), path.alias("path"), real.cast("double").alias("label"))
 
 
-def train(findings: DataFrame, dictionary: str) -> PipelineModel:
+def train(findings: DataFrame, dictionary: DataFrame) -> PipelineModel:
     """The forest, fitted on labelled findings."""
     ready = features(findings, dictionary).select("label", *FEATURES).repartition(4).persist()
     forest = RandomForestClassifier(labelCol="label", featuresCol="vector", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
@@ -136,9 +152,9 @@ def train(findings: DataFrame, dictionary: str) -> PipelineModel:
     return model
 
 
-def scan(docs: DataFrame, model: PipelineModel, dictionary: str, id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
+def scan(docs: DataFrame, model: PipelineModel, dictionary: DataFrame, id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """Every candidate with its ``score`` (probability of a secret) and verdict."""
-    judged = model.transform(features(candidates(docs, id, text, path), dictionary))
+    judged = model.transform(features(materialise(candidates(docs, id, text, path), "found"), dictionary))
     score = F.get(vector_to_array("probability"), F.lit(1))
     return judged.select(
         F.col("id").alias(id), F.col("word").cast("long").alias("word"), F.col("part").cast("long").alias("part"),
@@ -147,7 +163,7 @@ def scan(docs: DataFrame, model: PipelineModel, dictionary: str, id: str = "doc_
 
 
 def findings(docs: DataFrame, labelled: DataFrame | None = None, id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    dictionary = dictionary_of(docs, id, text)
+    dictionary = dictionary_of(docs, text)
     model = train(labelled_findings(docs.sparkSession) if labelled is None else labelled, dictionary)
     return scan(docs, model, dictionary, id, text, path)
 

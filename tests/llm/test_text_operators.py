@@ -182,3 +182,14 @@ def test_spans_hash_alike_wherever_they_stand():
     starts, ends, first = textscan.word_runs(data, offsets)
     h = textscan.span_hashes(data, starts, ends)
     assert first.tolist() == [0, 3, 3, 5, 5] and h[0] == h[2] == h[4] and h[1] == h[3] and h[0] != h[1]
+
+
+def test_dictionary_counts_all_texts_and_covers_by_words(spark):
+    # 1,500 texts, more than 400 words, each word in two texts.
+    names = ["".join("abcdefghij"[int(c)] for c in f"{i:05d}") for i in range(1500)]
+    docs = documents(spark, [f"{names[i]} {names[(i + 1) % 1500]} lonely{'abcdefghij'[i % 10] if i else 'zz'}" for i in range(1500)])
+    words = op8_secrets.dictionary_of(docs)
+    assert {r.w for r in words.collect()} == {*names, *(f"lonely{c}" for c in "abcdefghij")}
+    tokens = spark.createDataFrame([(names[7] + "-1234567890" + names[1400],), ("zzzz1234zzzz1234",), (names[3].upper() + "q" * 5,)], "token string")
+    got = {r.token: r.covered for r in op8_secrets.coverage(tokens, words).collect()}
+    assert got == {names[7] + "-1234567890" + names[1400]: 10 / 21, names[3].upper() + "q" * 5: 0.5}
