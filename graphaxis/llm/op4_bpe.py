@@ -10,12 +10,14 @@ functions is associative, so the state before every character comes from a block
 over a whole chunk at once. The slices between boundaries meet a cache of merged results.
 
 Defined results: a null text encodes like an empty one (no ids); repeated rows each give a row;
-other columns are ignored unless named; a text of any length is scanned whole.
+other columns are ignored unless named, whatever their names; an empty table gives an empty one;
+a text of any length is scanned whole, in windows that hand their state on.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import sys
 import unicodedata
@@ -97,11 +99,11 @@ def symbols(points: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     return sym
 
 
-def token_starts(sym: np.ndarray) -> np.ndarray:
-    """Where tokens begin, by an associative scan of the symbols' transition functions."""
+def token_starts(sym: np.ndarray, entry: int = FRESH) -> tuple[np.ndarray, int]:
+    """Where tokens begin, by an associative scan of the symbols' transition functions; the state after the last."""
     n = len(sym)
     if not n:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), entry
     width = max(16, min(256, int(n**0.5)))
     blocks = -(-n // width)
     grid = np.full(blocks * width, RESET, dtype=np.uint8)
@@ -117,21 +119,26 @@ def token_starts(sym: np.ndarray) -> np.ndarray:
     while shift < blocks:
         whole[shift:] = np.take_along_axis(whole[shift:], whole[:-shift].astype(np.int64), axis=1)
         shift *= 2
-    state = np.zeros(blocks, dtype=np.int64)
-    state[1:] = whole[:-1, FRESH]
+    state = np.full(blocks, entry, dtype=np.int64)
+    state[1:] = whole[:-1, entry]
     begins = np.empty((width, blocks), dtype=bool)
     starts = STARTS.reshape(-1)
+    end = (n - 1) - (blocks - 1) * width
     for i, row in enumerate(grid):
         at = row.astype(np.int64) * N_STATES + state
         begins[i] = starts[at]
         state = step[at]
-    return np.flatnonzero(begins.T.reshape(-1)[:n])
+        if i == end:
+            leaving = int(state[-1])
+    return np.flatnonzero(begins.T.reshape(-1)[:n]), leaving
 
 
 class BytePairs:
-    """Merges of a rank file, with a cache of slices already merged, of two bounded generations."""
+    """Merges of a rank file, with a cache of slices already merged, of two generations bounded in bytes."""
 
-    CACHE_SLICES = 500_000
+    CACHE_BYTES = 40 << 20
+    #: What an entry takes besides its slice and ids: two objects' heads and its place in the table.
+    ENTRY_BYTES = 180
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
@@ -140,8 +147,13 @@ class BytePairs:
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
         self.lengths = np.array([len(p) for p in self.pieces], dtype=np.int32)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what is cached, so that an idle worker holds the ranks only."""
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.cached_bytes = 0
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one slice: the adjacent pair of lowest rank, leftmost first, merges next."""
@@ -203,15 +215,20 @@ class BytePairs:
         slices = [data[a:b] for a, b in zip(bounds, bounds[1:])]
         cache = self.cache
         fresh = set(slices).difference(cache)
-        if len(cache) + len(fresh) > self.CACHE_SLICES:
-            self.older, self.cache = cache, {}
+        if self.cached_bytes > self.CACHE_BYTES:
+            self.older, self.cache, self.cached_bytes = cache, {}, 0
             cache, fresh = self.cache, set(slices)
-        older, merge = self.older, self.merge
+        older, merge, added = self.older, self.merge, 0
         for s in fresh:
             packed = older.get(s)
-            cache[s] = array("i", merge(s)).tobytes() if packed is None else packed
+            cache[s] = packed = array("i", merge(s)).tobytes() if packed is None else packed
+            added += len(s) + len(packed)
+        self.cached_bytes += added + self.ENTRY_BYTES * len(fresh)
         return b"".join(map(cache.__getitem__, slices))
 
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
+
 
 _loaded: dict[str, BytePairs] = {}
 
@@ -223,54 +240,91 @@ def byte_pairs(path: str) -> BytePairs:
     return _loaded[path]
 
 
+#: Characters scanned at a time; what a scan holds beside the text is bounded by it, however long a text is.
+WINDOW = 1 << 18
+#: Bytes of short texts handled together.
+CHUNK_BYTES = 1 << 20
+
+
+def _bounds(points: np.ndarray, breaks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By window: the byte offsets at which tokens begin, and the byte offset of every break; breaks take no bytes."""
+    state, at = FRESH, 0
+    for a in range(0, len(points), WINDOW):
+        b = min(a + WINDOW, len(points))
+        seen = points[a : b + 2]  # what a class depends on lies up to two characters ahead
+        cut = breaks[np.searchsorted(breaks, a) : np.searchsorted(breaks, b + 2)] - a
+        starts, state = token_starts(symbols(seen, cut)[: b - a], state)
+        width = 1 + (seen[: b - a] > 0x7F).astype(np.int64) + (seen[: b - a] > 0x7FF) + (seen[: b - a] > 0xFFFF)
+        cut = cut[cut < b - a]
+        width[cut] = 0
+        ends = np.cumsum(width)
+        yield at + ends[starts] - width[starts], at + ends[cut]
+        at += int(ends[-1])
+
+
 def encode_texts(texts: list[str], pairs: BytePairs) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, and the number of each text's ids."""
     joined = "\n".join(texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    del joined
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     breaks = (np.cumsum(lengths + 1) - 1)[:-1]
-    starts = token_starts(symbols(points, breaks))
-    del joined
-    width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
-    width[breaks] = 0
-    byte_at = np.cumsum(width) - width
-    bounds = byte_at[starts]
     data = "".join(texts).encode("utf-8", "surrogatepass")
-    edge = np.concatenate([[0], np.cumsum(lengths + 1)])
-    text_bytes = np.append(byte_at, len(data))[np.minimum(edge, len(byte_at))]
-    every, step = np.append(bounds, len(data)), 500_000  # slices at a time: bounded lists in a huge text
-    packed = [pairs.encode_slices(data, every[a : a + step + 1].tolist()) for a in range(0, len(bounds), step)]
+    packed, text_ends, open_at = [], [], np.zeros(0, dtype=np.int64)
+    for starts, cuts in _bounds(points, breaks):
+        text_ends.append(cuts)
+        bounds = np.concatenate([open_at, starts])
+        if len(bounds) > 1:
+            packed.append(pairs.encode_slices(data, bounds.tolist()))
+        open_at = bounds[-1:]
+    if len(open_at):
+        packed.append(pairs.encode_slices(data, [int(open_at[0]), len(data)]))
     ids = np.frombuffer(b"".join(packed), dtype=np.int32)
     ends = np.cumsum(pairs.lengths[ids], dtype=np.int64)
-    return ids, np.diff(np.searchsorted(ends, text_bytes, "right"))
+    edge = np.concatenate([[0], *text_ends, [len(data)]])
+    return ids, np.diff(np.searchsorted(ends, edge, "right"))
+
 
+def _encoded(texts: pa.Array, pairs: BytePairs) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows [a, b), their ids, where each row's ids begin, and each id's last byte + 1 within its row."""
+    for a, b in chunks(texts, CHUNK_BYTES):
+        ids, counts = encode_texts(texts.slice(a, b - a).to_pylist(), pairs)
+        edge = np.concatenate([[0], np.cumsum(counts)])
+        ends = np.concatenate([[0], np.cumsum(pairs.lengths[ids], dtype=np.int64)])
+        yield a, b, ids, edge, ends[1:] - np.repeat(ends[edge[:-1]], counts)
 
-def encode(docs: DataFrame, ranks: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), offsets: bool = True) -> DataFrame:
-    """Columns ``keep``, ``ids`` array<int> and, if asked, ``ends`` (each id's last byte + 1)."""
+
+def _mapped(docs: DataFrame, ranks: str, text: str, keep: tuple[str, ...], columns: dict[str, pa.DataType], kinds: dict[str, str], make) -> DataFrame:
+    """Columns ``keep`` and ``columns``, which ``make`` gives for the rows of a chunk."""
     small_batches(docs.sparkSession)
     source = docs.select(*keep, F.col(text).alias("__text"))
-    fields = [pa.field("ids", pa.list_(pa.int32()))] + [pa.field("ends", pa.list_(pa.int32()))] * offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = byte_pairs(ranks)
-        for batch in batches:
-            texts = text_column(batch.column(len(keep)))
-            for a, b in chunks(texts):
-                ids, counts = encode_texts(texts.slice(a, b - a).to_pylist(), pairs)
-                edge = np.concatenate([[0], np.cumsum(counts)])
-                at = pa.array(edge, type=pa.int32())
-                columns = [pa.ListArray.from_arrays(at, pa.array(ids))]
-                if offsets:
-                    ends = np.concatenate([[0], np.cumsum(pairs.lengths[ids], dtype=np.int64)])
-                    base = np.repeat(ends[edge[:-1]], counts)
-                    columns.append(pa.ListArray.from_arrays(at, pa.array((ends[1:] - base).astype(np.int32))))
-                kept = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
-                schema = pa.schema([batch.schema.field(i) for i in range(len(keep))] + fields)
-                yield pa.RecordBatch.from_arrays(kept + columns, schema=schema)
-
-    kept = docs.select(*keep).schema
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["ids array<int>"] + ["ends array<int>"] * offsets)
-    return source.mapInArrow(run, out)
+        try:
+            for batch in batches:
+                schema = pa.schema([batch.schema.field(i) for i in range(len(keep))] + [pa.field(n, t) for n, t in columns.items()])
+                for a, b, *rest in _encoded(text_column(batch.column(len(keep))), pairs):
+                    kept = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays(kept + make(pairs, *rest), schema=schema)
+        finally:
+            pairs.forget()
+
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
+    return source.mapInArrow(run, ", ".join(kept + [f"{n} {k}" for n, k in kinds.items()]))
+
+
+_LIST = pa.list_(pa.int32())
+
+
+def _lists(ids: np.ndarray, edge: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+    at = pa.array(edge, type=pa.int32())
+    return [pa.ListArray.from_arrays(at, pa.array(ids)), pa.ListArray.from_arrays(at, pa.array(ends.astype(np.int32)))]
+
+
+def encode(docs: DataFrame, ranks: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep``, ``ids`` array<int> and ``ends`` (each id's last byte + 1)."""
+    return _mapped(docs, ranks, text, keep, {"ids": _LIST, "ends": _LIST}, {"ids": "array<int>", "ends": "array<int>"}, lambda pairs, *rest: _lists(*rest))
 
 
 def decode(encoded: DataFrame, ranks: str, ids: str = "ids", keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -279,12 +333,12 @@ def decode(encoded: DataFrame, ranks: str, ids: str = "ids", keep: tuple[str, ..
     source = encoded.select(*keep, F.col(ids).alias("__ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = byte_pairs(ranks).pieces
+        pairs = byte_pairs(ranks)
         for batch in batches:
             column = batch.column(len(keep))
             values = column.flatten().to_numpy(zero_copy_only=False)
             edge = np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths().fill_null(0)))])
-            decoded = [b"".join([pieces[i] for i in values[a:b].tolist()]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+            decoded = [pairs.decode(values[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
             kept = [batch.column(i) for i in range(len(keep))]
             schema = pa.schema([batch.schema.field(i) for i in range(len(keep))] + [pa.field("decoded", pa.binary())])
             yield pa.RecordBatch.from_arrays([*kept, pa.array(decoded, type=pa.binary())], schema=schema)
@@ -294,28 +348,28 @@ def decode(encoded: DataFrame, ranks: str, ids: str = "ids", keep: tuple[str, ..
     return source.mapInArrow(run, out)
 
 
+def _digests(pairs: BytePairs, ids: np.ndarray, edge: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+    """Number of ids, digest of the ids, digest of what they decode to, and its length."""
+    of_ids, of_bytes, n_bytes = [], [], []
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        decoded = pairs.decode(ids[a:b])
+        of_ids.append(hashlib.sha256(" ".join(map(str, ids[a:b].tolist())).encode()).hexdigest())
+        of_bytes.append(hashlib.sha256(decoded).hexdigest())
+        n_bytes.append(len(decoded))
+    return [pa.array(np.diff(edge)), pa.array(of_ids, type=pa.string()), pa.array(of_bytes, type=pa.string()), pa.array(n_bytes, type=pa.int64())]
+
+
+_DIGESTS = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "n_bytes": pa.int64()}
+_DIGEST_KINDS = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "n_bytes": "long"}
+
+
 def digests(docs: DataFrame, ranks: str) -> DataFrame:
     """Encode and decode every text; per document the id count and the two digests."""
-    ids = encode(docs, ranks)
-    back = decode(ids, ranks, keep=("doc_id", "ids", "ends"))
-    return back.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"),
-    )
+    return _mapped(docs, ranks, "text", ("doc_id",), _DIGESTS, _DIGEST_KINDS, _digests)
 
 
 def encoded_with_digests(docs: DataFrame, ranks: str) -> DataFrame:
     """Per row the ids with their offsets, their number, and the digests of ids and round trip."""
-    ids = encode(docs, ranks)
-    back = decode(ids, ranks, keep=("doc_id", "ids", "ends"))
-    return back.select(
-        "doc_id",
-        "ids",
-        "ends",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    kinds = {"ids": "array<int>", "ends": "array<int>"} | _DIGEST_KINDS
+    make = lambda pairs, ids, edge, ends: _lists(ids, edge, ends) + _digests(pairs, ids, edge, ends)
+    return _mapped(docs, ranks, "text", ("doc_id",), {"ids": _LIST, "ends": _LIST} | _DIGESTS, kinds, make)

@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that the driver and all executors share.
 
 Lineage is cut by writing Parquet under ``spark.checkpoint.dir``: a lost executor then costs a
-reread of a file and never a recomputation of the corpus, and nothing depends on one machine.
+reread of a file and never a recomputation of the corpus, and nothing depends on one machine. The
+shuffle files of a write go when it ends, and a table goes when its last reader has run.
 """
 
 from __future__ import annotations
@@ -9,16 +10,21 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one is set only where the session names none (tests)."""
+    """The cluster's checkpoint folder; a local session that names none (tests) gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="graphaxis-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -28,21 +34,42 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder once and return the table read back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/graphaxis-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(keep: int = 0) -> None:
-    """Delete the tables written so far; the caller has stored every result that reads them."""
-    while len(_written) > keep:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session ended first: the folder's owner clears it
-            return
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+    _written[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialise` that nothing reads any more."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            _delete(path)
+
+
+def release() -> None:
+    """Delete all tables written so far; the caller has stored every result that reads them."""
+    for path in list(_written):
+        _delete(path)
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    try:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session ended first: the folder's owner clears it
+        return
 
 
 atexit.register(release)

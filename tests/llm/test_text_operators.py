@@ -44,6 +44,30 @@ def test_encoding_is_what_the_library_gives(reference, texts):
     assert [ids[a:b].tolist() for a, b in zip(edge[:-1], edge[1:])] == [reference.encode_ordinary(t) for t in texts]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(ALPHABET), min_size=20, max_size=60).map("".join), st.integers(2, 9))
+def test_windows_hand_their_state_on(reference, text, window):
+    was, op4_bpe.WINDOW = op4_bpe.WINDOW, window
+    try:
+        ids, counts = op4_bpe.encode_texts([text, "", text[::-1]], op4_bpe.byte_pairs(RANKS))
+    finally:
+        op4_bpe.WINDOW = was
+    assert ids[: counts[0]].tolist() == reference.encode_ordinary(text)
+    assert ids[counts[0] :].tolist() == reference.encode_ordinary(text[::-1])
+    assert counts[1] == 0
+
+
+def test_caches_are_bounded_and_forgotten(reference):
+    pairs = op4_bpe.BytePairs(RANKS)
+    pairs.CACHE_BYTES = 2000
+    text = " ".join(f"wx{i}yz" for i in range(400))
+    for _ in range(3):
+        ids, _ = op4_bpe.encode_texts([text, text], pairs)
+        assert ids.tolist() == 2 * reference.encode_ordinary(text)
+    pairs.forget()
+    assert not pairs.cache and not pairs.older
+
+
 def test_long_slices_merge_like_short_ones(reference):
     for text in ("a" * 3000, "ab" * 1500 + "日本" * 700, "".join(random.Random(4).choices("abc", k=5000))):
         ids, _ = op4_bpe.encode_texts([text], op4_bpe.byte_pairs(RANKS))
