@@ -136,7 +136,7 @@ def token_starts(sym: np.ndarray, entry: int = FRESH) -> tuple[np.ndarray, int]:
 class BytePairs:
     """Merges of a rank file, with a cache of slices already merged, of two generations bounded in bytes."""
 
-    CACHE_BYTES = 40 << 20
+    CACHE_BYTES = 64 << 20
     #: What an entry takes besides its slice and ids: two objects' heads and its place in the table.
     ENTRY_BYTES = 180
 
@@ -147,14 +147,14 @@ class BytePairs:
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
         self.lengths = np.array([len(p) for p in self.pieces], dtype=np.int32)
-        self.forget()
-
-    def forget(self) -> None:
-        """Drop what is cached, so that an idle worker holds the ranks only."""
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.cached_bytes = 0
 
+    def rest(self) -> None:
+        """Drop the older generation, so that an idle worker holds the ranks and ``CACHE_BYTES`` at most."""
+        self.older = {}
+
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one slice: the adjacent pair of lowest rank, leftmost first, merges next."""
         known = self.ranks.get(piece)
@@ -308,7 +308,7 @@ def _mapped(docs: DataFrame, ranks: str, text: str, keep: tuple[str, ...], colum
                     kept = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                     yield pa.RecordBatch.from_arrays(kept + make(pairs, *rest), schema=schema)
         finally:
-            pairs.forget()
+            pairs.rest()
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
     return source.mapInArrow(run, ", ".join(kept + [f"{n} {k}" for n, k in kinds.items()]))
