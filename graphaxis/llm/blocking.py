@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphaxis.llm.components import components
-from graphaxis.llm.scratch import materialise
+from graphaxis.llm.scratch import discard, materialise
 
 SMALL = 32
 #: An item's guard is two longs; this takes those of two items side by side, as arrays of two rows,
@@ -33,9 +33,16 @@ TILE = 256
 def _runs(close: Guard) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros((4, 0), dtype=np.int64)  # key, node and guards of the last run, which may go on
-        rest, long_key, lead = none, None, none
+        rest, long_key, lead, last = none, None, none, none
         for batch in batches:
-            rows = np.concatenate([rest, np.stack([batch.column(i).to_numpy() for i in range(4)])], axis=1)
+            rows = np.stack([batch.column(i).to_numpy() for i in range(4)])
+            # An item that several tasks gave to a block stands once: its rows follow each other.
+            seen = np.concatenate([last, rows[:, :-1]], axis=1) if last.shape[1] else rows[:, :-1]
+            tail = rows[:, rows.shape[1] - seen.shape[1] :]
+            again = (tail[:2] == seen[:2]).all(axis=0)
+            last = rows[:, -1:] if rows.shape[1] else last
+            rows = rows[:, np.concatenate([np.ones(rows.shape[1] - len(again), dtype=bool), ~again])]
+            rows = np.concatenate([rest, rows], axis=1)
             if long_key is not None and rows.shape[1]:
                 n = int(np.searchsorted(rows[0], long_key, "right"))
                 yield from _part_of_long(rows[:, :n], lead, close)
@@ -102,13 +109,17 @@ def link(blocks: DataFrame, close: Guard, close_sql: Callable[[Column, Column, C
     pairs = materialise(_ordered(found.where("u <> -1").select("u", "v")), "pairs")
     links = materialise(verify(pairs), "verified")
     grouped = materialise(components(links), "components")
-    members = found.where("u = -1").select("key", F.col("v").alias("node"), "g", "h").distinct()
+    members = found.where("u = -1").select("key", F.col("v").alias("node"), "g", "h")
     member = members.join(grouped, "node", "left").select("key", "node", "g", "h", F.coalesce("component", "node").alias("component"))
     member = materialise(member, "members")
     late = _rest_in_tasks(member, *in_tasks) if in_tasks else _rest_by_pairs(member, pairs, close_sql, verify)
-    if late is None:
-        return grouped
-    return materialise(components(links.union(materialise(late, "late"))), "components")
+    if late is not None:
+        late = materialise(late, "late")
+        # What is linked already counts as one star for each component.
+        joined = components(grouped.where("node <> component").select(F.col("component").alias("u"), F.col("node").alias("v")).union(late))
+        grouped = materialise(joined, "components")
+    discard(found, pairs, links, member, late) if late is not None else discard(found, pairs, links, member)
+    return grouped
 
 
 def _largest(member: DataFrame, group: str) -> DataFrame:

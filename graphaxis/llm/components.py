@@ -1,28 +1,73 @@
 """Connected components of a link table, distributed, by minimum labels and pointer jumping.
 
-Only vertices that have a link appear. Every round reads and writes tables in the shared folder, so
+Only vertices that have a link appear. Links are first thinned inside tasks: those that meet in a
+greater vertex leave one spanning forest. Every round reads and writes tables in the shared folder, so
 both sides of each join are plain scans that adaptive execution can split where a vertex is hot;
 the driver sees one number a round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphaxis.llm.scratch import materialise
+from graphaxis.llm.scratch import discard, materialise
+
+#: Links that a task holds at once.
+HELD = 1 << 20
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each vertex that is not the least it reaches, and that least one."""
+    node, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(node))
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            break
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    other = np.flatnonzero(root != np.arange(len(node)))
+    return node[root[other]], node[other]
+
+
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+
+    def out() -> pa.RecordBatch:
+        u, v = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in forest(u, v)], names=["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(len(b) for b in held) >= HELD:
+            yield out()
+    if held:
+        yield out()
 
 
 def components(links: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
     """``node`` and ``component`` (the least node it reaches) for each linked node."""
-    pairs = links.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v")
-    both = materialise(pairs.union(pairs.select("v", "u")).distinct(), "links")
-    labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    pairs = links.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v")).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    thin = materialise(pairs.repartition("v").mapInArrow(_thinned, "u long, v long"), "links")
+    both = thin.union(thin.select("v", "u"))
+    start = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
+    labels = materialise(start.select("node", F.least("node", "m").alias("label")), "labels")
     while True:
-        near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("best"))
-        hop = materialise(labels.join(near, F.col("node") == F.col("u")).select("node", F.least("label", "best").alias("label"), F.col("label").alias("was")), "hop")
+        near = both.join(labels, F.col("v") == F.col("node")).select(F.col("u").alias("node"), "label", F.lit(None).cast("long").alias("was"))
+        best = near.union(labels.select("node", "label", F.col("label").alias("was"))).groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was"))
+        hop = materialise(best, "hop")
         to = hop.select(F.col("node").alias("at"), F.col("label").alias("next"))
         moved = materialise(hop.join(to, F.col("label") == F.col("at")).select("node", F.col("next").alias("label"), "was"), "labels")
-        labels = moved.select("node", "label")
+        discard(labels, hop)
+        labels = moved
         if moved.where("label <> was").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+            discard(thin)
+            return labels.select("node", F.col("label").alias("component"))

@@ -1,21 +1,29 @@
 """Fuzzy line dedup.
 
-A line is normalised to its lower-case words of letters and digits; lines of five words or more
-take part. Equal lines form a class. Two lines are alike if the edit similarity of their sequences
-of words is 0.8 or more (one less edits by the longer length).
-
-Every pair of lines that are alike meets: a line of ``l`` words is within ``L // 5`` edits of one of ``L >= l``,
-of which ``L - l`` or more are insertions; an insertion parts one pair of adjacent words and another edit two,
-so at most ``2 * (l // 5)`` of the line's word pairs, and one more where ``l % 5 == 4``, are lost in the other.
-A line's join keys are one more of its word pairs than that, least first in an order that all lines
-share; the pair that stays is then among the keys of both. The order is by how often words and pairs
-occur in a part of the documents, so that common ones are rarely keys; it has no part in what is found.
-Pairs of lines that pass a check of their lengths and of the parities of their words, which drops none that are alike, are
-verified. Of each connected group the first occurrence (least
-document id, then line) stays; the others go, within one document too.
+A line is normalised to its lower-case words of letters and digits. Equal lines form a class. Two
+lines of five words or more are alike if the edit similarity of their sequences of words is 0.8 or
+more (one less edits by the longer length); shorter ones only if they are equal. Lines without a
+word (rules, brackets) take no part.
+
+Blocks: a line of ``l`` words is within ``L // 5`` edits of one of ``L >= l``, of which ``L - l`` or more
+are insertions; an insertion parts one pair of adjacent words and another edit two, so at most
+``2 * (l // 5)`` of the line's word pairs, and one more where ``l % 5 == 4``, are lost in the other.
+Pigeonhole: one more of its pairs than that, least first in an order that all lines share, holds one
+that the other line has among its own. A line's blocks are those pairs, ``MOST_KEYS`` at most: up
+to 24 words no line at 0.8 is missed; of longer ones ``MOST_KEYS`` pairs are a consistent weighted
+sample, and two lines at exactly 0.8 miss each other less than once in a thousand (README). The order is
+that of exponential draws, seeded by the pair, over its rarity, so that common pairs are rarely keys.
+SimHash blocks, the method first chosen, meet one line pair in five at this similarity (README).
+
+Pairs of lines that pass a check of their lengths and of the parities of their words, which drops
+none that are alike, are verified. Of each connected group the first occurrence (least document id,
+then line) stays; the others go, within one document too.
 
 Defined results: a null text stays null and counts no lines; a null id's lines are never compared;
-rows that repeat an id are one document; a document whose every line goes keeps an empty text.
+rows that repeat an id are one document, whose equal line numbers are one line; a document whose
+every line goes keeps an empty text; ties don't arise, as ids and line numbers are an order; an
+empty table gives an empty one; a text of any length is read whole; other columns stay as they are,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,37 +37,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphaxis.llm.blocking import link
-from graphaxis.llm.scratch import materialise
-from graphaxis.llm.textscan import chunks, mix, ranges, raw_bytes, runs, small_batches, span_hashes, text_column
+from graphaxis.llm.scratch import discard, materialise
+from graphaxis.llm.textscan import chunks, mix, raw_bytes, runs, small_batches, span_hashes, text_column
 
 LEAST_WORDS = 5
 SIMILARITY = 0.8
+MOST_KEYS = 10
+#: Hashed counters of words, from all documents.
 COUNTERS = 1 << 18
-#: The order of keys is taken from one document in so many.
-ORDER_SHARE = 8
-#: A guard's bits for the line's length; the others are parities.
+#: A word that is one of so many has half of a rare word's weight.
+HALF_WEIGHT = 1e-5
+#: Bits of the first guard that hold a line's length; the others, and the second guard's, are parities.
 LENGTH_BITS = 12
+PARITIES = 128 - LENGTH_BITS
 _U = np.uint64
 
 _WORD = np.zeros(256, dtype=bool)
 for _a, _b in (("a", "z"), ("0", "9")):
     _WORD[ord(_a) : ord(_b) + 1] = True
 _WORD[128:] = True
-_GAPS = "[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+"  # what lies between those words
-
-
-def normalised(line: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(line), _GAPS, " "))
-
-
-def word_letters(line: Column) -> Column:
-    """A text with one letter for each word, so that edits of letters are edits of words."""
-    letter = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(50000)) + 256), 4, "0")
-    return F.decode(F.unhex(F.array_join(F.transform(F.split(line, " "), letter), "")), "UTF-16BE")
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of lines that take part: ids, line numbers, all word hashes, and each line's first word."""
+    """Of lines with words: ids, line numbers, all word hashes, and each line's first word."""
     for batch in batches:
         ids, texts = batch.column(0), text_column(batch.column(1))
         for a, b in chunks(texts, 1 << 19):
@@ -71,13 +71,10 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nda
             before = np.searchsorted(breaks, offsets[:-1], "right")
             no = np.searchsorted(breaks, edge[:-1], "right") - before[doc]
             starts, ends, first = runs(_WORD[data], edge)
-            words = span_hashes(data, starts, ends)
             counts = np.diff(first)
-            use = np.flatnonzero(counts >= LEAST_WORDS)
-            if not len(use):
-                continue
-            words, counts = words[np.repeat(counts >= LEAST_WORDS, counts)], counts[use]
-            yield ids.take(pa.array(a + doc[use])), no[use], words, np.concatenate([[0], np.cumsum(counts)])
+            use = np.flatnonzero(counts)
+            if len(use):
+                yield ids.take(pa.array(a + doc[use])), no[use], span_hashes(data, starts, ends), np.append(first[:-1][use], first[-1])
 
 
 def _hash(words: np.ndarray, begin: np.ndarray, k: int) -> np.ndarray:
@@ -90,122 +87,120 @@ def _source(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
 
 
-def line_rows(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, line number ``no``, and two text hashes ``h`` and ``g``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, no, words, begin in _lines(batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array(no), *[pa.array(_hash(words, begin, k)) for k in (3, 4)]], names=["id", "no", "h", "g"])
-
-    return _source(docs, id, text).mapInArrow(run, "id long, no long, h long, g long")
-
-
-def _word_pairs(words: np.ndarray) -> np.ndarray:
-    """A hash of each word and the next; the last of a line has none and its value is not used."""
-    return mix(words[:-1] * _U(3) + mix(words[1:] + _U(11)))
-
-
-def _counters(words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = _U(COUNTERS - 1)
-    return (words & mask).astype(np.int64), COUNTERS + (pairs & mask).astype(np.int64)
+def _counter(words: np.ndarray) -> np.ndarray:
+    return (words & _U(COUNTERS - 1)).astype(np.int64)
 
 
-def key_order(docs: DataFrame, id: str = "doc_id", text: str = "text") -> np.ndarray:
-    """Eight times the logarithm of the count in each counter of words and of word pairs."""
+def word_weights(docs: DataFrame, id: str = "doc_id", text: str = "text") -> np.ndarray:
+    """For each counter a weight from 1 (rare) towards 0, by its share of all words of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * COUNTERS, dtype=np.int64)
-        for _, _, words, begin in _lines(batches):
-            total += np.bincount(np.concatenate(_counters(words, np.delete(_word_pairs(words), begin[1:-1] - 1))), minlength=2 * COUNTERS)
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for _, _, words, _ in _lines(batches):
+            total += np.bincount(_counter(words), minlength=COUNTERS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["counter", "k"])
 
-    part = _source(docs, id, text).where(F.pmod(F.xxhash64("id"), F.lit(ORDER_SHARE)) == 0)
-    summed = part.mapInArrow(run, "counter long, k long").groupBy("counter").agg(F.sum("k").alias("k")).toArrow()
-    count = np.zeros(2 * COUNTERS)
+    summed = _source(docs, id, text).mapInArrow(run, "counter long, k long").groupBy("counter").agg(F.sum("k").alias("k")).toArrow()
+    count = np.zeros(COUNTERS)
     count[summed.column("counter").to_numpy()] = summed.column("k").to_numpy()
-    return np.minimum(8 * np.log2(1 + count), 255).astype(np.uint8)
+    return (1 / (1 + count / max(count.sum(), 1.0) / HALF_WEIGHT)).astype(np.float32)
 
 
-def _line_keys(words: np.ndarray, begin: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of each line, and which line each is of."""
+def _line_keys(words: np.ndarray, begin: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of each line of two words or more, and how many each has."""
     counts = np.diff(begin)
     line = np.repeat(np.arange(len(counts)), counts)
     inner = np.flatnonzero(line[1:] == line[:-1])
-    pairs, line = _word_pairs(words)[inner], line[inner]
-    of_words, of_pairs = _counters(words, pairs)
-    common = np.minimum(np.minimum(order[of_words[inner]], order[of_words[inner + 1]]), order[of_pairs])
-    rank = np.lexsort((pairs, line * 256 + common))
-    pairs = pairs[rank]
+    pairs, line = mix(words[inner] * _U(3) + mix(words[inner + 1] + _U(11))), line[inner]
+    weight = weights[_counter(words)].astype(np.float64)
+    draw = -np.log(((mix(pairs + _U(5)) >> _U(12)).astype(np.float64) + 1) / (1 << 52)) / np.maximum(weight[inner], weight[inner + 1])
+    # Positive floats sort as their bits do: the line's place stands above the draw's leading bits.
+    room = 64 - max(1, int(len(counts)).bit_length())
+    rank = np.argsort(line.astype(np.uint64) << _U(room) | draw.view(np.uint64) >> _U(64 - room))
+    pairs, line = pairs[rank], line[rank]
     place = np.arange(len(pairs)) - np.repeat(begin[:-1] - np.arange(len(counts)), counts - 1)
-    keys = 2 * (counts // 5) + (counts % 5 == 4) + 1
-    take = place < keys[line]
+    most = np.minimum(2 * (counts // 5) + (counts % 5 == 4) + 1, MOST_KEYS)
+    take = place < most[line]
     take[1:] &= (pairs[1:] != pairs[:-1]) | (line[1:] != line[:-1])
-    return pairs[take].view(np.int64), line[take]
+    return pairs[take].view(np.int64), np.bincount(line[take], minlength=len(counts))
 
 
-def _guards(words: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """One long for each line: its length, and for each bit whether the words of that bit are odd in number."""
-    parities = 64 - LENGTH_BITS
-    bit = _U(1) << ((mix(words + _U(29)) >> _U(8)) % _U(parities) + _U(LENGTH_BITS))
-    length = np.minimum(np.diff(begin), (1 << LENGTH_BITS) - 1).astype(np.uint64)
-    return (np.bitwise_xor.reduceat(bit, begin[:-1]) | length).view(np.int64)
+def _guards(words: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two longs for each line: its length, and for each bit whether the words of that bit are odd in number."""
+    at = (mix(words + _U(29)) >> _U(8)) % _U(PARITIES) + _U(LENGTH_BITS)
+    bit = _U(1) << (at & _U(63))
+    one = np.bitwise_xor.reduceat(np.where(at < 64, bit, _U(0)), begin[:-1])
+    two = np.bitwise_xor.reduceat(np.where(at < 64, _U(0), bit), begin[:-1])
+    return (one | np.minimum(np.diff(begin), (1 << LENGTH_BITS) - 1).astype(np.uint64)).view(np.int64), two.view(np.int64)
 
 
-def key_rows(docs: DataFrame, order: np.ndarray, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each key of a line: ``key``, ``node`` (the line's ``h``), guard ``g``, and ``h``, which is zero.
+def line_table(docs: DataFrame, weights: np.ndarray, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id``, line number ``no``, two hashes ``h`` and ``g``; and of lines that may be alike to others
+    ``keys``, guards ``a`` and ``b``, and ``letters``: two bytes for each word.
 
-    A task gives a line once as long as it remembers it, so that copies don't crowd a key.
+    A task gives a line's keys once as long as it remembers it, so that copies don't crowd a block.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(weights)  # COUNTERS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, _, words, begin in _lines(batches):
-            node, first = np.unique(_hash(words, begin, 3), return_index=True)
-            if len(seen) > 1 << 19:
+        for ids, no, words, begin in _lines(batches):
+            h, g, counts = _hash(words, begin, 3), _hash(words, begin, 4), np.diff(begin)
+            if len(seen) > 1 << 18:
                 seen.clear()
-            new = np.fromiter((n not in seen for n in node.tolist()), dtype=bool, count=len(node))
-            seen.update(node[new].tolist())
-            node, first = node[new], first[new]
-            counts = np.diff(begin)[first]
-            words, begin = words[ranges(begin[first], counts)], np.concatenate([[0], np.cumsum(counts)])
-            if not len(node):
-                continue
-            key, line = _line_keys(words, begin, order)
-            guard = _guards(words, begin)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[line]), pa.array(guard[line]), pa.array(np.zeros(len(key), dtype=np.int64))], names=["key", "node", "g", "h"])
-
-    return _source(docs, id, text).mapInArrow(run, "key long, node long, g long, h long")
+            new = np.zeros(len(h), dtype=bool)
+            new[np.unique(h, return_index=True)[1]] = True
+            new &= counts >= LEAST_WORDS
+            new[new] = np.fromiter((x not in seen for x in h[new].tolist()), dtype=bool, count=int(new.sum()))
+            seen.update(h[new].tolist())
+            words, held = words[np.repeat(new, counts)], np.where(new, counts, 0)
+            inner = np.concatenate([[0], np.cumsum(counts[new])])
+            keys, n_keys, a, b = np.zeros(0, np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+            if len(words):
+                keys, n_keys[new] = _line_keys(words, inner, shared.value)
+                a[new], b[new] = _guards(words, inner)
+            letters = (words % _U(50000) + _U(256)).astype(">u2").tobytes()  # below the surrogates
+            column = lambda x: pa.array(x, mask=~new)
+            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_keys)]), pa.int32()), pa.array(keys))
+            ends = np.concatenate([[0], np.cumsum(2 * held)]).astype(np.int32)
+            spelled = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(letters)])
+            arrays = [ids, pa.array(no), pa.array(h), pa.array(g), column(a), column(b), listed, spelled]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "no", "h", "g", "a", "b", "keys", "letters"])
+
+    return _source(docs, id, text).mapInArrow(run, "id long, no long, h long, g long, a long, b long, keys array<long>, letters binary")
+
+
+def _changed_most(long, short):
+    """Each of the edits, a fifth of the longer length, changes two parities, an insertion one."""
+    return 2 * (long // 5) - (long - short)
 
 
 def _guard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Each of the edits, a fifth of the longer length, changes two parities, an insertion one."""
     most = (1 << LENGTH_BITS) - 1
     one, two = a[0] & most, b[0] & most
     long, short = np.maximum(one, two), np.minimum(one, two)
-    changed = np.bitwise_count(((a[0] ^ b[0]) & ~most).view(np.uint64))
-    return (long == most) | ((5 * short >= 4 * long) & (changed <= 2 * (long // 5) - (long - short)))
+    changed = np.bitwise_count(((a[0] ^ b[0]) & ~most).view(np.uint64)).astype(np.int64) + np.bitwise_count((a[1] ^ b[1]).view(np.uint64))
+    return (long == most) | ((5 * short >= 4 * long) & (changed <= _changed_most(long, short)))
 
 
 def _guard_sql(g: Column, h: Column, g2: Column, h2: Column) -> Column:
     most = (1 << LENGTH_BITS) - 1
     one, two = g.bitwiseAND(F.lit(most)), g2.bitwiseAND(F.lit(most))
     long, short = F.greatest(one, two), F.least(one, two)
-    changed = F.bit_count(g.bitwiseXOR(g2).bitwiseAND(F.lit(~most)))
+    changed = F.bit_count(g.bitwiseXOR(g2).bitwiseAND(F.lit(~most))) + F.bit_count(h.bitwiseXOR(h2))
     return (long == most) | ((5 * short >= 4 * long) & (changed <= 2 * F.floor(long / 5) - (long - short)))
 
 
-def _verifier(docs: DataFrame, classes: DataFrame, id: str, text: str):
+def _verifier(lines: DataFrame):
     def verify(pairs: DataFrame) -> DataFrame:
-        """Each class's line is read once, from its first occurrence, and then joined to pairs."""
+        """Edit similarity over words: one letter stands for each word."""
         nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        places = nodes.join(classes, F.col("node") == F.col("h")).groupBy("first.id").agg(F.collect_list(F.struct("first.no", "node")).alias("wanted"))
-        held = docs.select(F.col(id).cast("long").alias("__id"), F.split(text, "\n").alias("lines")).where("__id is not null and lines is not null")
-        found = held.join(places, F.col("__id") == F.col("id")).select("lines", F.explode("wanted").alias("w"))
-        lines = found.select(F.col("w.node").alias("node"), word_letters(normalised(F.get("lines", F.col("w.no").cast("int")))).alias("line"))
-        lines = materialise(lines.groupBy("node").agg(F.min("line").alias("line")), "lines")
-        one = pairs.join(lines.select(F.col("node").alias("u"), F.col("line").alias("a")), "u")
-        two = one.join(lines.select(F.col("node").alias("v"), F.col("line").alias("b")), "v")
+        spelled = lines.where("a is not null").select(F.col("h").alias("node"), "letters").join(nodes, "node", "left_semi")
+        spelled = spelled.groupBy("node").agg(F.min("letters").alias("letters"))
+        spelled = materialise(spelled.select("node", F.decode("letters", "UTF-16BE").alias("line")), "letters")
+        one = pairs.join(spelled.select(F.col("node").alias("u"), F.col("line").alias("a")), "u")
+        two = one.join(spelled.select(F.col("node").alias("v"), F.col("line").alias("b")), "v")
         longest = F.greatest(F.length("a"), F.length("b"))
         near = F.least(F.length("a"), F.length("b")) >= SIMILARITY * longest
         two = two.withColumn("most", F.floor(longest * (1 - SIMILARITY) + 1e-9).cast("int")).where(near)
@@ -215,42 +210,58 @@ def _verifier(docs: DataFrame, classes: DataFrame, id: str, text: str):
 
 
 def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id`` and the numbers of the lines to drop, for documents that lose any."""
-    lines = materialise(line_rows(docs, id, text), "lines")
+    """``id`` and ``gone``, the numbers of the lines to drop, for documents that lose any."""
+    lines = materialise(line_table(docs, word_weights(docs, id, text), id, text), "lines")
+    blocks = lines.where("a is not null").select(F.explode("keys").alias("key"), F.col("h").alias("node"), F.col("a").alias("g"), F.col("b").alias("h"))
+    found = link(blocks, _guard, _guard_sql, _verifier(lines))
     first = F.min(F.struct("id", "no")).alias("first")
     classes = lines.groupBy("h", "g").agg(first, F.count(F.lit(1)).alias("n"))
-    classes = materialise(classes, "classes")
-    found = link(key_rows(docs, key_order(docs, id, text), id, text), _guard, _guard_sql, _verifier(docs, classes, id, text))
     grouped = classes.join(found, F.col("h") == F.col("node"), "left").select("h", "g", "n", "first", F.coalesce("component", "h").alias("grp"))
     grouped = materialise(grouped, "grouped")
     keepers = grouped.groupBy("grp").agg(F.min("first").alias("stay"), F.sum("n").alias("total")).where("total > 1").select("grp", "stay")
-    repeated = materialise(grouped.join(materialise(keepers, "keepers"), "grp").select("h", "g", "stay"), "repeated")
+    repeated = materialise(grouped.join(keepers, "grp").select("h", "g", "stay"), "repeated")
     gone = lines.select("id", "no", "h", "g").join(repeated, ["h", "g"]).where((F.col("id") != F.col("stay.id")) | (F.col("no") != F.col("stay.no")))
-    return gone.groupBy("id").agg(F.collect_set(F.col("no").cast("int")).alias("gone"))
+    gone = materialise(gone.groupBy("id").agg(F.collect_set(F.col("no").cast("int")).alias("gone")), "gone")
+    discard(lines, grouped, repeated, found)
+    return gone
 
 
-def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns, ``text`` without its dropped lines, and ``__lines``, ``__dropped``."""
-    gone = dropped_lines(docs, id, text).withColumnRenamed("id", "__id")
-    joined = docs.join(gone, F.col(id).cast("long") == F.col("__id"), "left")
-    joined = joined.withColumn("__split", F.explode(F.array(F.split(text, "\n"))))  # computed once for the lambda
-    places = F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), F.col("gone"))
-    rest = F.array_join(F.transform(places, lambda i: F.get("__split", i)), "\n")
-    return joined.select(
-        *[F.when(F.col("gone").isNull(), F.col(c)).otherwise(rest).alias(c) if c == text else F.col(c) for c in docs.columns],
-        F.greatest(F.size("__split"), F.lit(0)).cast("long").alias("__lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("__dropped"),
-    )
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that no input column has."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def _joined(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, Column, Column]:
+    """Documents with the numbers of lines that go, and the lines as a column, computed once."""
+    key, gone, split = (_free(f"__{n}", docs.columns) for n in ("id", "gone", "split"))
+    lost = dropped_lines(docs, id, text).select(F.col("id").alias(key), F.col("gone").alias(gone))
+    joined = docs.join(lost, F.col(id).cast("long") == F.col(key), "left")
+    return joined.withColumn(split, F.explode(F.array(F.split(text, "\n")))), F.col(gone), F.col(split)
+
+
+def _kept_text(text: str, gone: Column, split: Column) -> Column:
+    places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone)
+    rest = F.array_join(F.transform(places, lambda i: F.get(split, i)), "\n")
+    return F.when(gone.isNull(), F.col(text)).otherwise(rest)
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    out = dedup(docs)
-    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.greatest("__dropped", F.lit(0)).cast("long").alias("n_dropped"), F.sha2("text", 256).alias("text_sha256"))
+    """Per row: ``doc_id``, ``n_lines``, ``n_dropped`` and the digest of the text that stays."""
+    joined, gone, split = _joined(docs.select("doc_id", "text"), "doc_id", "text")
+    return joined.select(
+        "doc_id",
+        F.greatest(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.greatest(F.size(gone), F.lit(0)), F.lit(0)).cast("long").alias("n_dropped"),
+        F.sha2(_kept_text("text", gone, split), 256).alias("text_sha256"),
+    )
 
 
 def shortened(docs: DataFrame, id: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
-    """The documents without repeated lines, with the columns they came with."""
-    out = dedup(docs, id, text)
+    """The documents without repeated lines, with the columns they came with; ``length``, if there, follows the text."""
+    joined, gone, split = _joined(docs, id, text)
     kinds = dict(docs.dtypes)
-    columns = [F.when(F.col("__dropped") > 0, F.length(text).cast(kinds[c])).otherwise(F.col(c)).alias(c) if c == length else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    rest = _kept_text(text, gone, split)
+    made = {text: rest, length: F.when(gone.isNotNull(), F.length(rest).cast(kinds.get(length, "long"))).otherwise(F.col(length) if length in kinds else F.lit(None))}
+    return joined.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
