@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from graphaxis.llm.components import components
 from graphaxis.llm.scratch import discard, materialise
 
-SMALL = 32
+SMALL = 12
 #: An item's guard is two longs; this takes those of two items side by side, as arrays of two rows,
 #: and gives which pairs may pass.
 Guard = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -63,18 +63,23 @@ def _runs(close: Guard) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return scan
 
 
-def _emit(u: np.ndarray, v: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, rows[0], rows[2], rows[3])], names=["u", "v", "key", "g", "h"])
+_FOUND = "u long, v long, lead long, key long, g long, h long"
+
+
+def _pairs(u: np.ndarray, v: np.ndarray, lead: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(u), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(lead), none, none, none], names=["u", "v", "lead", "key", "g", "h"])
 
 
 def _part_of_long(rows: np.ndarray, lead: np.ndarray, close: Guard) -> Iterator[pa.RecordBatch]:
     """Memberships of a long run, and its items paired with the run's first."""
     if not rows.shape[1]:
         return
-    yield _emit(np.full(rows.shape[1], -1), rows[1], rows)
+    none = pa.nulls(rows.shape[1], pa.int64())
+    yield pa.RecordBatch.from_arrays([none, pa.array(rows[1]), none, *[pa.array(rows[i]) for i in (0, 2, 3)]], names=["u", "v", "lead", "key", "g", "h"])
     first = np.repeat(lead, rows.shape[1], axis=1)
     pick = (rows[1] != first[1]) & close(first[2:], rows[2:])
-    yield _emit(first[1, pick], rows[1, pick], rows[:, pick])
+    yield _pairs(first[1, pick], rows[1, pick], first[1, pick])
 
 
 def _whole(rows: np.ndarray, close: Guard) -> Iterator[pa.RecordBatch]:
@@ -86,42 +91,57 @@ def _whole(rows: np.ndarray, close: Guard) -> Iterator[pa.RecordBatch]:
     size = np.diff(np.append(edge, n))
     for a, k in zip(edge[size > SMALL].tolist(), size[size > SMALL].tolist()):
         yield from _part_of_long(rows[:, a : a + k], rows[:, a : a + 1], close)
-    rows = rows[:, np.repeat((size > 1) & (size <= SMALL), size)]
+    use = np.repeat((size > 1) & (size <= SMALL), size)
+    lead = np.repeat(rows[1, edge], size)[use]
+    rows = rows[:, use]
     for step in range(1, SMALL):
         i = np.flatnonzero(rows[0, step:] == rows[0, :-step])
         if not len(i):
             break
         j = i + step
         pick = (rows[1, i] != rows[1, j]) & close(rows[2:, i], rows[2:, j])
-        yield _emit(rows[1, i[pick]], rows[1, j[pick]], rows[:, i[pick]])
+        yield _pairs(rows[1, i[pick]], rows[1, j[pick]], lead[i[pick]])
 
 
-def link(blocks: DataFrame, close: Guard, close_sql: Callable[[Column, Column, Column, Column], Column], verify: Callable[[DataFrame], DataFrame], in_tasks: tuple[DataFrame, Linked] | None = None) -> DataFrame:
+def link(blocks: DataFrame, close: Guard, close_sql: Callable[[Column, Column, Column, Column], Column], payload: DataFrame, verify: Callable[[DataFrame], DataFrame], linked: Linked | None = None) -> DataFrame:
     """``node`` and ``component`` of every linked item.
 
-    ``blocks``: ``key``, ``node``, and the guard ``g``, ``h`` (longs). ``verify``: from pairs ``u`` < ``v`` to those
-    that are links. ``close`` and ``close_sql`` are one guard, for arrays and for columns.
-    ``in_tasks``: a table of ``node`` and ``payload``, and how payloads are compared, where the rest
-    is to be compared inside tasks instead of as a table of pairs.
+    ``blocks``: ``key``, ``node``, and the guard ``g``, ``h`` (longs). ``close`` and ``close_sql`` are one
+    guard, for arrays and for columns. ``payload``: ``node`` and what is compared, read once for the
+    items that are candidates. ``verify``: from pairs with their payloads ``a`` and ``b`` to those rows that are
+    links. ``linked``: how payloads are compared where the rest is to be compared inside tasks
+    instead of as a table of pairs.
     """
     dealt = blocks.select("key", "node", "g", "h").repartition("key").sortWithinPartitions("key", "node")
-    found = materialise(dealt.mapInArrow(_runs(close), "u long, v long, key long, g long, h long"), "candidates")
-    pairs = materialise(_ordered(found.where("u <> -1").select("u", "v")), "pairs")
-    links = materialise(verify(pairs), "verified")
-    grouped = materialise(components(links), "components")
-    members = found.where("u = -1").select("key", F.col("v").alias("node"), "g", "h")
+    found = materialise(dealt.mapInArrow(_runs(close), _FOUND), "candidates", 1 << 16)
+    nodes = found.select(F.col("v").alias("node")).union(found.where("u is not null").select("u")).distinct()
+    held = materialise(payload.join(nodes, "node", "left_semi").dropDuplicates(["node", "payload"]), "payload")
+    pairs = found.where("u is not null").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("lead").alias("lead"))
+    pairs = materialise(pairs, "pairs")
+    links = verify(_with_payloads(pairs, held)).select("u", "v", "lead")
+    grouped = components(links, "lead")
+    members = found.where("u is null").select("key", F.col("v").alias("node"), "g", "h")
     member = members.join(grouped, "node", "left").select("key", "node", "g", "h", F.coalesce("component", "node").alias("component"))
     member = materialise(member, "members")
-    late = _rest_in_tasks(member, *in_tasks) if in_tasks else _rest_by_pairs(member, pairs, close_sql, verify)
+    discard(found)
+    late = _rest_in_tasks(member, held, linked) if linked else _rest_by_pairs(member, pairs, close_sql, held, verify)
     if late is not None:
-        late = materialise(late, "late")
-        # What is linked already counts as one star for each component.
-        joined = components(grouped.where("node <> component").select(F.col("component").alias("u"), F.col("node").alias("v")).union(late))
-        grouped = materialise(joined, "components")
-    discard(found, pairs, links, member, late) if late is not None else discard(found, pairs, links, member)
+        # Links between components: these are few, and what is inside of them is not looked at again.
+        joined = components(late)
+        to = joined.select(F.col("node").alias("from"), F.col("component").alias("to"))
+        moved = grouped.join(to, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component"))
+        lone = joined.join(grouped.select("component").distinct().withColumnRenamed("component", "node"), "node", "left_anti")
+        grouped, before = materialise(moved.union(lone), "components"), grouped
+        discard(before, joined)
+    discard(pairs, member, held)
     return grouped
 
 
+def _with_payloads(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    one = pairs.join(held.select(F.col("node").alias("u"), F.col("payload").alias("a")), "u")
+    return one.join(held.select(F.col("node").alias("v"), F.col("payload").alias("b")), "v")
+
+
 def _largest(member: DataFrame, group: str) -> DataFrame:
     """Groups of more than one component, and the component that most of their items are in."""
     shares = member.groupBy(group, "component").agg(F.count(F.lit(1)).alias("n"))
@@ -129,7 +149,8 @@ def _largest(member: DataFrame, group: str) -> DataFrame:
     return materialise(largest.where("parts > 1").select(group, "largest"), "largest")
 
 
-def _rest_by_pairs(member: DataFrame, pairs: DataFrame, close_sql, verify) -> DataFrame | None:
+def _rest_by_pairs(member: DataFrame, pairs: DataFrame, close_sql, held: DataFrame, verify) -> DataFrame | None:
+    """Links ``u``, ``v`` between components, by a table of the pairs that pass the guard."""
     largest = _largest(member, "key")
     if largest.isEmpty():
         return None
@@ -138,8 +159,11 @@ def _rest_by_pairs(member: DataFrame, pairs: DataFrame, close_sql, verify) -> Da
     across = few.join(all_of, "key").where(
         (F.col("c") != F.col("component")) & ((F.col("component") == F.col("largest")) | (F.col("a") < F.col("node"))) & close_sql(F.col("g"), F.col("h"), F.col("g2"), F.col("h2"))
     )
-    more = _ordered(across.select(F.col("a").alias("u"), F.col("node").alias("v"))).join(pairs, ["u", "v"], "left_anti")
-    return verify(materialise(more, "pairs"))
+    across = across.groupBy(F.least("a", "node").alias("u"), F.greatest("a", "node").alias("v")).agg(F.min(F.least("c", "component")).alias("one"), F.max(F.greatest("c", "component")).alias("two"))
+    more = materialise(across.join(pairs, ["u", "v"], "left_anti"), "pairs")
+    late = materialise(verify(_with_payloads(more, held)).select(F.col("one").alias("u"), F.col("two").alias("v")).distinct(), "late")
+    discard(all_of, more, largest)
+    return late
 
 
 def _rest_in_tasks(member: DataFrame, payload: DataFrame, linked: Linked) -> DataFrame | None:
@@ -147,10 +171,11 @@ def _rest_in_tasks(member: DataFrame, payload: DataFrame, linked: Linked) -> Dat
 
     ``payload``: ``node`` and what ``linked`` compares. A tile holds up to ``TILE`` items outside
     of the group's largest component and ``TILE`` of all; only one link for each of the former
-    and each component it reaches leaves the task, so nothing grows with the pairs.
+    and each component it reaches leaves the task, so nothing grows with the pairs. Links are
+    given as the components that they join.
     """
-    lead = member.groupBy("key").agg(F.min("node").alias("lead"))
-    rows = materialise(member.join(materialise(lead, "leads"), "key").select("lead", "node", "component").distinct(), "led")
+    leads = materialise(member.groupBy("key").agg(F.min("node").alias("lead")), "leads")
+    rows = led = materialise(member.join(leads, "key").select("lead", "node", "component").distinct(), "led")
     largest = _largest(rows, "lead")
     if largest.isEmpty():
         return None
@@ -173,11 +198,9 @@ def _rest_in_tasks(member: DataFrame, payload: DataFrame, linked: Linked) -> Dat
         hit = linked(content.take(pa.array(one)), content.take(pa.array(two)))
         hit &= component[one][:, None] != component[two][None, :]
         a, b = np.nonzero(hit)
-        _, first = np.unique(np.stack([node[one[a]], component[two[b]]]), axis=1, return_index=True)
-        return pa.table({"u": node[one[a[first]]], "v": node[two[b[first]]]})
-
-    return _ordered(tiles.groupBy("lead", "i", "j").applyInArrow(compare, "u long, v long"))
-
+        pair = np.unique(np.stack([component[one[a]], component[two[b]]]), axis=1)
+        return pa.table({"u": pair[0], "v": pair[1]})
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
+    late = materialise(tiles.groupBy("lead", "i", "j").applyInArrow(compare, "u long, v long").distinct(), "late")
+    discard(rows, sizes, largest, led, leads)
+    return late

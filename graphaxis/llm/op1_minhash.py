@@ -222,23 +222,20 @@ def linked_matrix(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarra
     return shared >= THRESHOLD * np.maximum(total[0][:, None] + total[1][None, :] - shared, 1e-12)
 
 
-def _verifier(texts: DataFrame, idf: np.ndarray):
-    shared = texts.sparkSession.sparkContext.broadcast(idf)  # COUNTERS numbers
-
+def _verifier(idf: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = text_column(batch.column(2)), text_column(batch.column(3))
+            left, right = text_column(batch.column(3)), text_column(batch.column(4))
             for a, b in chunks(left, 1 << 20):
                 for c, d in chunks(right.slice(a, b - a), 1 << 20):
                     at = slice(a + c, a + d)
-                    same = similarity(left.slice(a + c, d - c), right.slice(a + c, d - c), shared.value) >= THRESHOLD
-                    yield pa.RecordBatch.from_arrays([pa.array(batch.column(i).to_numpy()[at][same]) for i in (0, 1)], names=["u", "v"])
+                    same = similarity(left.slice(a + c, d - c), right.slice(a + c, d - c), idf.value) >= THRESHOLD
+                    yield pa.RecordBatch.from_arrays([pa.array(batch.column(i).to_numpy()[at][same]) for i in range(3)], names=kept)
+
+    kept = ["u", "v", "lead"]
 
     def verify(pairs: DataFrame) -> DataFrame:
-        small_batches(pairs.sparkSession, 200)
-        one = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
-        two = one.join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
-        return two.select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct()
+        return pairs.select(*kept, "a", "b").mapInArrow(run, "u long, v long, lead long").dropDuplicates(["u", "v"])
 
     return verify
 
@@ -283,7 +280,7 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # COUNTERS numbers
     payload = texts.select(F.col("id").alias("node"), F.col("text").alias("payload"))
-    found = link(blocks, _guard, _guard_sql, _verifier(texts, idf), (payload, lambda a, b: linked_matrix(text_column(a), text_column(b), shared.value)))
+    found = link(blocks, _guard, _guard_sql, payload, _verifier(shared), lambda a, b: linked_matrix(text_column(a), text_column(b), shared.value))
     row = signed.select("id", "n", "h", "g").join(classes.select("h", "g", "rep"), ["h", "g"], "left")
     row = row.withColumn("class_id", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
     out = row.join(found, F.col("class_id") == F.col("node"), "left")

@@ -192,28 +192,19 @@ def _guard_sql(g: Column, h: Column, g2: Column, h2: Column) -> Column:
     return (long == most) | ((5 * short >= 4 * long) & (changed <= 2 * F.floor(long / 5) - (long - short)))
 
 
-def _verifier(lines: DataFrame):
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Edit similarity over words: one letter stands for each word."""
-        nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        spelled = lines.where("a is not null").select(F.col("h").alias("node"), "letters").join(nodes, "node", "left_semi")
-        spelled = spelled.groupBy("node").agg(F.min("letters").alias("letters"))
-        spelled = materialise(spelled.select("node", F.decode("letters", "UTF-16BE").alias("line")), "letters")
-        one = pairs.join(spelled.select(F.col("node").alias("u"), F.col("line").alias("a")), "u")
-        two = one.join(spelled.select(F.col("node").alias("v"), F.col("line").alias("b")), "v")
-        longest = F.greatest(F.length("a"), F.length("b"))
-        near = F.least(F.length("a"), F.length("b")) >= SIMILARITY * longest
-        two = two.withColumn("most", F.floor(longest * (1 - SIMILARITY) + 1e-9).cast("int")).where(near)
-        return two.where(F.expr("levenshtein(a, b, most) >= 0")).select("u", "v")
-
-    return verify
+def _alike(pairs: DataFrame) -> DataFrame:
+    """Pairs at the edit similarity over words: one letter of ``a`` and ``b`` stands for each word."""
+    longest = F.greatest(F.length("a"), F.length("b"))
+    near = F.least(F.length("a"), F.length("b")) >= SIMILARITY * longest
+    return pairs.withColumn("most", F.floor(longest * (1 - SIMILARITY) + 1e-9).cast("int")).where(near).where(F.expr("levenshtein(a, b, most) >= 0"))
 
 
 def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id`` and ``gone``, the numbers of the lines to drop, for documents that lose any."""
     lines = materialise(line_table(docs, word_weights(docs, id, text), id, text), "lines")
     blocks = lines.where("a is not null").select(F.explode("keys").alias("key"), F.col("h").alias("node"), F.col("a").alias("g"), F.col("b").alias("h"))
-    found = link(blocks, _guard, _guard_sql, _verifier(lines))
+    spelled = lines.where("a is not null").select(F.col("h").alias("node"), F.decode("letters", "UTF-16BE").alias("payload"))
+    found = link(blocks, _guard, _guard_sql, spelled, lambda pairs: _alike(pairs).dropDuplicates(["u", "v"]))
     first = F.min(F.struct("id", "no")).alias("first")
     classes = lines.groupBy("h", "g").agg(first, F.count(F.lit(1)).alias("n"))
     grouped = classes.join(found, F.col("h") == F.col("node"), "left").select("h", "g", "n", "first", F.coalesce("component", "h").alias("grp"))

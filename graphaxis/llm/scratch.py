@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, SparkSession] = {}
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -30,19 +31,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder once and return the table read back."""
+def materialise(df: DataFrame, label: str, arrow_rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder once and return the table read back.
+
+    ``arrow_rows``: rows of an Arrow batch while it is written. Settings are put back.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/graphaxis-{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+    settings = {_CLEAN: "true"} | ({_ROWS: str(arrow_rows)} if arrow_rows else {})
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     _written[path] = spark
     table = spark.read.schema(df.schema).parquet(path)
     _paths[table] = path
@@ -52,7 +56,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables of :func:`materialise` that nothing reads any more."""
     for table in tables:
-        if path := _paths.pop(table, None):
+        if table is not None and (path := _paths.pop(table, None)):
             _delete(path)
 
 

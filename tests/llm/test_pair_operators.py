@@ -49,7 +49,7 @@ def test_long_blocks_lose_no_link_between_components(spark, in_tasks):
     from pyspark.sql import functions as F
 
     close_sql = lambda g, h, g2, h2: F.abs(g - g2) <= 1
-    got = {r.node: r.component for r in blocking.link(blocks, close, close_sql, lambda pairs: pairs, (payload, linked) if in_tasks else None).collect()}
+    got = {r.node: r.component for r in blocking.link(blocks, close, close_sql, payload, lambda pairs: pairs, linked if in_tasks else None).collect()}
     want = closure(90, [(i, j) for i, j in combinations(range(90), 2) if abs(guards[i] - guards[j]) <= 1])
     assert all(got.get(i, i) == want[i] for i in range(90))
 
