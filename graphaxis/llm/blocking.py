@@ -2,8 +2,9 @@
 
 Items that share a block key are candidates. Blocks are read as runs of a sorted partition, so
 memory never holds one. In a run of up to ``SMALL`` items every pair that passes the guard is a
-candidate; in a longer one each item is paired with the run's first item only, and its membership
-is kept. Candidates are verified and joined into components. Then the exact rest: an item of a long
+candidate; in a longer one each item is paired with one lead only, the first of a few that passes the
+guard, and its membership is kept. A lead is the item nearest to the majority of the guards' bits, so
+that of a text and its variants the text leads. Candidates are verified and joined into components. Then the exact rest: an item of a long
 block outside of the block's largest component is paired with every item of the block in another
 component. Pairs inside one component need no test, so a block of copies stays linear and no link
 between two components is lost.
@@ -22,6 +23,8 @@ from graphaxis.llm.components import components
 from graphaxis.llm.scratch import discard, materialise
 
 SMALL = 12
+#: Leads of a longer run, and how many of its items they are chosen from.
+LEADS, SEEN = 4, 2048
 #: An item's guard is two longs; this takes those of two items side by side, as arrays of two rows,
 #: and gives which pairs may pass.
 Guard = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -33,7 +36,7 @@ TILE = 256
 def _runs(close: Guard) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros((4, 0), dtype=np.int64)  # key, node and guards of the last run, which may go on
-        rest, long_key, lead, last = none, None, none, none
+        rest, long_key, leads, last = none, None, none, none
         for batch in batches:
             rows = np.stack([batch.column(i).to_numpy() for i in range(4)])
             # An item that several tasks gave to a block stands once: its rows follow each other.
@@ -45,7 +48,7 @@ def _runs(close: Guard) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             rows = np.concatenate([rest, rows], axis=1)
             if long_key is not None and rows.shape[1]:
                 n = int(np.searchsorted(rows[0], long_key, "right"))
-                yield from _part_of_long(rows[:, :n], lead, close)
+                yield from _part_of_long(rows[:, :n], leads, close)
                 rows = rows[:, n:]
                 if not rows.shape[1]:
                     rest = none
@@ -55,8 +58,8 @@ def _runs(close: Guard) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             yield from _whole(rows[:, :start], close)
             rest = rows[:, start:]
             if rest.shape[1] > SMALL:
-                long_key, lead = int(rest[0, 0]), rest[:, :1]
-                yield from _part_of_long(rest, lead, close)
+                long_key, leads = int(rest[0, 0]), _leads(rest, close)
+                yield from _part_of_long(rest, leads, close)
                 rest = none
         yield from _whole(rest, close)
 
@@ -71,15 +74,31 @@ def _pairs(u: np.ndarray, v: np.ndarray, lead: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(lead), none, none, none], names=["u", "v", "lead", "key", "g", "h"])
 
 
-def _part_of_long(rows: np.ndarray, lead: np.ndarray, close: Guard) -> Iterator[pa.RecordBatch]:
-    """Memberships of a long run, and its items paired with the run's first."""
+def _leads(rows: np.ndarray, close: Guard) -> np.ndarray:
+    """Up to ``LEADS`` items that most others of a run are near to, as columns."""
+    left = rows[:, :: -(-rows.shape[1] // SEEN)]
+    leads = []
+    while left.shape[1] and len(leads) < LEADS:
+        bits = np.unpackbits(np.ascontiguousarray(left[2:].T).view(np.uint8), axis=1)
+        middle = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).view(np.int64)
+        far = np.bitwise_count((left[2:] ^ middle[:, None]).view(np.uint64)).sum(axis=0)
+        leads.append(left[:, [int(np.argmin(far))]])
+        left = left[:, ~close(np.repeat(leads[-1][2:], left.shape[1], axis=1), left[2:]) & (left[1] != leads[-1][1])]
+    return np.concatenate(leads, axis=1)
+
+
+def _part_of_long(rows: np.ndarray, leads: np.ndarray, close: Guard) -> Iterator[pa.RecordBatch]:
+    """Memberships of a long run, and its items paired with the first lead that passes the guard."""
     if not rows.shape[1]:
         return
     none = pa.nulls(rows.shape[1], pa.int64())
     yield pa.RecordBatch.from_arrays([none, pa.array(rows[1]), none, *[pa.array(rows[i]) for i in (0, 2, 3)]], names=["u", "v", "lead", "key", "g", "h"])
-    first = np.repeat(lead, rows.shape[1], axis=1)
-    pick = (rows[1] != first[1]) & close(first[2:], rows[2:])
-    yield _pairs(first[1, pick], rows[1, pick], first[1, pick])
+    free = ~np.isin(rows[1], leads[1])
+    for j in range(leads.shape[1]):
+        lead = np.repeat(leads[:, [j]], rows.shape[1], axis=1)
+        pick = free & close(lead[2:], rows[2:])
+        free &= ~pick
+        yield _pairs(lead[1, pick], rows[1, pick], np.full(int(pick.sum()), leads[1, 0]))
 
 
 def _whole(rows: np.ndarray, close: Guard) -> Iterator[pa.RecordBatch]:
@@ -90,7 +109,8 @@ def _whole(rows: np.ndarray, close: Guard) -> Iterator[pa.RecordBatch]:
     edge = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
     size = np.diff(np.append(edge, n))
     for a, k in zip(edge[size > SMALL].tolist(), size[size > SMALL].tolist()):
-        yield from _part_of_long(rows[:, a : a + k], rows[:, a : a + 1], close)
+        run = rows[:, a : a + k]
+        yield from _part_of_long(run, _leads(run, close), close)
     use = np.repeat((size > 1) & (size <= SMALL), size)
     lead = np.repeat(rows[1, edge], size)[use]
     rows = rows[:, use]
