@@ -23,13 +23,17 @@ from graphaxis.llm.components import components
 from graphaxis.llm.scratch import discard, materialise
 
 SMALL = 12
-#: Leads of a longer run, and how many of its items they are chosen from.
-LEADS, SEEN = 4, 2048
+#: Leads of a longer run, and how many of its items they are chosen from; of a run that has less than
+#: the least the first item leads.
+LEADS, LEAST_SEEN, SEEN = 4, 96, 2048
 #: An item's guard is two longs; this takes those of two items side by side, as arrays of two rows,
 #: and gives which pairs may pass.
 Guard = Callable[[np.ndarray, np.ndarray], np.ndarray]
 #: From the payloads of some items and of others to the matrix of which are links.
 Linked = Callable[[pa.Array, pa.Array], np.ndarray]
+#: A second, longer guard for the rest: from ``node`` and ``payload`` to ``node`` and ``f``, and which pairs
+#: may pass by their ``g`` and their ``f``. Few items need it, so it is not carried in the blocks.
+Finer = tuple[Callable[[DataFrame], DataFrame], Callable[[Column, Column, Column, Column], Column]]
 TILE = 256
 
 
@@ -76,6 +80,8 @@ def _pairs(u: np.ndarray, v: np.ndarray, lead: np.ndarray) -> pa.RecordBatch:
 
 def _leads(rows: np.ndarray, close: Guard) -> np.ndarray:
     """Up to ``LEADS`` items that most others of a run are near to, as columns."""
+    if rows.shape[1] < LEAST_SEEN:
+        return rows[:, :1]
     left = rows[:, :: -(-rows.shape[1] // SEEN)]
     leads = []
     while left.shape[1] and len(leads) < LEADS:
@@ -123,7 +129,7 @@ def _whole(rows: np.ndarray, close: Guard) -> Iterator[pa.RecordBatch]:
         yield _pairs(rows[1, i[pick]], rows[1, j[pick]], lead[i[pick]])
 
 
-def link(blocks: DataFrame, close: Guard, close_sql: Callable[[Column, Column, Column, Column], Column], payload: DataFrame, verify: Callable[[DataFrame], DataFrame], linked: Linked | None = None) -> DataFrame:
+def link(blocks: DataFrame, close: Guard, close_sql: Callable[[Column, Column, Column, Column], Column], payload: DataFrame, verify: Callable[[DataFrame], DataFrame], linked: Linked | None = None, finer: Finer | None = None) -> DataFrame:
     """``node`` and ``component`` of every linked item.
 
     ``blocks``: ``key``, ``node``, and the guard ``g``, ``h`` (longs). ``close`` and ``close_sql`` are one
@@ -144,7 +150,7 @@ def link(blocks: DataFrame, close: Guard, close_sql: Callable[[Column, Column, C
     member = members.join(grouped, "node", "left").select("key", "node", "g", "h", F.coalesce("component", "node").alias("component"))
     member = materialise(member, "members")
     discard(found)
-    late = _rest_in_tasks(member, held, linked) if linked else _rest_by_pairs(member, pairs, close_sql, held, verify)
+    late = _rest_in_tasks(member, held, linked) if linked else _rest_by_pairs(member, pairs, close_sql, held, verify, finer)
     if late is not None:
         # Links between components: these are few, and what is inside of them is not looked at again.
         joined = components(late)
@@ -169,16 +175,20 @@ def _largest(member: DataFrame, group: str) -> DataFrame:
     return materialise(largest.where("parts > 1").select(group, "largest"), "largest")
 
 
-def _rest_by_pairs(member: DataFrame, pairs: DataFrame, close_sql, held: DataFrame, verify) -> DataFrame | None:
+def _rest_by_pairs(member: DataFrame, pairs: DataFrame, close_sql, held: DataFrame, verify, finer: Finer | None) -> DataFrame | None:
     """Links ``u``, ``v`` between components, by a table of the pairs that pass the guard."""
     largest = _largest(member, "key")
     if largest.isEmpty():
         return None
-    all_of = materialise(member.join(largest, "key"), "members")
-    few = all_of.where("component <> largest").select("key", F.col("node").alias("a"), F.col("g").alias("g2"), F.col("h").alias("h2"), F.col("component").alias("c"))
-    across = few.join(all_of, "key").where(
-        (F.col("c") != F.col("component")) & ((F.col("component") == F.col("largest")) | (F.col("a") < F.col("node"))) & close_sql(F.col("g"), F.col("h"), F.col("g2"), F.col("h2"))
-    )
+    all_of = member.join(largest, "key")
+    if finer:
+        all_of = all_of.join(finer[0](held), "node")
+    all_of = materialise(all_of, "members")
+    few = all_of.where("component <> largest").select("key", F.col("node").alias("a"), F.col("g").alias("g2"), F.col("h").alias("h2"), F.col("component").alias("c"), *([F.col("f").alias("f2")] if finer else []))
+    near = close_sql(F.col("g"), F.col("h"), F.col("g2"), F.col("h2"))
+    if finer:
+        near &= finer[1](F.col("g"), F.col("g2"), F.col("f"), F.col("f2"))
+    across = few.join(all_of, "key").where((F.col("c") != F.col("component")) & ((F.col("component") == F.col("largest")) | (F.col("a") < F.col("node"))) & near)
     across = across.groupBy(F.least("a", "node").alias("u"), F.greatest("a", "node").alias("v")).agg(F.min(F.least("c", "component")).alias("one"), F.max(F.greatest("c", "component")).alias("two"))
     more = materialise(across.join(pairs, ["u", "v"], "left_anti"), "pairs")
     late = materialise(verify(_with_payloads(more, held)).select(F.col("one").alias("u"), F.col("two").alias("v")).distinct(), "late")

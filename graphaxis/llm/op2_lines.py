@@ -9,10 +9,12 @@ Blocks: a line of ``l`` words is within ``L // 5`` edits of one of ``L >= l``, o
 are insertions; an insertion parts one pair of adjacent words and another edit two, so at most
 ``2 * (l // 5)`` of the line's word pairs, and one more where ``l % 5 == 4``, are lost in the other.
 Pigeonhole: one more of its pairs than that, least first in an order that all lines share, holds one
-that the other line has among its own. A line's blocks are those pairs, ``MOST_KEYS`` at most: up
-to 24 words no line at 0.8 is missed; of longer ones ``MOST_KEYS`` pairs are a consistent weighted
-sample, and two lines at exactly 0.8 miss each other less than once in a thousand (README). The order is
-that of exponential draws, seeded by the pair, over its rarity, so that common pairs are rarely keys.
+that the other line has among its own. Those pairs are the blocks of lines of up to 19 words, which
+misses no line at 0.8. Pairs say too little of longer lines in a large corpus; from 16 words on a line's
+blocks are the ``MOST_KEYS`` least of its runs of three words, a consistent weighted sample: lines at
+exactly 0.8 miss each other about once in a thousand (README). As a line of 15 words is alike to
+none of over 18, every two lines that may be alike have blocks of one kind. The order is
+that of exponential draws, seeded by the run, over its rarity, so that common runs are rarely keys.
 SimHash blocks, the method first chosen, meet one line pair in five at this similarity (README).
 
 Pairs of lines that pass a check of their lengths and of the parities of their words, which drops
@@ -29,6 +31,7 @@ whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,8 @@ from graphaxis.llm.textscan import chunks, mix, raw_bytes, runs, small_batches,
 LEAST_WORDS = 5
 SIMILARITY = 0.8
 MOST_KEYS = 10
+#: Lines of up to so many words have pairs as keys; those of so many or more have runs of three.
+PAIRS_TO, TRIPLES_FROM = 19, 16
 #: Hashed counters of words, from all documents.
 COUNTERS = 1 << 18
 #: A word that is one of so many has half of a rare word's weight.
@@ -107,23 +112,35 @@ def word_weights(docs: DataFrame, id: str = "doc_id", text: str = "text") -> np.
     return (1 / (1 + count / max(count.sum(), 1.0) / HALF_WEIGHT)).astype(np.float32)
 
 
-def _line_keys(words: np.ndarray, begin: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of each line of two words or more, and how many each has."""
-    counts = np.diff(begin)
-    line = np.repeat(np.arange(len(counts)), counts)
-    inner = np.flatnonzero(line[1:] == line[:-1])
-    pairs, line = mix(words[inner] * _U(3) + mix(words[inner + 1] + _U(11))), line[inner]
-    weight = weights[_counter(words)].astype(np.float64)
-    draw = -np.log(((mix(pairs + _U(5)) >> _U(12)).astype(np.float64) + 1) / (1 << 52)) / np.maximum(weight[inner], weight[inner + 1])
+def _least_runs(words: np.ndarray, begin: np.ndarray, weights: np.ndarray, width: int, use: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the lines ``use`` the ``most`` runs of ``width`` words of least draw, and the line of each."""
+    sizes = np.where(use, np.diff(begin) - width + 1, 0)
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.cumsum(sizes) - sizes
+    at = np.arange(len(line)) + np.repeat(begin[:-1] - first, sizes)
+    run, weight = np.full(len(at), _U(width)), np.zeros(len(at))
+    rarity = weights[_counter(words)].astype(np.float64)
+    for j in range(width):
+        run = mix(run * _U(3) + words[at + j])
+        weight = np.maximum(weight, rarity[at + j])
+    draw = -np.log(((mix(run + _U(5)) >> _U(12)).astype(np.float64) + 1) / (1 << 52)) / weight
     # Positive floats sort as their bits do: the line's place stands above the draw's leading bits.
-    room = 64 - max(1, int(len(counts)).bit_length())
+    room = 64 - max(1, len(sizes).bit_length())
     rank = np.argsort(line.astype(np.uint64) << _U(room) | draw.view(np.uint64) >> _U(64 - room))
-    pairs, line = pairs[rank], line[rank]
-    place = np.arange(len(pairs)) - np.repeat(begin[:-1] - np.arange(len(counts)), counts - 1)
-    most = np.minimum(2 * (counts // 5) + (counts % 5 == 4) + 1, MOST_KEYS)
-    take = place < most[line]
-    take[1:] &= (pairs[1:] != pairs[:-1]) | (line[1:] != line[:-1])
-    return pairs[take].view(np.int64), np.bincount(line[take], minlength=len(counts))
+    run, line = run[rank], line[rank]
+    take = np.arange(len(run)) - first[line] < most[line]
+    take[1:] &= (run[1:] != run[:-1]) | (line[1:] != line[:-1])
+    return run[take], line[take]
+
+
+def _line_keys(words: np.ndarray, begin: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of each line of three words or more, and how many each has."""
+    counts = np.diff(begin)
+    pairs = _least_runs(words, begin, weights, 2, counts <= PAIRS_TO, 2 * (counts // 5) + (counts % 5 == 4) + 1)
+    triples = _least_runs(words, begin, weights, 3, counts >= TRIPLES_FROM, np.full(len(counts), MOST_KEYS))
+    key, line = (np.concatenate(x) for x in zip(pairs, triples))
+    order = np.argsort(line, kind="stable")
+    return key[order].view(np.int64), np.bincount(line, minlength=len(counts))
 
 
 def _guards(words: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,6 +209,35 @@ def _guard_sql(g: Column, h: Column, g2: Column, h2: Column) -> Column:
     return (long == most) | ((5 * short >= 4 * long) & (changed <= 2 * F.floor(long / 5) - (long - short)))
 
 
+#: Parities of the longer guard, in longs.
+FINE = 6
+
+
+def _fine_guards(held: DataFrame) -> DataFrame:
+    """``node`` and ``f``: parities of the line's words over so many bits that edits hardly hide each other."""
+    names = [f"f{i}" for i in range(FINE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column(1).to_pylist()
+            words = np.frombuffer("".join(lines).encode("utf-16-le"), dtype=np.uint16)
+            at = mix(words.astype(np.uint64) + _U(41)) % _U(64 * FINE)
+            begin = np.concatenate([[0], np.cumsum([len(x) for x in lines])])[:-1]
+            bits = [np.bitwise_xor.reduceat(np.where(at >> _U(6) == i, _U(1) << (at & _U(63)), _U(0)), begin) for i in range(FINE)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.view(np.int64)) for x in bits]], names=["node", *names])
+
+    made = held.select("node", "payload").mapInArrow(run, "node long, " + ", ".join(f"{n} long" for n in names))
+    return made.select("node", F.struct(*names).alias("f"))
+
+
+def _fine_sql(g: Column, g2: Column, f: Column, f2: Column) -> Column:
+    most = (1 << LENGTH_BITS) - 1
+    one, two = g.bitwiseAND(F.lit(most)), g2.bitwiseAND(F.lit(most))
+    long, short = F.greatest(one, two), F.least(one, two)
+    changed = reduce(lambda x, y: x + y, [F.bit_count(f[f"f{i}"].bitwiseXOR(f2[f"f{i}"])) for i in range(FINE)])
+    return (long == most) | (changed <= 2 * F.floor(long / 5) - (long - short))
+
+
 def _alike(pairs: DataFrame) -> DataFrame:
     """Pairs at the edit similarity over words: one letter of ``a`` and ``b`` stands for each word."""
     longest = F.greatest(F.length("a"), F.length("b"))
@@ -204,7 +250,7 @@ def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     lines = materialise(line_table(docs, word_weights(docs, id, text), id, text), "lines")
     blocks = lines.where("a is not null").select(F.explode("keys").alias("key"), F.col("h").alias("node"), F.col("a").alias("g"), F.col("b").alias("h"))
     spelled = lines.where("a is not null").select(F.col("h").alias("node"), F.decode("letters", "UTF-16BE").alias("payload"))
-    found = link(blocks, _guard, _guard_sql, spelled, lambda pairs: _alike(pairs).dropDuplicates(["u", "v"]))
+    found = link(blocks, _guard, _guard_sql, spelled, lambda pairs: _alike(pairs).dropDuplicates(["u", "v"]), finer=(_fine_guards, _fine_sql))
     first = F.min(F.struct("id", "no")).alias("first")
     classes = lines.groupBy("h", "g").agg(first, F.count(F.lit(1)).alias("n"))
     grouped = classes.join(found, F.col("h") == F.col("node"), "left").select("h", "g", "n", "first", F.coalesce("component", "h").alias("grp"))
@@ -228,7 +274,8 @@ def _joined(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, Column, Col
     """Documents with the numbers of lines that go, and the lines as a column, computed once."""
     key, gone, split = (_free(f"__{n}", docs.columns) for n in ("id", "gone", "split"))
     lost = dropped_lines(docs, id, text).select(F.col("id").alias(key), F.col("gone").alias(gone))
-    joined = docs.join(lost, F.col(id).cast("long") == F.col(key), "left")
+    # Hinted: the lines that go grow with the input, so they are never broadcast, whatever their size here.
+    joined = docs.join(lost.hint("merge"), F.col(id).cast("long") == F.col(key), "left")
     return joined.withColumn(split, F.explode(F.array(F.split(text, "\n")))), F.col(gone), F.col(split)
 
 

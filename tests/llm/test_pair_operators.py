@@ -162,7 +162,7 @@ def keys_of(lines, weights):
     begin = np.cumsum([0, *map(len, lines)])
     words = op2_lines.mix(np.array([hashes[w] for x in lines for w in x], dtype=np.uint64))
     key, n = op2_lines._line_keys(words, begin, weights)
-    assert n.max() <= op2_lines.MOST_KEYS
+    assert n.max() <= 2 * op2_lines.MOST_KEYS
     return [set(k.tolist()) for k in np.split(key, np.cumsum(n)[:-1])], op2_lines._guards(words, begin)
 
 
@@ -177,7 +177,7 @@ def test_lines_that_are_alike_share_a_key_and_pass_the_guard(kind):
         a, b = lines[i], lines[i + 1]
         if min(len(a), len(b)) >= op2_lines.LEAST_WORDS and 5 * edits(a, b) <= max(len(a), len(b)):
             seen += 1
-            if max(len(a), len(b)) <= 24:
+            if max(len(a), len(b)) <= op2_lines.PAIRS_TO:
                 assert keys[i] & keys[i + 1]
             else:
                 long, lost = long + 1, lost + (not keys[i] & keys[i + 1])
