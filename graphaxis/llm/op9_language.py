@@ -2,12 +2,14 @@
 
 A known word scores by its log frequency in each language. An unseen word falls back to its
 character n-grams with word boundaries, the longest length of which any is known, and scores by
-their mean log frequency. A text's score adds over its words.
+their mean log frequency. A text's score adds over its words. Words are found as runs in an array of
+character classes and told apart by hash, so that each distinct word of a batch is looked up once.
 
 The tables are learned from a bounded sample of labelled texts (``MAX_TEXTS`` of least hashed id),
 so that the model has a fixed size; every text is scored whole. Defined results: a null text or one
 without a letter is ``und`` with score 0, as is every text if nothing could be learned; repeated
-rows each give a row; rows with a null id are scored but never learned from.
+rows each give a row; rows with a null id are scored but never learned from; of languages that tie
+the first by name is taken; an empty table gives an empty result; a text of any length is scored whole.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphaxis.llm.textscan import small_batches
+from graphaxis.llm.textscan import runs, small_batches, span_hashes
 
 MAX_TEXTS = 8_000
 LONGEST_GRAM = 4
@@ -30,6 +32,8 @@ LEAST_WORD, LEAST_GRAM = 2, 3
 SMOOTHING = 0.05
 WORDS = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 400_000
+#: Characters scanned together; a longer text is scanned alone.
+CHUNK_CHARS = 1 << 20
 UNDETERMINED = "und"
 
 
@@ -61,8 +65,8 @@ class Backoff:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = _Index(self)
-        self.scores: list[np.ndarray] = []
+        self.index: dict[int, int] = {}
+        self.scores = np.zeros((1024, len(self.languages)), dtype=np.float32)
 
     def word(self, word: str) -> np.ndarray:
         known = self.logs[0].get(word)
@@ -74,28 +78,64 @@ class Backoff:
                 return np.mean(found, axis=0)
         return np.zeros(len(self.languages), dtype=np.float32)
 
-    def score(self, text: str | None) -> np.ndarray | None:
-        """Added log frequencies for each language; None without a letter."""
-        words = WORDS.findall((text or "").lower())
-        if not any(c.isalpha() for w in words for c in w) or not self.languages:
-            return None
-        if len(self.scores) > CACHE_WORDS:
+    def rows(self, hashes: np.ndarray, spelled) -> np.ndarray:
+        """Rows of ``scores`` for distinct hashes; ``spelled`` gives the i-th word."""
+        if len(self.index) > CACHE_WORDS:
             self.clear()
-        rows = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
-        times = np.bincount(rows)
-        used = np.flatnonzero(times)
-        return times[used].astype(np.float64) @ np.array([self.scores[i] for i in used.tolist()], dtype=np.float64)
-
-
-class _Index(dict):
-    def __init__(self, model: Backoff):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, word: str) -> int:
-        self[word] = at = len(self.model.scores)
-        self.model.scores.append(self.model.word(word))
-        return at
+        index, out = self.index, np.empty(len(hashes), dtype=np.int64)
+        for i, h in enumerate(hashes.tolist()):
+            at = index.get(h)
+            if at is None:
+                at = index[h] = len(index)
+                if at >= len(self.scores):
+                    self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+                self.scores[at] = self.word(spelled(i))
+            out[i] = at
+        return out
+
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Added log frequencies, a row for each text and a column for each language; which texts have a letter."""
+        lower = [(t or "").lower() for t in texts]
+        points = np.frombuffer("\n".join(lower).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        offsets = np.minimum(np.concatenate([[0], np.cumsum([len(t) + 1 for t in lower])]), len(points)).astype(np.int64)
+        kinds = character_kinds()[points]
+        letters = np.concatenate([[0], np.cumsum(kinds == LETTER)])
+        total = np.zeros((len(texts), len(self.languages)))
+        starts, ends, first = runs(kinds > 0, offsets)
+        if len(starts) and self.languages:
+            unique, sample, which = np.unique(span_hashes(points, starts, ends), return_index=True, return_inverse=True)
+            spelled = lambda i: points[starts[sample[i]] : ends[sample[i]]].tobytes().decode("utf-32-le", "surrogatepass")
+            row = self.rows(unique, spelled)[which]
+            full = np.flatnonzero(np.diff(first))
+            total[full] = np.add.reduceat(self.scores[row].astype(np.float64), first[full], axis=0)
+        return total, (letters[offsets[1:]] > letters[offsets[:-1]]) & bool(self.languages)
+
+
+OTHER_IN_WORD, LETTER = 1, 2
+_kinds: np.ndarray | None = None
+
+
+def character_kinds() -> np.ndarray:
+    """For each code point: letter, other character of ``WORDS``, or none."""
+    global _kinds
+    if _kinds is None:
+        chars = [chr(c) for c in range(0x110000)]
+        letter = np.fromiter((c.isalpha() for c in chars), dtype=bool, count=len(chars))
+        word = np.fromiter((c.isalnum() and not c.isdecimal() for c in chars), dtype=bool, count=len(chars))
+        _kinds = np.where(letter, LETTER, np.where(word, OTHER_IN_WORD, 0)).astype(np.uint8)
+    return _kinds
+
+
+def _pieces(texts: list[str | None]) -> Iterator[list[str | None]]:
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t or "") > CHUNK_CHARS:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t or "")
+    if held:
+        yield held
 
 
 def learn(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[tuple[str, int], dict[str, int]]:
@@ -145,14 +185,15 @@ def identify(docs: DataFrame, counts: dict, text: str = "text", keep: tuple[str,
         model = _models[name]
         for batch in batches:
             names, scores = [], []
-            for text in batch.column(len(keep)).to_pylist():
-                logs = model.score(text)
-                best = -1 if logs is None else int(np.argmax(logs))
-                names.append(UNDETERMINED if best < 0 else model.languages[best])
-                scores.append(0.0 if best < 0 else float(1 / np.exp(logs - logs[best]).sum()))
+            for texts in _pieces(batch.column(len(keep)).to_pylist()):
+                logs, lettered = model.score(texts)
+                best = logs.argmax(axis=1) if model.languages else np.zeros(len(texts), dtype=np.int64)
+                top = logs[np.arange(len(texts)), best] if model.languages else np.zeros(len(texts))
+                names += [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), lettered.tolist())]
+                scores.append(np.where(lettered, 1 / np.maximum(np.exp(logs - top[:, None]).sum(axis=1), 1e-300), 0.0))
             kept = [batch.column(i) for i in range(len(keep))]
             schema = pa.schema([batch.schema.field(i) for i in range(len(keep))] + [pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())])
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores]))], schema=schema)
 
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["lang_pred string", "score double"])
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, out)
