@@ -289,7 +289,13 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def keep(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, one of each group, with the columns they came with."""
-    stay = groups(docs, id, text).where(F.col("kept") & F.col(id).isNotNull()).select(F.col(id).alias("__id")).distinct()
-    named = docs.where(F.col(id).isNotNull()).join(stay, F.col(id) == F.col("__id"), "left_semi").dropDuplicates([id])
-    return named.select(*docs.columns).union(docs.where(F.col(id).isNull()))
+    """The documents that stay, one of each group, with the columns they came with.
+
+    Rows without an id all stay; of rows that repeat an id the least one, by text and then by the
+    other columns, does.
+    """
+    stay = groups(docs.select(id, text), id, text).where(F.col("kept") & F.col(id).isNotNull()).select(F.col(id).alias(id)).distinct()
+    named = docs.where(F.col(id).isNotNull()).join(stay, id, "left_semi")
+    order = [text, *[c for c, kind in docs.dtypes if c not in (id, text) and "map<" not in kind and "variant" not in kind]]
+    least = named.groupBy(F.col(id).alias("k")).agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("row"))
+    return least.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]).union(docs.where(F.col(id).isNull()))

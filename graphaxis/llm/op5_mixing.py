@@ -1,8 +1,9 @@
 """Mixing sources to target weights, in DataFrame expressions only.
 
 Each source's documents form a stream of words, in an order drawn by hashing, cut into blocks of
-``BLOCK`` words. A source gets as many slots as its target holds blocks. Slots fall into output
-shards by hashing, which draws each shard's source counts multinomially given the totals. Slot k of
+``BLOCK`` words. A source gets as many slots as its target holds blocks. How many slots of a source
+each output shard has is drawn multinomially, one hashed ticket for each slot, so that the totals are
+met; a source's slots are then numbered through the shards. Slot k of
 a source is entry k mod n of pass k div n over its n blocks; every pass has a pseudorandom
 permutation of its own (a generalised Feistel network on a grid just over n, walked until the index
 falls below n). Blocks join slots by index. As targets stop at three times the size, no block
@@ -10,7 +11,9 @@ is taken more than three times.
 
 Places in a stream are prefix sums over ``BUCKETS`` hashed buckets and then inside a bucket, so no
 source is ever sorted in one task. Defined results: a null text has size 0; null is the last
-source; identical rows are separate members of their stream; an empty table gives an empty mix.
+source; identical rows are separate members of their stream, in the order of id, text hash and row;
+an empty table gives an empty mix; a text of any length is cut into all its blocks; other columns are
+kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ from graphaxis.llm.scratch import materialise
 
 BLOCK = 64
 BUCKETS = 1024
+#: Slots of a shard; more where there would be over ``MOST_SHARDS`` shards.
 SHARD_SLOTS = 4096
+MOST_SHARDS = 1 << 16
 CHUNK_SLOTS = 8192
 MOST = 3
 ROUNDS = 4
@@ -105,20 +110,32 @@ def _feistel(df: DataFrame, start: str, end: str) -> DataFrame:
     return df.withColumn(end, F.col("__l") * F.col("other") + F.col("__r")).drop("__l", "__r")
 
 
+def shard_counts(sources: DataFrame) -> DataFrame:
+    """The draw: ``sid``, ``shard``, how many slots ``n`` of the source the shard has, and the first of them, ``lo``."""
+    shards = F.least(F.greatest(F.ceil(F.sum("slots") / SHARD_SLOTS).cast("long"), F.lit(1)), F.lit(MOST_SHARDS))
+    total = F.broadcast(sources.agg(shards.alias("shards")))  # one row
+    runs = sources.where("slots > 0").select("sid", "slots").withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(CHUNK_SLOTS).cast("long"))))
+    # A stated number of partitions: these few rows grow many-fold, and must not be coalesced.
+    runs = runs.join(total).repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "from")
+    each = runs.withColumn("k", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + CHUNK_SLOTS, F.col("slots")) - 1)))
+    drawn = each.groupBy("sid", (draw("shard", F.col("sid"), F.col("k")) % F.col("shards")).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    # At most MOST_SHARDS rows a source.
+    return drawn.withColumn("lo", F.sum("n").over(W.partitionBy("sid").orderBy("shard")) - F.col("n"))
+
+
 def slots(sources: DataFrame) -> DataFrame:
     """Every slot of the mix: ``sid``, number ``k``, ``pass``, ``shard`` and the ``block`` it takes."""
-    total = F.broadcast(sources.agg(F.greatest(F.ceil(F.sum("slots") / SHARD_SLOTS).cast("long"), F.lit(1)).alias("shards")))  # one row
-    used = sources.where("slots > 0").select("sid", "blocks", "slots", "side", "other")
-    runs = used.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(CHUNK_SLOTS).cast("long"))))
-    # A stated number of partitions: these few rows grow many-fold, and must not be coalesced.
-    runs = runs.join(total).repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "lo")
-    each = runs.withColumn("k", F.explode(F.sequence(F.col("lo"), F.least(F.col("lo") + CHUNK_SLOTS, F.col("slots")) - 1)))
+    drawn = materialise(shard_counts(sources), "shards")
+    used = sources.where("slots > 0").select("sid", "blocks", "side", "other")
+    runs = drawn.join(used.hint("merge"), "sid").withColumn("from", F.explode(F.sequence(F.col("lo"), F.col("lo") + F.col("n") - 1, F.lit(CHUNK_SLOTS).cast("long"))))
+    runs = runs.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "from")
+    each = runs.withColumn("k", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + CHUNK_SLOTS, F.col("lo") + F.col("n")) - 1)))
     each = each.withColumn("pass", F.floor(F.col("k") / F.col("blocks")).cast("long")).withColumn("x", F.col("k") % F.col("blocks"))
     each = _feistel(each, "x", "y")
     # Out of range (a chance of about 1 / sqrt(blocks)): walk on; 64 steps leave one in 10**38.
     walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.col("y"), lambda y, _: F.when(y < F.col("blocks"), y).otherwise(_permuted(y)))
     each = each.withColumn("block", F.when(F.col("y") < F.col("blocks"), F.col("y")).otherwise(walked))
-    return each.select("sid", "k", "pass", (draw("shard", F.col("sid"), F.col("k")) % F.col("shards")).alias("shard"), "block")
+    return each.select("sid", "k", "pass", "shard", "block")
 
 
 def pieces(placed: DataFrame) -> DataFrame:
@@ -145,28 +162,31 @@ def placed_rows(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Every row's id, ``size``, its source's size and target, and the words the mix takes."""
+    """Every row's id, ``size``, its source's size and target, the words the mix takes, and in how many shards."""
     rows = measured(docs, id, text, source)
     sources = targets(rows)
     placed = materialise(placed_rows(rows, sources), "placed")
-    takes = slots(sources).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = pieces(placed).join(takes.hint("merge"), ["sid", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    hits = pieces(placed).join(slots(sources).select("sid", "block", "shard").hint("merge"), ["sid", "block"])
+    taken = hits.groupBy("row").agg(F.sum("words").alias("taken"), F.size(F.collect_set("shard")).cast("long").alias("n_shards"))
     return placed.join(taken, "row", "left").select(
-        F.col("id").alias(id), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("source").alias("mixed_source")
+        F.col("id").alias(id), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("source").alias("mixed_source"),
+        F.coalesce("n_shards", F.lit(0)).cast("long").alias("n_shards"),
     )
 
 
-def materialised_mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", length: str = "n_chars") -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a row for each document and pass it is in.
+def mixed_shards(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", length: str = "n_chars") -> DataFrame:
+    """The mix itself: ``shard`` and ``row``, a struct with the columns of ``docs``, for each document, shard and pass.
 
-    A pass that takes all of a document has its text as it was; one that takes some of its blocks
-    has those runs of words, a line each.
+    A shard that takes all of a document in one pass has its text as it was; one that takes some of
+    its blocks has those runs of words, a line each.
     """
     rows = measured(docs, id, text, source, tuple(docs.columns))
     sources = targets(rows)
     placed = materialise(placed_rows(rows, sources), "placed")
-    hits = pieces(placed).join(slots(sources).select("sid", "block", "pass").hint("merge"), ["sid", "block"])
-    parts = hits.groupBy("row", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts"), F.sum("words").alias("words"))
+    hits = pieces(placed).join(slots(sources).select("sid", "block", "pass", "shard").hint("merge"), ["sid", "block"])
+    # What different shards hold of one document in one pass stays together where they are neighbours' words:
+    # a document's blocks of a pass go to the least of their shards, so that a text is not cut at every block.
+    parts = hits.groupBy("row", "pass").agg(F.min("shard").alias("shard"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts"), F.sum("words").alias("words"))
     joined = rows.select("row", "size", *[F.col(f"c_{c}") for c in docs.columns]).join(parts, "row")
     whole = F.col("words") == F.col("size")
     body = F.col(f"c_{text}")
@@ -179,4 +199,9 @@ def materialised_mix(docs: DataFrame, id: str = "doc_id", text: str = "text", so
     held = held.withColumn("mixed", F.when(whole, body).otherwise(cut))
     kinds = dict(docs.dtypes)
     out = {text: F.col("mixed"), length: F.length("mixed").cast(kinds.get(length, "long"))}
-    return held.select(*[out.get(c, F.col(f"c_{c}")).alias(c) for c in docs.columns])
+    return held.select("shard", F.struct(*[out.get(c, F.col(f"c_{c}")).alias(c) for c in docs.columns]).alias("row"))
+
+
+def materialised_mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", length: str = "n_chars") -> DataFrame:
+    """The mix's rows with the columns of ``docs``."""
+    return mixed_shards(docs, id, text, source, length).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

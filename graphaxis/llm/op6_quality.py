@@ -7,7 +7,9 @@ that rule's limit is flagged for it. The verdict joins back: a document goes if
 rule, or fails a soft rule for which its host is flagged. A clean document stays on any host.
 
 Defined results: a null text has no words and fails the base rule; a null host is a host of its
-own; repeated rows count as often as they stand; an empty table gives an empty result.
+own; repeated rows count as often as they stand; an empty table gives an empty result; a rule's tie
+(a share just at its limit) is no failure, a host's rate just at the limit flags it; a very long text
+is one row whose words are held as arrays; other columns keep their names and values, whatever they are called.
 """
 
 from __future__ import annotations
@@ -50,32 +52,43 @@ def _tail(items: str, start: int, drop: int) -> Column:
     return F.slice(F.col(items), F.lit(start), F.greatest(F.size(items) - drop, F.lit(0)))
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the five statistics of each whole text."""
-    df = _held(docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))), "__words", _words(F.coalesce(F.col(text), F.lit(""))))
-    df = _held(df, "__lines", F.filter(F.split("__text", "\n"), lambda x: x.rlike("[^ \t-\r]")))
-    df = _held(df, "__hash", F.transform("__words", lambda w: F.xxhash64(w)))
-    pairs = F.zip_with(_tail("__hash", 1, 2), _tail("__hash", 2, 2), lambda a, b: F.xxhash64(a, b))
-    df = _held(df, "__windows", F.zip_with(pairs, _tail("__hash", 3, 2), lambda p, c: F.xxhash64(p, c)))
+def _prefix(columns: list[str]) -> str:
+    """What own columns begin with: no input column does."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
+def with_statistics(docs: DataFrame, prefix: str, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the five statistics of each whole text, named with ``prefix``."""
+    own = lambda name: prefix + "s_" + name
+    c = lambda name: F.col(own(name))
+    tail = lambda name, start, drop: _tail(own(name), start, drop)
+    df = _held(docs.withColumn(own("text"), F.coalesce(F.col(text), F.lit(""))), own("words"), _words(F.coalesce(F.col(text), F.lit(""))))
+    df = _held(df, own("lines"), F.filter(F.split(c("text"), "\n"), lambda x: x.rlike("[^ \t-\r]")))
+    df = _held(df, own("hash"), F.transform(c("words"), lambda w: F.xxhash64(w)))
+    pairs = F.zip_with(tail("hash", 1, 2), tail("hash", 2, 2), lambda a, b: F.xxhash64(a, b))
+    df = _held(df, own("windows"), F.zip_with(pairs, tail("hash", 3, 2), lambda p, c: F.xxhash64(p, c)))
     # Windows found twice or more, then their places; most texts have none and stop there.
-    repeated = F.size(F.array_distinct("__windows")) < F.size("__windows")
-    placed = F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = _held(df, "__placed", F.when(repeated, placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    same = F.zip_with(_tail("__placed", 1, 1), _tail("__placed", 2, 1), lambda a, b: F.when(a.h == b.h, F.array(a.i, b.i)).otherwise(F.array().cast("array<int>")))
-    df = _held(df, "__at", F.sort_array(F.array_distinct(F.flatten(same))))
-    gaps = F.zip_with(_tail("__at", 1, 1), _tail("__at", 2, 1), lambda a, b: F.least(b - a, F.lit(3)))
-    covered = F.aggregate(gaps, F.lit(0), lambda total, gap: total + gap) + F.when(F.size("__at") > 0, 3).otherwise(0)
+    repeated = F.size(F.array_distinct(c("windows"))) < F.size(c("windows"))
+    placed = F.sort_array(F.transform(c("windows"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = _held(df, own("placed"), F.when(repeated, placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    same = F.zip_with(tail("placed", 1, 1), tail("placed", 2, 1), lambda a, b: F.when(a.h == b.h, F.array(a.i, b.i)).otherwise(F.array().cast("array<int>")))
+    df = _held(df, own("at"), F.sort_array(F.array_distinct(F.flatten(same))))
+    gaps = F.zip_with(tail("at", 1, 1), tail("at", 2, 1), lambda a, b: F.least(b - a, F.lit(3)))
+    covered = F.aggregate(gaps, F.lit(0), lambda total, gap: total + gap) + F.when(F.size(c("at")) > 0, 3).otherwise(0)
     out = {
-        "n_words": F.size("__words"),
-        "word_chars": F.length(F.array_join("__words", "")),
-        "n_symbols": F.length("__text") - F.length(F.regexp_replace("__text", "[#*$%&|<>]", "")),
-        "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
+        "n_words": F.size(c("words")),
+        "word_chars": F.length(F.array_join(c("words"), "")),
+        "n_symbols": F.length(c("text")) - F.length(F.regexp_replace(c("text"), "[#*$%&|<>]", "")),
+        "n_dup_lines": F.size(c("lines")) - F.size(F.array_distinct(c("lines"))),
         "n_repeat_words": covered,
     }
-    return df.select(*docs.columns, *[value.cast("long").alias(f"__{name}") for name, value in out.items()])
+    return df.select(*docs.columns, *[value.cast("long").alias(prefix + name) for name, value in out.items()])
 
 
-def failures(prefix: str = "__") -> dict[str, Column]:
+def failures(prefix: str) -> dict[str, Column]:
     """Rule name to failed; every rule is a comparison of whole numbers."""
     n, chars, symbols, lines, repeats = (F.col(f"{prefix}{x}") for x in _STATS)
     base = (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)
@@ -88,50 +101,50 @@ def failures(prefix: str = "__") -> dict[str, Column]:
     }
 
 
-def host_verdicts(stats: DataFrame, host: str = "source") -> DataFrame:
+def host_verdicts(stats: DataFrame, prefix: str, host: str = "source") -> DataFrame:
     """Per host the flags of each soft rule, from failure rates shrunk by an empirical beta prior."""
-    counts = stats.groupBy(F.col(host).alias("__host")).agg(
-        F.count(F.lit(1)).alias("__n"), *[F.sum(F.when(failed, 1).otherwise(0)).alias(f"__k_{rule}") for rule, failed in failures().items()]
-    )
+    failed = failures(prefix)
+    counts = stats.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(failed[r], 1).otherwise(0)).alias(f"k_{r}") for r in RULES])
     counts = materialise(counts, "hosts")
-    moments = counts.agg(
-        *[F.avg(F.col(f"__k_{r}") / F.col("__n")).alias(f"m_{r}") for r in RULES],
-        *[F.var_pop(F.col(f"__k_{r}") / F.col("__n")).alias(f"v_{r}") for r in RULES],
+    prior = counts.agg(
+        *[F.avg(F.col(f"k_{r}") / F.col("n")).alias(f"m_{r}") for r in RULES],
+        *[F.var_pop(F.col(f"k_{r}") / F.col("n")).alias(f"v_{r}") for r in RULES],
     )
-    prior = moments
     for r in RULES:
         m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
         # Method of moments, kept between a prior worth 2 and one worth 1,000 documents.
         strength = F.when(v > 0, F.least(F.greatest(m * (1 - m) / v - 1, F.lit(2.0)), F.lit(1000.0))).otherwise(1000.0)
         prior = prior.withColumn(f"s_{r}", strength)
     flagged = counts.join(F.broadcast(prior))  # one row
-    rate = {r: (F.col(f"__k_{r}") + F.col(f"m_{r}") * F.col(f"s_{r}")) / (F.col("__n") + F.col(f"s_{r}")) for r in RULES}
-    return flagged.select("__host", *[(rate[r] >= HOST_RATE).alias(f"__flag_{r}") for r in RULES])
+    rate = {r: (F.col(f"k_{r}") + F.col(f"m_{r}") * F.col(f"s_{r}")) / (F.col("n") + F.col(f"s_{r}")) for r in RULES}
+    return flagged.select(F.col("host").alias(f"{prefix}host"), *[(rate[r] >= HOST_RATE).alias(f"{prefix}flag_{r}") for r in RULES])
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``carry`` columns, the statistics, ``base_failed`` and ``kept`` for every row."""
+def _judged(docs: DataFrame, text: str, host: str, carry: tuple[str, ...]) -> tuple[DataFrame, str, Column, Column]:
+    """``carry`` and the statistics under a prefix of their own, that prefix, and both verdicts."""
+    prefix = _prefix(docs.columns)
     wanted = list(dict.fromkeys([*carry, host]))
-    stats = with_statistics(docs.select(*dict.fromkeys([*wanted, text])), text)
-    stats = materialise(stats.select(*wanted, *[f"__{x}" for x in _STATS]), "quality")
-    verdicts = materialise(host_verdicts(stats, host), "verdicts")
+    stats = with_statistics(docs.select(*dict.fromkeys([*wanted, text])), prefix, text)
+    stats = materialise(stats.select(*wanted, *[f"{prefix}{x}" for x in _STATS]), "quality")
+    verdicts = materialise(host_verdicts(stats, prefix, host), "verdicts")
     if verdicts.count() <= BROADCAST_HOSTS:
         verdicts = F.broadcast(verdicts)
-    joined = stats.join(verdicts, F.col(host).eqNullSafe(F.col("__host")), "left")
-    failed = failures()
-    soft = reduce(lambda a, b: a | b, [failed[r] & F.col(f"__flag_{r}") for r in RULES[1:]])
-    return joined.select(
-        *carry,
-        *[F.col(f"__{x}").alias(x) for x in _STATS],
-        failed["base"].alias("base_failed"),
-        (~failed["base"] & ~F.coalesce(soft, F.lit(False))).alias("kept"),
-    )
+    joined = stats.join(verdicts, F.col(host).eqNullSafe(F.col(f"{prefix}host")), "left")
+    failed = failures(prefix)
+    soft = reduce(lambda a, b: a | b, [failed[r] & F.col(f"{prefix}flag_{r}") for r in RULES[1:]])
+    return joined, prefix, failed["base"], ~failed["base"] & ~F.coalesce(soft, F.lit(False))
+
+
+def judge(docs: DataFrame, text: str = "text", host: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``carry`` columns, the statistics, ``base_failed`` and ``kept`` for every row."""
+    joined, prefix, base, kept = _judged(docs, text, host, carry)
+    return joined.select(*carry, *[F.col(f"{prefix}{x}").alias(x) for x in _STATS], base.alias("base_failed"), kept.alias("kept"))
 
 
 def keep(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    judged = judge(docs, text, host, tuple(docs.columns))
-    return judged.where("kept").select(*docs.columns)
+    joined, _, _, kept = _judged(docs, text, host, tuple(docs.columns))
+    return joined.where(kept).select(*docs.columns)
 
 
 #: The same result in DuckDB's SQL.
