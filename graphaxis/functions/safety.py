@@ -31,26 +31,39 @@ SECRET_PREFIXES = (
     "^eyJ[0-9A-Za-z_-]{10,}\\.",
 )
 
+#: What Java's ``$`` would let stand after the end.
+_LINE_END = "[\\n\\r\\u0085\\u2028\\u2029]\\z"
+
+
+def matches(value: Column, grammar: str) -> Column:
+    """A grammar's ``$`` is the end of the value; no line end may follow."""
+    return value.rlike(grammar) & ~value.rlike(_LINE_END) if grammar.endswith("$") else value.rlike(grammar)
+
+
+def code_units(value: Column) -> Column:
+    """Length in UTF-16 code units."""
+    return F.octet_length(F.encode(value, "UTF-16BE")) / 2
+
 
 def shannon_entropy(value: Column) -> Column:
-    """V5: bits per character, from sorted characters and their run ends. ASCII."""
+    """V5: bits per character; shares are of the length in UTF-16 code units, characters are code points."""
     chars = F.split(value, "")
-    n = F.size(chars)
+    n = code_units(value)
     counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)).cast("double"))
     return F.aggregate(counts, F.lit(0.0), lambda total, k: total - (k / n) * F.log2(k / n))
 
 
 def is_secret_like(value: Column) -> Column:
     """V4: a known prefix, or a long mixed token of high entropy."""
-    known = reduce(lambda a, b: a | b, [value.rlike(p) for p in SECRET_PREFIXES])
+    known = reduce(lambda a, b: a | b, [matches(value, p) for p in SECRET_PREFIXES])
     compact = F.regexp_replace(value, "[._:@/-]", "")
-    mixed = (F.length(compact) >= LEAST_SECRET) & compact.rlike("[a-z]") & compact.rlike("[A-Z]") & compact.rlike("[0-9]")
+    mixed = (code_units(compact) >= LEAST_SECRET) & compact.rlike("[a-z]") & compact.rlike("[A-Z]") & compact.rlike("[0-9]")
     return known | F.when(mixed, shannon_entropy(compact) >= LEAST_ENTROPY).otherwise(False)
 
 
 def environment_key(value: Column, trusted: Column | None = None) -> Column:
     """V1: the key, or null where it is opaque. ``trusted``: an array of allowed keys."""
-    good = value.rlike(ENVIRONMENT_KEY) & ~is_secret_like(value)
+    good = matches(value, ENVIRONMENT_KEY) & ~is_secret_like(value)
     if trusted is not None:
         good = good | F.coalesce(F.array_contains(trusted, value), F.lit(False))
     return F.when(good, value)
@@ -58,19 +71,24 @@ def environment_key(value: Column, trusted: Column | None = None) -> Column:
 
 def generic_identifier(value: Column) -> Column:
     """V2."""
-    return F.when(value.rlike(IDENTIFIER) & ~is_secret_like(value), value)
+    return F.when(matches(value, IDENTIFIER) & ~is_secret_like(value), value)
 
 
 def structured_identifier(value: Column, grammar: str) -> Column:
     """V3: a caller's grammar, bounded length, not like a secret."""
-    return F.when((F.length(value) <= LONGEST) & value.rlike(grammar) & ~is_secret_like(value), value)
+    return F.when((code_units(value) <= LONGEST) & matches(value, grammar) & ~is_secret_like(value), value)
+
+
+def _segments_safe(path: Column) -> Column:
+    return F.forall(F.split(path, "/"), lambda p: matches(p, PATH_SEGMENT) & ~is_secret_like(p))
 
 
-def safe_path(value: Column) -> Column:
-    """V6: relative, no escape, every segment displayable."""
-    parts = F.split(value, "/")
-    good = F.forall(parts, lambda p: p.rlike(PATH_SEGMENT) & ~is_secret_like(p))
-    return F.when(value.isNotNull() & good, value).otherwise(OPAQUE_PATH)
+def safe_path(value: Column, root: Column | None = None) -> Column:
+    """V6: relative (to ``root``, if given, of a canonical path), no escape, every segment displayable."""
+    if root is not None:
+        base = F.rtrim(root, F.lit("/"))
+        value = F.when(F.startswith(value, F.concat(base, F.lit("/"))), F.substring(value, F.length(base) + 2, F.length(value)))
+    return F.when(value.isNotNull() & _segments_safe(value), value).otherwise(OPAQUE_PATH)
 
 
 def root_relative_path(value: Column) -> Column:
@@ -81,16 +99,16 @@ def root_relative_path(value: Column) -> Column:
 
 
 def diagnostic_code(value: Column) -> Column:
-    return F.when(value.rlike(DIAGNOSTIC), value).otherwise(UNSAFE_DIAGNOSTIC)
+    return F.when(matches(value, DIAGNOSTIC), value).otherwise(UNSAFE_DIAGNOSTIC)
 
 
 def timestamp(value: Column) -> Column:
     """V8: UTC ISO-8601 to milliseconds, null where malformed or no such day."""
-    shaped = value.rlike("^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d{3})?Z$")
+    shaped = matches(value, "^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d{3})?Z$")
     return F.when(shaped, F.date_format(F.try_to_timestamp(value), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
 
 
 def redacted(value: Column, marker: str = OPAQUE) -> Column:
     """The second gate, before anything is shown."""
-    bad = (F.length(value) > LONGEST) | value.rlike("[\\x00-\\x1f\\x7f]") | is_secret_like(value)
+    bad = (code_units(value) > LONGEST) | value.rlike("[\\x00-\\x1f\\x7f]") | is_secret_like(value)
     return F.when(value.isNull() | bad, marker).otherwise(value)

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphaxis.functions import predicates as P
+from graphaxis.plans.store import stored
 
 #: More assignments of conditions than this are not enumerated.
 MAX_ASSIGNMENTS = 256
@@ -117,7 +118,7 @@ def selection_status() -> Column:
 def resolve(candidates: DataFrame) -> Resolved:
     """All slots of ``candidates`` (schema ``CANDIDATE``)."""
     c = candidates.withColumn("slot", slot_key(F.col("scope"), F.col("destination"), F.col("ord")))
-    c = c.withColumn("dims", P.dimensions_key(F.col("applies_when"))).persist()
+    c = stored(c.withColumn("dims", P.dimensions_key(F.col("applies_when"))))
     condition = F.col("applies_when.condition")
     slots = c.groupBy("slot").agg(
         F.min_by("scope", "ord").alias("scope"),
@@ -129,7 +130,8 @@ def resolve(candidates: DataFrame) -> Resolved:
     clauses = c.where(condition["kind"] == "all").select("slot", F.explode(condition["clauses"]).alias("x")).select("slot", "x.key", "x.value").distinct()
     counted = clauses.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("k"), F.array_sort(F.collect_list("value")).alias("values"))
     domains = counted.groupBy("slot").agg(F.exp(F.sum(F.log(F.col("k") + 1.0))).alias("size"), F.array_sort(F.collect_list(F.struct("key", "values"))).alias("domains"))
-    known = slots.join(domains, "slot", "left").withColumn("finite", F.col("one_shape") & (F.col("unknown") == 0) & (F.coalesce("size", F.lit(1.0)) <= MAX_ASSIGNMENTS + 0.5)).persist()
+    known = slots.join(domains, "slot", "left").withColumn("finite", F.col("one_shape") & (F.col("unknown") == 0) & (F.coalesce("size", F.lit(1.0)) <= MAX_ASSIGNMENTS + 0.5))
+    known = stored(known)
     slim = c.select("slot", F.col("id").alias("candidate_id"), "rank", "comparable", "resolution", "applies_when", "ord")
     a = _finite(known.where("finite"), slim)
     b = _grouped(known.where(~F.col("finite")), slim)

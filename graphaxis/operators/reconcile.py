@@ -7,7 +7,9 @@ each axis. Nothing is ever dropped by a limit: what is not known makes a record
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from graphaxis.functions import predicates as P
 from graphaxis.operators import bindings, coverage, dynamics
 from graphaxis.plans import schemas
+from graphaxis.plans.store import all_stored, stored
 
 NONE = "array<string>"
 DEMAND_RANK = {"present": 3, "finite-dynamic": 2, "pattern-dynamic": 1}
@@ -42,12 +45,24 @@ class Facts:
         return cls(**{f.name: given.get(f.name, spark.createDataFrame([], schemas.FACTS[f.name])) for f in fields(cls)})
 
 
-@dataclass
 class Records:
-    demand: DataFrame
-    inventory: DataFrame
-    dynamic: DataFrame
-    scopes: DataFrame
+    """The tables of records; each is planned when it is first asked for."""
+
+    def __init__(self, demand: Callable[[], DataFrame], inventory: Callable[[], DataFrame], dynamic: Callable[[], DataFrame], scopes: DataFrame):
+        self._demand, self._inventory, self._dynamic = demand, inventory, dynamic
+        self.scopes = scopes
+
+    @cached_property
+    def demand(self) -> DataFrame:
+        return self._demand()
+
+    @cached_property
+    def inventory(self) -> DataFrame:
+        return self._inventory()
+
+    @cached_property
+    def dynamic(self) -> DataFrame:
+        return self._dynamic()
 
     def union(self) -> DataFrame:
         """All records in one table."""
@@ -168,7 +183,7 @@ def demand_records(facts: Facts, wanted: DataFrame, resolved: bindings.Resolved,
     gaps = coverage.gap_ids(coverage.affecting(wanted.select("demand_id", "scope", "key"), facts.gaps, "demand_id", True), "demand_id")
     unsure = uncertain_ids(wanted, dynamic, "demand_id")
     # Stored before they meet, so that no plan holds all of them at once.
-    effective, status, applicable, gaps, unsure, strong = (x.persist() for x in (effective, status, applicable, gaps, unsure, strong))
+    effective, status, applicable, gaps, unsure, strong = all_stored(effective, status, applicable, gaps, unsure, strong)
     d = wanted.join(effective, "demand_id", "left").join(status, "demand_id", "left").join(applicable, "demand_id", "left").join(gaps, "demand_id", "left").join(unsure, "demand_id", "left")
     d = d.withColumns({"gap_ids": F.coalesce("gap_ids", none), "uncertain": F.coalesce("uncertain", F.lit(False)), "n_effective": F.coalesce("n_effective", F.lit(0)), "candidate_ids": F.coalesce("candidate_ids", none)})
     d = d.withColumn("coverage", F.when(F.size("gap_ids") > 0, "incomplete").otherwise("complete"))
@@ -179,7 +194,7 @@ def demand_records(facts: Facts, wanted: DataFrame, resolved: bindings.Resolved,
         .when(F.col("any_dynamic") == 1, "dynamic").when(F.col("any_dynamic") == 0, "possible").otherwise("no-static-evidence")
     )
     d = d.withColumn("binding", binding).withColumn("lone", F.when(n == 1, F.col("resource")))
-    d, first = d.persist(), _first_match(facts.inventory)
+    d, first = all_stored(d, _first_match(facts.inventory))
     d = d.join(first, (F.col("lone.authority_id") == F.col("m_authority")) & (F.col("lone.canonical_id") == F.col("m_canonical")), "left")
     d = d.withColumn("scope_id", P.scope_key(F.col("scope"))).join(strong.withColumn("is_strong", F.lit(True)), "scope_id", "left")
     firm = F.coalesce("is_strong", F.lit(False)) & (F.col("coverage") == "complete") & ~F.col("uncertain")
@@ -202,8 +217,8 @@ def inventory_records(facts: Facts, wanted: DataFrame, resolved: bindings.Resolv
     """J5 to J8, C6, C7."""
     none = F.array().cast(NONE)
     winners = resolved.partitions.where("outcome = 'effective'").select("slot", "part").join(resolved.selections.where("status = 'effective'"), ["slot", "part"]).select("candidate_id").distinct()
-    winners = winners.persist()
-    c = facts.candidates.join(winners, F.col("id") == F.col("candidate_id"), "left_semi").where("resource is not null").select(F.col("id").alias("candidate_id"), "scope", F.col("destination").alias("key"), "resource").persist()
+    c = facts.candidates.join(winners, F.col("id") == F.col("candidate_id"), "left_semi").where("resource is not null").select(F.col("id").alias("candidate_id"), "scope", F.col("destination").alias("key"), "resource")
+    c = stored(c)
     items = facts.inventory.select(F.col("authority_id").alias("snapshot_authority"), "as_of", F.col("resource").alias("item"), "declared_scopes")
     bound = c.join(items.drop("declared_scopes"), (F.col("resource.authority_id") == F.col("item.authority_id")) & (F.col("resource.canonical_id") == F.col("item.canonical_id")))
     w = wanted.select(F.col("scope").alias("d_scope"), F.col("key").alias("d_key"), F.col("demand").alias("d_demand"), F.col("o"))
@@ -211,7 +226,7 @@ def inventory_records(facts: Facts, wanted: DataFrame, resolved: bindings.Resolv
     used = used.groupBy("candidate_id").agg(F.min_by("d_demand", "o").alias("used"))
     gaps = coverage.gap_ids(coverage.affecting(c.select("candidate_id", "scope", "key"), facts.gaps, "candidate_id", True), "candidate_id")
     unsure = uncertain_ids(c, dynamic, "candidate_id")
-    bound, used, gaps, unsure = (x.persist() for x in (bound, used, gaps, unsure))
+    bound, used, gaps, unsure = all_stored(bound, used, gaps, unsure)
     b = bound.join(used, "candidate_id", "left").join(gaps, "candidate_id", "left").join(unsure, "candidate_id", "left")
     b = b.withColumns({"gap_ids": F.coalesce("gap_ids", none), "uncertain": F.coalesce("uncertain", F.lit(False))})
     b = b.withColumn("coverage", F.when(F.size("gap_ids") > 0, "incomplete").otherwise("complete"))
@@ -256,22 +271,22 @@ def dynamic_records(facts: Facts, dynamic: DataFrame, scopes: DataFrame) -> Data
 
 
 def reconcile(facts: Facts, max_finite: int = dynamics.MAX_FINITE_KEYS, resolved: bindings.Resolved | None = None) -> Records:
-    # Each of these feeds several joins below; kept (spilling to disk) they are computed once.
-    facts = replace(facts, candidates=facts.candidates.persist(), inventory=facts.inventory.persist())
-    dynamic = dynamics.validate(facts.dynamic_edges, facts.candidates, facts.pattern_domains, max_finite).persist()
-    resolved = resolved or bindings.resolve(facts.candidates)
-    resolved = bindings.Resolved(resolved.partitions.persist(), resolved.selections.persist())
-    wanted = demands(facts, dynamic).persist()
-    listed = facts.inventory.select(F.explode("declared_scopes").alias("scope"), F.struct("snapshot_ord", "ord").alias("at"))
+    # Each of these feeds several joins below, and is stored before they meet.
+    candidates, inventory = all_stored(facts.candidates, facts.inventory)
+    facts = replace(facts, candidates=candidates, inventory=inventory)
+    known = resolved or bindings.resolve(candidates)
+    dynamic, partitions, selections = all_stored(dynamics.validate(facts.dynamic_edges, candidates, facts.pattern_domains, max_finite), known.partitions, known.selections)
+    resolved = bindings.Resolved(partitions, selections)
+    wanted = stored(demands(facts, dynamic))
+    listed = inventory.select(F.explode("declared_scopes").alias("scope"), F.struct("snapshot_ord", "ord").alias("at"))
     scopes = coverage.scopes_of([
-        wanted.select("scope", F.col("o.ord").alias("ord")), dynamic.select("scope", "ord"), facts.candidates.select("scope", "ord"),
+        wanted.select("scope", F.col("o.ord").alias("ord")), dynamic.select("scope", "ord"), candidates.select("scope", "ord"),
         facts.target_statuses.select("scope", "ord"), listed.select("scope", F.col("at.ord").alias("ord")),
     ])
-    covered = coverage.scope_coverage(scopes, facts.gaps).persist()
-    strong = coverage.strong_scopes(covered, facts.closed_scopes, facts.inputs, facts.inventory)
+    covered = stored(coverage.scope_coverage(scopes, facts.gaps))
     return Records(
-        demand_records(facts, wanted, resolved, dynamic, strong),
-        inventory_records(facts, wanted, resolved, dynamic),
-        dynamic_records(facts, dynamic, covered),
+        lambda: demand_records(facts, wanted, resolved, dynamic, coverage.strong_scopes(covered, facts.closed_scopes, facts.inputs, inventory)),
+        lambda: inventory_records(facts, wanted, resolved, dynamic),
+        lambda: dynamic_records(facts, dynamic, covered),
         covered,
     )

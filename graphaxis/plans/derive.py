@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphaxis.operators.reconcile import Facts
+from graphaxis.operators.reconcile import Facts, Records, reconcile
 from graphaxis.plans import schemas
+from graphaxis.plans.store import all_stored, stored
 
 AS_OF = "2026-07-12T00:00:00.000Z"
 
@@ -169,7 +170,7 @@ def kept(facts: DataFrame) -> DataFrame:
 
     Without this the optimiser copies the struct expressions into every use of every predicate.
     """
-    return facts.persist()
+    return stored(facts)
 
 
 def facts(spark: SparkSession, sf_dir: str) -> Facts:
@@ -177,4 +178,8 @@ def facts(spark: SparkSession, sf_dir: str) -> Facts:
         references=references(spark, sf_dir), demand_edges=demand_edges(spark, sf_dir), dynamic_edges=dynamic_edges(spark, sf_dir),
         candidates=candidates(spark, sf_dir), inventory=inventory(spark, sf_dir), gaps=gaps(spark, sf_dir),
     )
-    return Facts.of(spark, **{name: kept(df) for name, df in made.items()})
+    return Facts.of(spark, **dict(zip(made, all_stored(*made.values()))))
+
+
+def records(spark: SparkSession, sf_dir: str) -> Records:
+    return reconcile(facts(spark, sf_dir))

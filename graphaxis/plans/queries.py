@@ -107,11 +107,20 @@ def p3_p4_stage_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.crossJoin(b).select("a_id", "b_id", P.stage_covers(F.col("a"), F.col("b")).alias("covers"), P.stages_overlap(F.col("a"), F.col("b")).alias("overlaps"))  # 7 x 7 rows of a truth table
 
 
+# Prefixes of well-known credentials.
+_SECRET_PREFIXES = """
+    regexp_matches(w, '^sk_(live|test)_', 'i') OR regexp_matches(w, '^rk_(live|test)_', 'i') OR regexp_matches(w, '^pk_(live|test)_', 'i')
+    OR regexp_matches(w, '^gh[pousr]_') OR regexp_matches(w, '^github_pat_', 'i') OR regexp_matches(w, '^glpat-', 'i') OR regexp_matches(w, '^xox[abprs]-', 'i')
+    OR regexp_matches(w, '^AKIA[0-9A-Z]{16}$') OR regexp_matches(w, '^ASIA[0-9A-Z]{16}$') OR regexp_matches(w, '^AIza[0-9A-Za-z_-]{20,}$')
+    OR regexp_matches(w, '^ya29\\.[0-9A-Za-z_-]{10,}$') OR regexp_matches(w, '^npm_[0-9A-Za-z]{20,}$') OR regexp_matches(w, '^eyJ[0-9A-Za-z_-]{10,}\\.')"""
+_MIXED = """(length(z) >= 24 AND regexp_matches(z, '[a-z]') AND regexp_matches(z, '[A-Z]') AND regexp_matches(z, '[0-9]')
+      AND (SELECT entropy(x) FROM (SELECT unnest(string_split(z, '')) AS x)) >= 3.5)"""
+
+
 @query("""
 WITH t AS (SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM documents) WHERE w <> ''),
 c AS (SELECT w, regexp_replace(w, '[._:@/-]', '', 'g') AS z FROM t),
-e AS (SELECT w, regexp_matches(w, '^(gh[pousr]_|AKIA[0-9A-Z]{16}$|ASIA[0-9A-Z]{16}$|AIza[0-9A-Za-z_-]{20,}$|ya29\\.[0-9A-Za-z_-]{10,}|npm_[0-9A-Za-z]{20,}$|eyJ[0-9A-Za-z_-]{10,}\\.)')
-    OR regexp_matches(lower(w), '^([srp]k_(live|test)_|github_pat_|glpat-|xox[abprs]-)')
+e AS (SELECT w, """ + _SECRET_PREFIXES + """
     OR (length(z) >= 24 AND regexp_matches(z, '[a-z]') AND regexp_matches(z, '[A-Z]') AND regexp_matches(z, '[0-9]')
       AND (SELECT entropy(x) FROM (SELECT unnest(string_split(z, '')) AS x)) >= 3.5) AS secret FROM c)
 SELECT w AS token, secret, CASE WHEN NOT secret AND regexp_matches(w, '^[A-Z_][A-Z0-9_]{0,255}$') THEN w END AS env_key,
@@ -133,8 +142,10 @@ def v5_shannon_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT page_id, p AS path, CASE WHEN len(list_filter(string_split(p, '/'), lambda s: NOT regexp_matches(s, '^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$'))) = 0 THEN p ELSE '<opaque-path>' END AS safe
-FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS p FROM pages)
+WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS p FROM pages),
+t AS (SELECT page_id, w, regexp_replace(w, '[._:@/-]', '', 'g') AS z FROM (SELECT page_id, unnest(string_split(p, '/')) AS w FROM p)),
+bad AS (SELECT DISTINCT page_id FROM t WHERE NOT regexp_matches(w, '^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$') OR """ + _SECRET_PREFIXES + " OR " + _MIXED + """)
+SELECT page_id, p AS path, CASE WHEN page_id IN (FROM bad) THEN '<opaque-path>' ELSE p END AS safe FROM p
 """)
 def v6_safe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_replace("url", "^[a-z]+://", "")
@@ -200,14 +211,14 @@ def _gap_list() -> Column:
 
 @query(_DEMAND_RECORDS)
 def c4_c5_c9_demand_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = reconcile.reconcile(derive.facts(spark, sf_dir)).demand
+    r = derive.records(spark, sf_dir).demand
     return r.select(
         *flat_scope(), F.col("key.name").alias("name"), F.size("reference_ids").cast("long").alias("n_refs"), "demand", "target_discovery",
         "binding", "inventory", "coverage", "disposition", _gap_list().alias("gap_ids"),
     )
 
 
-@query(f"""
+_INVENTORY_RECORDS = f"""
 WITH {_SLOTS}, {_DEMAND},
 winners AS (SELECT DISTINCT id, unit, phase, stage, name, part, authority FROM chosen WHERE status = 'effective' AND authority IS NOT NULL),
 listed AS (SELECT p_partkey AS part, 'AUTH_' || r AS authority, 'REGION_' || r AS unit FROM part, range(5) t(r) WHERE p_size % 10 <> 0),
@@ -215,14 +226,18 @@ bound AS (SELECT w.id, w.unit, w.phase, w.stage, w.name, w.part, w.authority FRO
 firsts AS (SELECT b.id, max(w.d) AS best, bool_or(true) AS seen FROM bound b JOIN wanted w ON b.unit = w.unit AND b.phase = w.phase AND b.name = w.name AND b.stage IN (w.stage, 'all') GROUP BY b.id),
 blocked AS (SELECT b.id FROM bound b JOIN gap g ON b.unit = g.unit AND starts_with(b.name, g.prefix)
   UNION SELECT id FROM bound WHERE phase = 'build' AND stage IN ('R', 'all') AND name IN ('PART_7', 'PART_77', 'PART_177')
-  UNION SELECT id FROM bound WHERE phase = 'runtime' AND stage = 'A' AND unit IN (SELECT unit FROM open_units) AND name IS NOT NULL)
+  UNION SELECT id FROM bound WHERE phase = 'runtime' AND stage = 'A' AND unit IN (SELECT unit FROM open_units))
 SELECT id AS candidate_id, 'PART_' || part AS resource, CASE WHEN id IN (FROM blocked) THEN 'unknown' WHEN seen THEN 'bound' ELSE 'inventory-listed-no-static-read' END AS inventory,
-  CASE WHEN id IN (FROM blocked) THEN 'inconclusive' ELSE NULL END AS blocked FROM bound LEFT JOIN firsts USING (id)
+  CASE WHEN id IN (FROM blocked) THEN 'inconclusive' ELSE NULL END AS blocked, name, unit, CASE WHEN id IN (FROM blocked) THEN 'inconclusive' WHEN seen AND best = 3 THEN 'informational' ELSE 'review' END AS disposition
+FROM bound LEFT JOIN firsts USING (id)
 UNION ALL
-SELECT NULL, 'PART_' || part, 'unbound', NULL FROM listed l WHERE NOT EXISTS (SELECT 1 FROM bound b WHERE b.part = l.part AND b.authority = l.authority)
-""")
+SELECT NULL, 'PART_' || part, 'unbound', NULL, NULL, CASE WHEN part % 50 = 0 THEN unit END, 'review' FROM listed l WHERE NOT EXISTS (SELECT 1 FROM bound b WHERE b.part = l.part AND b.authority = l.authority)
+"""
+
+
+@query(f"SELECT candidate_id, resource, inventory, blocked FROM ({_INVENTORY_RECORDS})")
 def c6_c7_inventory_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = reconcile.reconcile(derive.facts(spark, sf_dir)).inventory
+    r = derive.records(spark, sf_dir).inventory
     said = F.get(F.filter("reasons", lambda x: F.startswith(x, F.lit("CORE_BINDING_CANDIDATE:"))), F.lit(0))
     blocked = F.when(F.col("disposition") == "inconclusive", F.col("disposition"))
     return r.select(F.regexp_replace(said, "^CORE_BINDING_CANDIDATE:", "").alias("candidate_id"), F.col("resource.canonical_id").alias("resource"), "inventory", blocked.alias("blocked"))
@@ -236,7 +251,7 @@ SELECT 'dynamic-' || region || '-' || event_type AS lookup_id, CASE WHEN kind =
   CASE WHEN kind = 'unbounded' OR over THEN 'inconclusive' ELSE 'review' END AS disposition, CAST(len(keys) AS BIGINT) AS n_keys FROM valid v
 """)
 def c1_c8_dynamic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = reconcile.reconcile(derive.facts(spark, sf_dir)).dynamic
+    r = derive.records(spark, sf_dir).dynamic
     return r.select("lookup_id", "demand", "binding", "coverage", "disposition", F.size("likely_keys").cast("long").alias("n_keys"))
 
 
@@ -249,7 +264,7 @@ SELECT unit, phase, stage, CASE WHEN count(id) > 0 THEN 'incomplete' ELSE 'compl
 FROM scopes LEFT JOIN hit USING (unit, phase, stage) GROUP BY ALL
 """)
 def j9_a2_scope_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = reconcile.reconcile(derive.facts(spark, sf_dir)).scopes
+    r = derive.records(spark, sf_dir).scopes
     return r.select(*flat_scope(), "state", F.when(F.size("gap_ids") > 0, F.array_join("gap_ids", ",")).alias("gap_ids"))
 
 
@@ -271,42 +286,77 @@ def a6_shared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH base AS ({_DEMAND_RECORDS}),
-d AS (SELECT name, unit || '/' || phase || '/' || stage AS at, disposition FROM base)
-SELECT 'env:' || name AS group_key, count(*) AS n_scopes, count(*) > 1 AS shared,
+WITH d AS ({_DEMAND_RECORDS}), i AS ({_INVENTORY_RECORDS}),
+u AS (SELECT name, unit || '/' || phase || '/' || stage AS place, disposition FROM d WHERE name IS NOT NULL
+  UNION ALL SELECT name, NULL, disposition FROM i WHERE name IS NOT NULL)
+SELECT 'env:' || name AS group_key, count(*) AS n_uses, count(DISTINCT place) AS n_scopes, count(DISTINCT place) > 1 AS shared,
   CASE max(CASE disposition WHEN 'inconclusive' THEN 2 WHEN 'review' THEN 1 ELSE 0 END) WHEN 2 THEN 'inconclusive' WHEN 1 THEN 'review' ELSE 'informational' END AS disposition
-FROM d GROUP BY name
+FROM u GROUP BY name
+UNION ALL SELECT 'opaque:' || candidate_id, 1, 0, false, disposition FROM i WHERE name IS NULL AND candidate_id IS NOT NULL
 """)
 def a8_report_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of demand by key, shared over scopes, with their worst disposition."""
-    r = reconcile.reconcile(derive.facts(spark, sf_dir))
-    return report.groups(r.demand, r.inventory.limit(0)).select("group_key", "n_scopes", "shared", "disposition")
+    """Groups of all uses by key, shared over scopes, with their worst disposition; opaque keys form one each."""
+    r = derive.records(spark, sf_dir)
+    return report.groups(r.demand, r.inventory).select("group_key", "n_uses", "n_scopes", "shared", "disposition")
+
+
+_SARIF = f"""
+WITH d AS ({_DEMAND_RECORDS}), i AS ({_INVENTORY_RECORDS}),
+y AS (WITH {_CANDIDATES}, {_DEMAND} SELECT unit, kind = 'unbounded' OR over AS unbounded, n % 2 = 0 AS by_user FROM valid),
+r AS (SELECT CASE WHEN inventory = 'missing' THEN 'SRI002' ELSE 'SRI003' END AS rule_id, unit FROM d WHERE inventory = 'missing' OR disposition = 'inconclusive'
+  UNION ALL SELECT CASE WHEN inventory = 'inventory-listed-no-static-read' THEN 'SRI001' ELSE 'SRI003' END, unit FROM i
+    WHERE inventory = 'inventory-listed-no-static-read' OR disposition = 'inconclusive'
+  UNION ALL SELECT CASE WHEN unbounded AND by_user THEN 'SRI005' ELSE 'SRI004' END, unit FROM y)
+"""
+
+
+@query(f"{_SARIF} SELECT rule_id, unit, count(*) AS n FROM r GROUP BY ALL")
+def c13_sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of all records, dynamic lookups included."""
+    r = derive.records(spark, sf_dir)
+    found = report.sarif_results(r.demand, r.inventory, r.dynamic)
+    return found.groupBy("rule_id", "unit").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""{_SARIF} SELECT rule_id, CASE rule_id WHEN 'SRI005' THEN 'error' WHEN 'SRI001' THEN 'note' ELSE 'warning' END AS level, count(*) AS n FROM r GROUP BY ALL""")
+def g3_sarif_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log that the sink writes, read back: results by rule and level."""
+    r = derive.records(spark, sf_dir)
+    log = report.sarif(report.sarif_results(r.demand, r.inventory, r.dynamic))
+    shape = "struct<runs:array<struct<results:array<struct<ruleId:string,level:string>>>>>"
+    result = log.select(F.explode(F.flatten(F.from_json("sarif", shape)["runs"]["results"])).alias("x"))
+    return result.groupBy(F.col("x.ruleId").alias("rule_id"), F.col("x.level").alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""
-WITH base AS ({_DEMAND_RECORDS})
-SELECT CASE WHEN inventory = 'missing' THEN 'SRI002' ELSE 'SRI003' END AS rule_id, unit, count(*) AS n
-FROM base WHERE inventory = 'missing' OR disposition = 'inconclusive' GROUP BY ALL
+WITH d AS ({_DEMAND_RECORDS}), i AS ({_INVENTORY_RECORDS}),
+u AS (SELECT name, 'demand' AS kind FROM d WHERE name IS NOT NULL UNION ALL SELECT name, 'inventory' FROM i WHERE name IS NOT NULL)
+SELECT name, count(*) AS n_uses, count(*) FILTER (kind = 'demand') AS n_demand FROM u GROUP BY name
 """)
-def c13_sarif_demand_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = reconcile.reconcile(derive.facts(spark, sf_dir))
-    found = report.sarif_results(r.demand, r.inventory.limit(0), r.dynamic.limit(0))
-    return found.groupBy("rule_id", "unit").agg(F.count(F.lit(1)).alias("n"))
+def g1_nested_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups with their uses nested, as the JSON report has them; opaque ones are left to a8."""
+    r = derive.records(spark, sf_dir)
+    found = report.nested(r.demand, r.inventory).where("name <> '<opaque>'")
+    return found.select("name", F.size("uses").cast("long").alias("n_uses"), F.size(F.filter("uses", lambda u: u["kind"] == "demand")).cast("long").alias("n_demand"))
 
 
-@query()
-def a8_report_groups_of_all_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of demand and inventory by key; ``a8_report_groups`` has those of demand alone, as its oracle."""
-    r = reconcile.reconcile(derive.facts(spark, sf_dir))
-    return report.groups(r.demand, r.inventory).select("group_key", "n_uses", "n_scopes", "shared", "disposition")
+@query(f"""
+SELECT unit, phase, stage, binding, inventory, coverage, disposition FROM ({_DEMAND_RECORDS}) WHERE name = 'PART_7'
+""")
+def g4_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The demand records of one key."""
+    r = derive.records(spark, sf_dir)
+    return report.explain(r.demand, "env:PART_7").select(*flat_scope(), "binding", "inventory", "coverage", "disposition")
 
 
-@query()
-def c13_sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results of all records; ``c13_sarif_demand_results`` has those of demand alone, as its oracle."""
-    r = reconcile.reconcile(derive.facts(spark, sf_dir))
-    found = report.sarif_results(r.demand, r.inventory, r.dynamic)
-    return found.groupBy("rule_id", "unit").agg(F.count(F.lit(1)).alias("n"))
+@query(f"""
+WITH d AS ({_DEMAND_RECORDS})
+SELECT bool_or(coverage = 'incomplete') AS incomplete FROM d
+""")
+def a13_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether any scope or demand leaves the whole incomplete."""
+    r = derive.records(spark, sf_dir)
+    return report.incomplete(r.scopes, r.demand)
 
 
 # --- Sources -------------------------------------------------------------------------------
@@ -326,17 +376,19 @@ def s2_s3_s5_file_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT r.r_regionkey, p_partkey AS ord, p_size * 1000 AS bytes FROM part, region r WHERE p_partkey % 5 = r_regionkey),
-s AS (SELECT *, count(*) OVER w AS n, sum(bytes) OVER w AS b FROM o WINDOW w AS (PARTITION BY r_regionkey ORDER BY ord))
-SELECT 'root-' || r_regionkey AS root_id, count(*) FILTER (n <= 300 AND b <= 5000000) AS n_in, count(*) FILTER (NOT (n <= 300 AND b <= 5000000)) AS n_out FROM s GROUP BY r_regionkey
+WITH o AS (SELECT p_partkey % 5 AS root, p_partkey AS ord, p_size * 1000 AS bytes, p_partkey % 7 <> 0 AS good FROM part),
+s AS (SELECT *, count(*) FILTER (good) OVER w AS n, coalesce(sum(bytes) FILTER (good) OVER w, 0) AS b FROM o WINDOW w AS (PARTITION BY root ORDER BY ord))
+SELECT 'root-' || root AS root_id, count(*) FILTER (good AND n <= 300 AND b <= 5000000) AS n_in, count(*) FILTER (good AND NOT (n <= 300 AND b <= 5000000)) AS n_out,
+  count(*) FILTER (NOT good) AS n_rejected FROM s GROUP BY root
 """)
 def b1_discovery_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first file over the budget stops its root; nothing is sampled."""
+    """The first file over the budget stops its root; rejected files don't count; nothing is sampled."""
+    n = F.col("p_partkey")
     files = derive.table(spark, sf_dir, "part").select(
-        F.concat(F.lit("root-"), (F.col("p_partkey") % 5).cast("string")).alias("root_id"), F.col("p_partkey").alias("ord"), (F.col("p_size") * 1000).cast("long").alias("bytes"), F.lit(None).cast("string").alias("code")
+        F.concat(F.lit("root-"), (n % 5).cast("string")).alias("root_id"), n.alias("ord"), (F.col("p_size") * 1000).cast("long").alias("bytes"), F.when(n % 7 == 0, "GENERATED").alias("code")
     )
     judged = discovery.within_budget(files, 300, 5_000_000)
-    return judged.groupBy("root_id").agg(F.count_if(F.col("code").isNull()).alias("n_in"), F.count_if(F.col("code").isNotNull()).alias("n_out"))
+    return judged.groupBy("root_id").agg(F.count_if(F.col("code").isNull()).alias("n_in"), F.count_if(F.col("code") == "BUDGET_EXCEEDED").alias("n_out"), F.count_if(F.col("code") == "GENERATED").alias("n_rejected"))
 
 
 @query("""
@@ -391,7 +443,14 @@ def j18_inventory_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("repository_id", "relation", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""
+WITH RECURSIVE c AS (SELECT p_brand AS workspace_id, printf('repo-%08d', p_partkey) AS repository_id, CAST(floor(p_retailprice) AS BIGINT) AS cost,
+    row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part),
+t AS (SELECT workspace_id, repository_id, cost, i, cost <= 50000 AS admitted, CASE WHEN cost <= 50000 THEN 50000 - cost ELSE 50000 END AS rest FROM c WHERE i = 1
+  UNION ALL SELECT c.workspace_id, c.repository_id, c.cost, c.i, c.cost <= rest, CASE WHEN c.cost <= rest THEN rest - c.cost ELSE rest END
+  FROM t JOIN c ON c.workspace_id = t.workspace_id AND c.i = t.i + 1)
+SELECT workspace_id, repository_id, cost, admitted FROM t
+""")
 def b3_greedy_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of a brand as repositories with their price as cost, admitted while the budget lasts."""
     costs = derive.table(spark, sf_dir, "part").select(F.col("p_brand").alias("workspace_id"), F.format_string("repo-%08d", "p_partkey").alias("repository_id"), F.floor("p_retailprice").cast("long").alias("cost"))

@@ -50,7 +50,8 @@ def groups(demand: DataFrame, inventory: DataFrame) -> DataFrame:
     """One row for each key; opaque keys form a group each. ``shared``: over one consumer scope."""
     u = uses(demand, inventory)
     named = F.concat(F.col("key.namespace"), F.lit(":"), F.col("key.name"))
-    lone = F.concat(F.lit("opaque:"), F.to_json(F.struct("kind", "scope", "reference_ids", "reasons")))
+    candidate = F.regexp_extract(F.array_join("reasons", " "), "CORE_BINDING_CANDIDATE:([^ ]+)", 1)
+    lone = F.concat(F.lit("opaque:"), F.when(candidate != "", candidate).otherwise(F.to_json(F.struct("kind", "scope", "reference_ids", "reasons"))))
     u = u.withColumn("group_key", F.coalesce(named, lone)).withColumn("at", F.coalesce(scope_key(F.col("scope")), F.to_json("scope")))
     consumer = F.when(F.col("kind") == "demand", F.col("at"))
     return u.groupBy("group_key").agg(
@@ -65,8 +66,10 @@ def groups(demand: DataFrame, inventory: DataFrame) -> DataFrame:
 def nested(demand: DataFrame, inventory: DataFrame) -> DataFrame:
     """G1: each group with its uses as sorted structs, for a JSON sink."""
     u = uses(demand, inventory).withColumn("name", F.coalesce("key.name", F.lit(safety.OPAQUE)))
+    # Opaque keys are nobody's equal: a group each.
+    u = u.withColumn("lone", F.when(F.col("key.name").isNull(), F.to_json(F.struct("kind", "scope", "reference_ids", "reasons"))))
     use = F.struct(F.col("scope.id").alias("unit"), F.col("scope.phase").alias("phase"), "kind", "demand", "binding", "inventory", "coverage", "disposition", "reasons", "reference_ids")
-    return u.groupBy(F.col("key.namespace").alias("namespace"), "name").agg(F.array_sort(F.collect_list(use)).alias("uses"))
+    return u.groupBy(F.col("key.namespace").alias("namespace"), "name", "lone").agg(F.array_sort(F.collect_list(use)).alias("uses")).drop("lone")
 
 
 def sarif_results(demand: DataFrame, inventory: DataFrame, dynamic: DataFrame) -> DataFrame:

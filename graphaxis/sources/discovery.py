@@ -58,11 +58,12 @@ def classify(listing: DataFrame) -> DataFrame:
 def within_budget(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """B1: in order, the first file over a limit stops everything from it on (``BUDGET_EXCEEDED``).
 
-    Prefix sums of a budget of 100,000 rows are a window by root; a root is one walk.
+    Only files that nothing else rejects count. Prefix sums are a window by root; a root is one walk.
     """
     w = W.partitionBy("root_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    over = (F.count(F.lit(1)).over(w) > max_files) | (F.sum("bytes").over(w) > max_bytes)
-    return files.withColumn("code", F.when(F.col("code").isNotNull(), F.col("code")).when(over, "BUDGET_EXCEEDED"))
+    good = F.col("code").isNull()
+    over = (F.count_if(good).over(w) > max_files) | (F.sum(F.when(good, F.col("bytes"))).over(w) > max_bytes)
+    return files.withColumn("code", F.when(~good, F.col("code")).when(over, "BUDGET_EXCEEDED"))
 
 
 def walk(root: str) -> Iterator[tuple[int, str, int, int, str, bool]]:

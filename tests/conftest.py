@@ -16,3 +16,12 @@ def spark():
     session = local_session("tests", cpus=4, **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def steps_are_freed():
+    """What a test's plans stored goes when it ends."""
+    yield
+    from graphaxis.plans.store import release
+
+    release()

@@ -61,6 +61,24 @@ def test_budget_stops_and_never_samples(spark):
     assert codes == [None] * 3 + ["BUDGET_EXCEEDED"] * 7
 
 
+def test_rejected_files_are_not_in_the_budget(spark):
+    files = spark.createDataFrame([("r", i, 10, "OVERSIZE" if i % 2 else None) for i in range(10)], "root_id string, ord long, bytes long, code string")
+    codes = [r.code for r in discovery.within_budget(files, 100, 35).orderBy("ord").collect()]
+    assert codes == [None, "OVERSIZE"] * 3 + ["BUDGET_EXCEEDED", "OVERSIZE"] * 2
+
+
+def test_a_line_end_is_part_of_no_safe_value(spark):
+    c = F.col("v")
+    rows = spark.createDataFrame([(v + end,) for v in ("KEY", "a/b") for end in ("", "\n", "\r\n", "\u2028")], "v string")
+    got = rows.select(safety.environment_key(c).alias("k"), safety.generic_identifier(c).alias("i"), safety.safe_path(c, F.lit("/r")).alias("r"), safety.safe_path(c).alias("p"), safety.diagnostic_code(c).alias("d")).collect()
+    assert [r.k for r in got] == ["KEY"] + [None] * 7
+    assert [r.i for r in got] == ["KEY", None, None, None, "a/b", None, None, None]
+    assert [r.p == safety.OPAQUE_PATH for r in got] == [False, True, True, True] * 2
+    assert {r.r for r in got} == {safety.OPAQUE_PATH} and got[0].d == "KEY" and got[1].d == safety.UNSAFE_DIAGNOSTIC
+    under = spark.createDataFrame([("/r/src/a.ts",), ("/root/a",)], "v string").select(safety.safe_path(c, F.lit("/r/")).alias("p")).collect()
+    assert [u.p for u in under] == ["src/a.ts", safety.OPAQUE_PATH]
+
+
 def test_manifest_text_and_roots(spark):
     text = '﻿{ // roots\n "a": [1, 2, /* x */ ], "b": "// not a comment, ]",\n}'
     assert manifest.parse_manifest(text) == {"a": [1, 2], "b": "// not a comment, ]"}
