@@ -40,16 +40,19 @@ TILE = 256
 def _runs(close: Guard) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros((4, 0), dtype=np.int64)  # key, node and guards of the last run, which may go on
-        rest, long_key, leads, last = none, None, none, none
+        rest, long_key, leads = none, None, none
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy() for i in range(4)])
-            # An item that several tasks gave to a block stands once: its rows follow each other.
-            seen = np.concatenate([last, rows[:, :-1]], axis=1) if last.shape[1] else rows[:, :-1]
-            tail = rows[:, rows.shape[1] - seen.shape[1] :]
-            again = (tail[:2] == seen[:2]).all(axis=0)
-            last = rows[:, -1:] if rows.shape[1] else last
-            rows = rows[:, np.concatenate([np.ones(rows.shape[1] - len(again), dtype=bool), ~again])]
-            rows = np.concatenate([rest, rows], axis=1)
+            rows = np.concatenate([rest, np.stack([batch.column(i).to_numpy() for i in range(4)])], axis=1)
+            # Most keys are of one item only, which has no partner; the last key may go on.
+            same = rows[0, 1:] == rows[0, :-1]
+            use = np.append(same, True)[: rows.shape[1]]
+            use[1:] |= same
+            use[:1] |= long_key is not None and rows[0, :1] == long_key
+            rows = rows[:, use]
+            # An item that several tasks gave to a block stands once in a batch. What the batches of a
+            # long run repeat is harmless: candidates and links are made distinct later.
+            rows = rows[:, np.lexsort((rows[1], rows[0]))]
+            rows = rows[:, np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))[: rows.shape[1]]]
             if long_key is not None and rows.shape[1]:
                 n = int(np.searchsorted(rows[0], long_key, "right"))
                 yield from _part_of_long(rows[:, :n], leads, close)
@@ -138,7 +141,8 @@ def link(blocks: DataFrame, close: Guard, close_sql: Callable[[Column, Column, C
     links. ``linked``: how payloads are compared where the rest is to be compared inside tasks
     instead of as a table of pairs.
     """
-    dealt = blocks.select("key", "node", "g", "h").repartition("key").sortWithinPartitions("key", "node")
+    # By the key alone, which Spark sorts by radix; items of a key are ordered in each batch.
+    dealt = blocks.select("key", "node", "g", "h").repartition("key").sortWithinPartitions("key")
     found = materialise(dealt.mapInArrow(_runs(close), _FOUND), "candidates", 1 << 16)
     nodes = found.select(F.col("v").alias("node")).union(found.where("u is not null").select("u")).distinct()
     held = materialise(payload.join(nodes, "node", "left_semi").dropDuplicates(["node", "payload"]), "payload")

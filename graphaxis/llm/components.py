@@ -1,7 +1,8 @@
 """Connected components of a link table, distributed, by minimum labels and pointer jumping.
 
 Only vertices that have a link appear. Links are first thinned inside tasks: those that are dealt to
-one task leave one spanning forest. Every round reads and writes tables in the shared folder, so
+one task leave one spanning forest, first by ``by`` and then by vertex, so that what is left of a large
+component are mostly stars around few least vertices. Every round reads and writes tables in the shared folder, so
 both sides of each join are plain scans that adaptive execution can split where a vertex is hot;
 the driver sees one number a round.
 """
@@ -59,7 +60,8 @@ def components(links: DataFrame, by: str = "v") -> DataFrame:
     ``by``: what links are dealt to tasks by, best one value for links that are likely connected.
     """
     pairs = links.where("u <> v").select(F.least("u", "v").cast("long").alias("u"), F.greatest("u", "v").cast("long").alias("v"), F.col(by).alias("by"))
-    thin = materialise(pairs.repartition("by").select("u", "v").mapInArrow(_thinned, "u long, v long"), "links", 1 << 16)
+    thin = pairs.repartition("by").select("u", "v").mapInArrow(_thinned, "u long, v long")
+    thin = materialise(thin.repartition("v").mapInArrow(_thinned, "u long, v long"), "links", 1 << 16)
     both = thin.union(thin.select("v", "u"))
     start = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
     labels = materialise(start.select("node", F.least("node", "m").alias("label")), "labels")

@@ -251,14 +251,19 @@ def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     blocks = lines.where("a is not null").select(F.explode("keys").alias("key"), F.col("h").alias("node"), F.col("a").alias("g"), F.col("b").alias("h"))
     spelled = lines.where("a is not null").select(F.col("h").alias("node"), F.decode("letters", "UTF-16BE").alias("payload"))
     found = link(blocks, _guard, _guard_sql, spelled, lambda pairs: _alike(pairs).dropDuplicates(["u", "v"]), finer=(_fine_guards, _fine_sql))
-    first = F.min(F.struct("id", "no")).alias("first")
-    classes = lines.groupBy("h", "g").agg(first, F.count(F.lit(1)).alias("n"))
-    grouped = classes.join(found, F.col("h") == F.col("node"), "left").select("h", "g", "n", "first", F.coalesce("component", "h").alias("grp"))
-    grouped = materialise(grouped, "grouped")
+    # Fixed-width aggregates are hashed, not sorted: the document that keeps a line first, then its line number.
+    classes = lines.groupBy("h", "g").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    grouped = classes.join(found, F.col("h") == F.col("node"), "left").where("n > 1 or component is not null")
+    grouped = materialise(grouped.select("h", "g", "n", "first", F.coalesce("component", "h").alias("grp")), "grouped")
     keepers = grouped.groupBy("grp").agg(F.min("first").alias("stay"), F.sum("n").alias("total")).where("total > 1").select("grp", "stay")
-    repeated = materialise(grouped.join(keepers, "grp").select("h", "g", "stay"), "repeated")
-    gone = lines.select("id", "no", "h", "g").join(repeated, ["h", "g"]).where((F.col("id") != F.col("stay.id")) | (F.col("no") != F.col("stay.no")))
-    gone = materialise(gone.groupBy("id").agg(F.collect_set(F.col("no").cast("int")).alias("gone")), "gone")
+    repeated = materialise(grouped.join(keepers, "grp").select("h", "g", "grp", "stay"), "repeated")
+    # Of the keeping document's own lines of a group the first stays: by group, then number, it stands first.
+    own = F.when(F.col("id") == F.col("stay"), F.col("grp")).alias("own")
+    held = lines.select("id", "no", "h", "g").join(repeated, ["h", "g"]).select("id", F.struct(own, F.col("no").cast("int").alias("no")).alias("line"))
+    held = held.groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("held"))
+    goes = F.filter("held", lambda x, i: x["own"].isNull() | ((i > 0) & (F.get("held", i - 1)["own"] == x["own"])))
+    gone = held.select("id", F.transform(goes, lambda x: x["no"]).alias("gone")).where(F.size("gone") > 0)
+    gone = materialise(gone, "gone")
     discard(lines, grouped, repeated, found)
     return gone
 
@@ -271,12 +276,13 @@ def _free(name: str, taken: list[str]) -> str:
 
 
 def _joined(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, Column, Column]:
-    """Documents with the numbers of lines that go, and the lines as a column, computed once."""
+    """Documents with the numbers of lines that go, and the lines of those that lose any as a column, computed once."""
     key, gone, split = (_free(f"__{n}", docs.columns) for n in ("id", "gone", "split"))
     lost = dropped_lines(docs, id, text).select(F.col("id").alias(key), F.col("gone").alias(gone))
     # Hinted: the lines that go grow with the input, so they are never broadcast, whatever their size here.
     joined = docs.join(lost.hint("merge"), F.col(id).cast("long") == F.col(key), "left")
-    return joined.withColumn(split, F.explode(F.array(F.split(text, "\n")))), F.col(gone), F.col(split)
+    lines = F.when(F.col(gone).isNotNull(), F.split(text, "\n"))
+    return joined.withColumn(split, F.explode(F.array(lines))), F.col(gone), F.col(split)
 
 
 def _kept_text(text: str, gone: Column, split: Column) -> Column:
@@ -290,7 +296,7 @@ def digests(docs: DataFrame) -> DataFrame:
     joined, gone, split = _joined(docs.select("doc_id", "text"), "doc_id", "text")
     return joined.select(
         "doc_id",
-        F.greatest(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.greatest(F.size(gone), F.lit(0)), F.lit(0)).cast("long").alias("n_dropped"),
         F.sha2(_kept_text("text", gone, split), 256).alias("text_sha256"),
     )
