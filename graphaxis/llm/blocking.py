@@ -145,7 +145,8 @@ def link(blocks: DataFrame, close: Guard, close_sql: Callable[[Column, Column, C
     dealt = blocks.select("key", "node", "g", "h").repartition("key").sortWithinPartitions("key")
     found = materialise(dealt.mapInArrow(_runs(close), _FOUND), "candidates", 1 << 16)
     nodes = found.select(F.col("v").alias("node")).union(found.where("u is not null").select("u")).distinct()
-    held = materialise(payload.join(nodes, "node", "left_semi").dropDuplicates(["node", "payload"]), "payload")
+    # The distinct nodes of a partition are hashed, so that the payloads, far larger, need no sort.
+    held = materialise(payload.join(nodes.hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node", "payload"]), "payload")
     pairs = found.where("u is not null").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("lead").alias("lead"))
     pairs = materialise(pairs, "pairs")
     links = verify(_with_payloads(pairs, held)).select("u", "v", "lead")

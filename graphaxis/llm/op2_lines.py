@@ -280,7 +280,8 @@ def _joined(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, Column, Col
     key, gone, split = (_free(f"__{n}", docs.columns) for n in ("id", "gone", "split"))
     lost = dropped_lines(docs, id, text).select(F.col("id").alias(key), F.col("gone").alias(gone))
     # Hinted: the lines that go grow with the input, so they are never broadcast, whatever their size here.
-    joined = docs.join(lost.hint("merge"), F.col(id).cast("long") == F.col(key), "left")
+    # Those of a partition are hashed: they are a small part of its texts, which then need no sort.
+    joined = docs.join(lost.hint("shuffle_hash"), F.col(id).cast("long") == F.col(key), "left")
     lines = F.when(F.col(gone).isNotNull(), F.split(text, "\n"))
     return joined.withColumn(split, F.explode(F.array(lines))), F.col(gone), F.col(split)
 
@@ -296,7 +297,7 @@ def digests(docs: DataFrame) -> DataFrame:
     joined, gone, split = _joined(docs.select("doc_id", "text"), "doc_id", "text")
     return joined.select(
         "doc_id",
-        F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
+        F.greatest(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.greatest(F.size(gone), F.lit(0)), F.lit(0)).cast("long").alias("n_dropped"),
         F.sha2(_kept_text("text", gone, split), 256).alias("text_sha256"),
     )

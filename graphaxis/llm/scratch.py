@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 _written: dict[str, SparkSession] = {}
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -34,11 +35,12 @@ def shared_folder(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str, arrow_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder once and return the table read back.
 
-    ``arrow_rows``: rows of an Arrow batch while it is written. Settings are put back.
+    ``arrow_rows``: rows of an Arrow batch while it is written, for rows of fixed width, whose bytes
+    need no measuring row by row. Settings are put back.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/graphaxis-{label}-{uuid.uuid4().hex}"
-    settings = {_CLEAN: "true"} | ({_ROWS: str(arrow_rows)} if arrow_rows else {})
+    settings = {_CLEAN: "true"} | ({_ROWS: str(arrow_rows), _BYTES: str((1 << 31) - 1)} if arrow_rows else {})
     before = {key: spark.conf.get(key, None) for key in settings}
     for key, value in settings.items():
         spark.conf.set(key, value)
