@@ -82,6 +82,15 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nda
                 yield ids.take(pa.array(a + doc[use])), no[use], span_hashes(data, starts, ends), np.append(first[:-1][use], first[-1])
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The hashes of all words, which no line break is part of."""
+    for batch in batches:
+        texts = text_column(batch.column(1))
+        for a, b in chunks(texts, 1 << 19):
+            data, offsets = raw_bytes(pc.utf8_lower(texts.slice(a, b - a)))
+            yield span_hashes(data, *runs(_WORD[data], offsets)[:2])
+
+
 def _hash(words: np.ndarray, begin: np.ndarray, k: int) -> np.ndarray:
     place = (np.arange(len(words)) - np.repeat(begin[:-1], np.diff(begin))).astype(np.uint64)
     return mix(np.add.reduceat(mix(words * _U(2 * k + 1) + mix(place + _U(k << 40))), begin[:-1])).view(np.int64)
@@ -101,7 +110,7 @@ def word_weights(docs: DataFrame, id: str = "doc_id", text: str = "text") -> np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
-        for _, _, words, _ in _lines(batches):
+        for words in _words(batches):
             total += np.bincount(_counter(words), minlength=COUNTERS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["counter", "k"])
