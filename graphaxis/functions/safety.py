@@ -105,7 +105,9 @@ def diagnostic_code(value: Column) -> Column:
 def timestamp(value: Column) -> Column:
     """V8: UTC ISO-8601 to milliseconds, null where malformed or no such day."""
     shaped = matches(value, "^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d{3})?Z$")
-    return F.when(shaped, F.date_format(F.try_to_timestamp(value), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    millis = F.when(F.length(value) == 24, F.substring(value, 20, 4)).otherwise(".000")
+    exists = shaped & F.try_to_timestamp(value).isNotNull()
+    return F.when(exists, F.concat(F.substring(value, 1, 19), millis, F.lit("Z")))
 
 
 def redacted(value: Column, marker: str = OPAQUE) -> Column:
