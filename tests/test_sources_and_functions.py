@@ -97,3 +97,13 @@ def test_safe_values(spark):
     assert row["src/a.ts"].p == "src/a.ts" and row["../a"].p == safety.OPAQUE_PATH and row[mixed].r == safety.OPAQUE
     stamps = spark.createDataFrame([("2026-07-12T00:00:00Z",), ("2026-02-30T00:00:00Z",), ("x",)], "v string").select(safety.timestamp(F.col("v")).alias("t")).collect()
     assert [s.t for s in stamps] == ["2026-07-12T00:00:00.000Z", None, None]
+
+
+def test_timestamps_keep_utc_in_any_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = spark.createDataFrame([("2023-03-12T02:30:00Z",), ("2023-01-31T23:59:07.250Z",), ("2023-02-29T00:00:00Z",), ("2023-01-01T00:00:00",)], "t string")
+        assert [r.t for r in rows.select(safety.timestamp(F.col("t")).alias("t")).collect()] == ["2023-03-12T02:30:00.000Z", "2023-01-31T23:59:07.250Z", None, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
