@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphaxis.functions import predicates as P
-from graphaxis.plans.store import stored
+from graphaxis.plans.store import large, stored
 
 #: More assignments of conditions than this are not enumerated.
 MAX_ASSIGNMENTS = 256
@@ -130,7 +130,7 @@ def resolve(candidates: DataFrame) -> Resolved:
     clauses = c.where(condition["kind"] == "all").select("slot", F.explode(condition["clauses"]).alias("x")).select("slot", "x.key", "x.value").distinct()
     counted = clauses.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("k"), F.array_sort(F.collect_list("value")).alias("values"))
     domains = counted.groupBy("slot").agg(F.exp(F.sum(F.log(F.col("k") + 1.0))).alias("size"), F.array_sort(F.collect_list(F.struct("key", "values"))).alias("domains"))
-    known = slots.join(domains, "slot", "left").withColumn("finite", F.col("one_shape") & (F.col("unknown") == 0) & (F.coalesce("size", F.lit(1.0)) <= MAX_ASSIGNMENTS + 0.5))
+    known = slots.join(large(domains), "slot", "left").withColumn("finite", F.col("one_shape") & (F.col("unknown") == 0) & (F.coalesce("size", F.lit(1.0)) <= MAX_ASSIGNMENTS + 0.5))
     known = stored(known)
     slim = c.select("slot", F.col("id").alias("candidate_id"), "rank", "comparable", "resolution", "applies_when", "ord")
     a = _finite(known.where("finite"), slim)
@@ -144,7 +144,7 @@ def _with_condition(selector: Column, condition: Column) -> Column:
 
 
 def _finish(parts: DataFrame, rows: DataFrame, outcome: DataFrame, finite: bool) -> Resolved:
-    partitions = parts.join(outcome.select("slot", "part", "outcome"), ["slot", "part"])
+    partitions = parts.join(large(outcome.select("slot", "part", "outcome")), ["slot", "part"])
     selections = rows.join(outcome, ["slot", "part"]).select("slot", "part", "candidate_id", selection_status().alias("status"))
     columns = ["slot", "part", "scope", "destination", "applies_when", "outcome"]
     return Resolved(partitions.select(*columns, F.lit(finite).alias("finite")), selections)
@@ -155,22 +155,22 @@ def _finite(known: DataFrame, slim: DataFrame) -> Resolved:
     none = F.array().cast("array<struct<key:string,values:array<string>>>")
     parts = known.select("slot", "scope", "destination", "first", F.posexplode(assignments(F.coalesce("domains", none))).alias("part", "assignment"))
     parts = parts.withColumn("applies_when", _with_condition(F.col("first"), assignment_condition(F.col("assignment"))))
-    rows = parts.select("slot", "part", "assignment").join(slim, "slot").withColumn("applicable", condition_matches(F.col("applies_when.condition"), F.col("assignment")))
+    rows = parts.select("slot", "part", "assignment").join(large(slim), "slot").withColumn("applicable", condition_matches(F.col("applies_when.condition"), F.col("assignment")))
     return _finish(parts, rows, precedence(rows, ["slot", "part"]), True)
 
 
 def _grouped(known: DataFrame, slim: DataFrame) -> Resolved:
     """C2, selector groups (A4): equal selectors form a partition; any overlap leaves it open."""
-    rows = known.select("slot", "scope", "destination").join(slim, "slot").withColumn("selector", P.selector_key(F.col("applies_when")))
+    rows = known.select("slot", "scope", "destination").join(large(slim), "slot").withColumn("selector", P.selector_key(F.col("applies_when")))
     groups = rows.groupBy("slot", "selector").agg(F.min("ord").alias("at"), F.min_by("applies_when", "ord").alias("applies_when"), F.first("scope").alias("scope"), F.first("destination").alias("destination"))
     groups = groups.withColumn("part", F.row_number().over(W.partitionBy("slot").orderBy("at")) - 1)
     other = groups.select("slot", F.col("selector").alias("other"), F.col("applies_when").alias("theirs"))
-    met = groups.join(other, "slot").where((F.col("selector") != F.col("other")) & P.selectors_overlap(F.col("theirs"), F.col("applies_when")))
+    met = groups.join(large(other), "slot").where((F.col("selector") != F.col("other")) & P.selectors_overlap(F.col("theirs"), F.col("applies_when")))
     open_ended = met.select("slot", "part").distinct().withColumn("open", F.lit(True))
-    members = rows.join(groups.select("slot", "selector", "part"), ["slot", "selector"]).withColumn("applicable", F.lit(True))
-    outcome = precedence(members, ["slot", "part"]).join(open_ended, ["slot", "part"], "left").join(groups.select("slot", "part", F.col("applies_when.condition.kind").alias("kind")), ["slot", "part"])
+    members = rows.join(large(groups.select("slot", "selector", "part")), ["slot", "selector"]).withColumn("applicable", F.lit(True))
+    outcome = precedence(members, ["slot", "part"]).join(large(open_ended), ["slot", "part"], "left").join(large(groups.select("slot", "part", F.col("applies_when.condition.kind").alias("kind"))), ["slot", "part"])
     outcome = outcome.withColumn("outcome", F.when(F.col("open").isNotNull() | (F.col("kind") == "unknown"), "unresolved").otherwise(F.col("outcome")))
-    every = groups.select("slot", "part", F.col("selector").alias("own")).join(rows, "slot").withColumn("applicable", F.col("selector") == F.col("own"))
+    every = groups.select("slot", "part", F.col("selector").alias("own")).join(large(rows), "slot").withColumn("applicable", F.col("selector") == F.col("own"))
     return _finish(groups, every, outcome.select("slot", "part", "top", "n_applicable", "outcome"), False)
 
 

@@ -37,6 +37,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def large(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: met by sorting, never gathered by the driver.
+
+    Keys of one table are alike, so megabytes of files or shuffled rows are hundreds in memory, and
+    a threshold on the former lets the latter be broadcast.
+    """
+    return df.hint("merge")
+
+
 def all_stored(*steps: DataFrame) -> list[DataFrame]:
     """Steps that don't read each other, written together."""
     if steps:
