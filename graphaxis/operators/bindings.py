@@ -145,7 +145,7 @@ def _with_condition(selector: Column, condition: Column) -> Column:
 
 def _finish(parts: DataFrame, rows: DataFrame, outcome: DataFrame, finite: bool) -> Resolved:
     partitions = parts.join(large(outcome.select("slot", "part", "outcome")), ["slot", "part"])
-    selections = rows.join(outcome, ["slot", "part"]).select("slot", "part", "candidate_id", selection_status().alias("status"))
+    selections = rows.join(large(outcome), ["slot", "part"]).select("slot", "part", "candidate_id", selection_status().alias("status"))
     columns = ["slot", "part", "scope", "destination", "applies_when", "outcome"]
     return Resolved(partitions.select(*columns, F.lit(finite).alias("finite")), selections)
 

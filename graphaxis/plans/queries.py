@@ -12,6 +12,7 @@ from graphaxis.functions import safety
 from graphaxis.operators import bindings, reconcile, workspace
 from graphaxis.operators.extract.facts import observations
 from graphaxis.plans import derive, report
+from graphaxis.plans.store import large
 from graphaxis.sources import discovery, manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,7 +162,7 @@ def w1_a3_u6_binding_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
     clause = F.get(F.col("applies_when.condition.clauses"), F.lit(0))
     branch = F.when(clause.isNull(), "any").when(clause["operator"] == "equals", "main").otherwise("other")
     parts = resolved.partitions.select("slot", "part", branch.alias("branch"))
-    return parts.join(resolved.selections, ["slot", "part"]).select("candidate_id", "branch", "status")
+    return parts.join(large(resolved.selections), ["slot", "part"]).select("candidate_id", "branch", "status")
 
 
 @query(f"WITH {_SLOTS} SELECT outcome, branch, count(*) AS n FROM outcomes GROUP BY ALL")
