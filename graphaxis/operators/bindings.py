@@ -185,7 +185,7 @@ def status_for(wanted: DataFrame, partitions: DataFrame, id: str = "demand_id")
         (F.col("key.namespace") == F.col("r_key.namespace")) & (F.col("key.name") == F.col("r_key.name")) & (F.col("scope.id") == F.col("r_scope.id"))
         & (F.col("scope.phase") == F.col("r_scope.phase")) & (F.col("scope.channel") == F.col("r_scope.channel"))
     )
-    met = w.join(p, on).where(P.scope_covers(F.col("r_scope"), F.col("scope")) & P.selector_may_affect(F.col("applies_when"), F.col("scope")))
+    met = w.join(large(p), on).where(P.scope_covers(F.col("r_scope"), F.col("scope")) & P.selector_may_affect(F.col("applies_when"), F.col("scope")))
     covers = P.selector_covers_strict(F.col("applies_when"), F.col("scope"))
     met = met.withColumn("covers", covers)
     relevant = F.col("covers")

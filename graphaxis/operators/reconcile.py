@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from graphaxis.functions import predicates as P
 from graphaxis.operators import bindings, coverage, dynamics
 from graphaxis.plans import schemas
-from graphaxis.plans.store import all_stored, stored
+from graphaxis.plans.store import all_stored, large, stored
 
 NONE = "array<string>"
 DEMAND_RANK = {"present": 3, "finite-dynamic": 2, "pattern-dynamic": 1}
@@ -83,7 +83,7 @@ def _unranked(rank: Column, ranks: dict[str, int]) -> Column:
 def demands(facts: Facts, dynamic: DataFrame) -> DataFrame:
     """Demands merged by scope and key; opaque ones stay apart."""
     refs = facts.references.where("demand in ('direct-read', 'eager-validation') and key.name is not null").select(F.col("id").alias("reference_id"), "key")
-    direct = facts.demand_edges.join(refs, "reference_id").select(
+    direct = facts.demand_edges.join(large(refs), "reference_id").select(
         F.struct(F.lit(0).alias("part"), "ord", F.lit(0).alias("pos")).alias("o"), "scope", "key", F.lit("present").alias("demand"), "reference_id",
         F.when(F.col("origin") == "consumer-derived", "consumer-derived").otherwise("deployable").alias("target"),
     )
@@ -117,15 +117,15 @@ def _same_slot(scope: str, key: str, other_scope: str, other_key: str) -> Column
 def effective_selections(resolved: bindings.Resolved) -> DataFrame:
     """The winner of each effective partition, with what it applies to."""
     parts = resolved.partitions.where("outcome = 'effective'").select("slot", "part", F.col("scope").alias("r_scope"), F.col("destination").alias("r_key"), "applies_when")
-    return parts.join(resolved.selections.where("status = 'effective'").select("slot", "part", "candidate_id"), ["slot", "part"])
+    return parts.join(large(resolved.selections.where("status = 'effective'").select("slot", "part", "candidate_id")), ["slot", "part"])
 
 
 def effective_for(wanted: DataFrame, winners: DataFrame, candidates: DataFrame) -> DataFrame:
     """Per demand the number of distinct exact winners, their ids, and a lone winner."""
-    met = wanted.select("demand_id", "scope", "key").join(winners, _same_slot("scope", "key", "r_scope", "r_key"))
+    met = wanted.select("demand_id", "scope", "key").join(large(winners), _same_slot("scope", "key", "r_scope", "r_key"))
     met = met.where(P.scope_covers(F.col("r_scope"), F.col("scope")) & P.selector_covers(F.col("applies_when"), F.col("scope")))
     exact = candidates.where("resolution = 'exact'").select(F.col("id").alias("candidate_id"), "resource", F.col("ord").alias("c_ord"))
-    met = met.select("demand_id", "candidate_id").distinct().join(exact, "candidate_id")
+    met = met.select("demand_id", "candidate_id").distinct().join(large(exact), "candidate_id")
     return met.groupBy("demand_id").agg(
         F.count(F.lit(1)).alias("n_effective"),
         F.transform(F.array_sort(F.collect_list(F.struct("c_ord", "candidate_id"))), lambda x: x["candidate_id"]).alias("candidate_ids"),
@@ -178,13 +178,15 @@ def demand_records(facts: Facts, wanted: DataFrame, resolved: bindings.Resolved,
     effective = effective_for(wanted, effective_selections(resolved), facts.candidates)
     status = bindings.status_for(wanted, resolved.partitions)
     reach = facts.candidates.select(F.col("scope").alias("c_scope"), F.col("destination").alias("c_key"), F.col("resolution").alias("c_resolution"))
-    applicable = wanted.select("demand_id", "scope", "key").join(reach, _same_slot("scope", "key", "c_scope", "c_key")).where(P.scope_covers(F.col("c_scope"), F.col("scope")))
+    applicable = wanted.select("demand_id", "scope", "key").join(large(reach), _same_slot("scope", "key", "c_scope", "c_key")).where(P.scope_covers(F.col("c_scope"), F.col("scope")))
     applicable = applicable.groupBy("demand_id").agg(F.max((F.col("c_resolution") == "dynamic").cast("int")).alias("any_dynamic"))
     gaps = coverage.gap_ids(coverage.affecting(wanted.select("demand_id", "scope", "key"), facts.gaps, "demand_id", True), "demand_id")
     unsure = uncertain_ids(wanted, dynamic, "demand_id")
     # Stored before they meet, so that no plan holds all of them at once.
     effective, status, applicable, gaps, unsure, strong = all_stored(effective, status, applicable, gaps, unsure, strong)
-    d = wanted.join(effective, "demand_id", "left").join(status, "demand_id", "left").join(applicable, "demand_id", "left").join(gaps, "demand_id", "left").join(unsure, "demand_id", "left")
+    d = wanted
+    for side in (effective, status, applicable, gaps, unsure):
+        d = d.join(large(side), "demand_id", "left")
     d = d.withColumns({"gap_ids": F.coalesce("gap_ids", none), "uncertain": F.coalesce("uncertain", F.lit(False)), "n_effective": F.coalesce("n_effective", F.lit(0)), "candidate_ids": F.coalesce("candidate_ids", none)})
     d = d.withColumn("coverage", F.when(F.size("gap_ids") > 0, "incomplete").otherwise("complete"))
     s, n = F.coalesce("status", F.lit("none")), F.col("n_effective")
@@ -195,7 +197,9 @@ def demand_records(facts: Facts, wanted: DataFrame, resolved: bindings.Resolved,
     )
     d = d.withColumn("binding", binding).withColumn("lone", F.when(n == 1, F.col("resource")))
     d, first = all_stored(d, _first_match(facts.inventory))
-    d = d.join(first, (F.col("lone.authority_id") == F.col("m_authority")) & (F.col("lone.canonical_id") == F.col("m_canonical")), "left")
+    # Without a lone winner a row matches nothing; its own id deals it out, where null would gather them all.
+    own = F.when(F.col("lone").isNull(), F.col("demand_id")).otherwise(F.col("lone.canonical_id"))
+    d = d.join(large(first), (F.col("lone.authority_id") == F.col("m_authority")) & (own == F.col("m_canonical")), "left")
     d = d.withColumn("scope_id", P.scope_key(F.col("scope"))).join(strong.withColumn("is_strong", F.lit(True)), "scope_id", "left")
     firm = F.coalesce("is_strong", F.lit(False)) & (F.col("coverage") == "complete") & ~F.col("uncertain")
     # C5
@@ -216,18 +220,20 @@ def demand_records(facts: Facts, wanted: DataFrame, resolved: bindings.Resolved,
 def inventory_records(facts: Facts, wanted: DataFrame, resolved: bindings.Resolved, dynamic: DataFrame) -> DataFrame:
     """J5 to J8, C6, C7."""
     none = F.array().cast(NONE)
-    winners = resolved.partitions.where("outcome = 'effective'").select("slot", "part").join(resolved.selections.where("status = 'effective'"), ["slot", "part"]).select("candidate_id").distinct()
-    c = facts.candidates.join(winners, F.col("id") == F.col("candidate_id"), "left_semi").where("resource is not null").select(F.col("id").alias("candidate_id"), "scope", F.col("destination").alias("key"), "resource")
+    winners = resolved.partitions.where("outcome = 'effective'").select("slot", "part").join(large(resolved.selections.where("status = 'effective'")), ["slot", "part"]).select("candidate_id").distinct()
+    c = facts.candidates.join(large(winners), F.col("id") == F.col("candidate_id"), "left_semi").where("resource is not null").select(F.col("id").alias("candidate_id"), "scope", F.col("destination").alias("key"), "resource")
     c = stored(c)
     items = facts.inventory.select(F.col("authority_id").alias("snapshot_authority"), "as_of", F.col("resource").alias("item"), "declared_scopes")
-    bound = c.join(items.drop("declared_scopes"), (F.col("resource.authority_id") == F.col("item.authority_id")) & (F.col("resource.canonical_id") == F.col("item.canonical_id")))
+    bound = c.join(large(items.drop("declared_scopes")), (F.col("resource.authority_id") == F.col("item.authority_id")) & (F.col("resource.canonical_id") == F.col("item.canonical_id")))
     w = wanted.select(F.col("scope").alias("d_scope"), F.col("key").alias("d_key"), F.col("demand").alias("d_demand"), F.col("o"))
-    used = c.select("candidate_id", "scope", "key").join(w, _same_slot("scope", "key", "d_scope", "d_key")).where(P.scope_covers(F.col("scope"), F.col("d_scope")))
+    used = c.select("candidate_id", "scope", "key").join(large(w), _same_slot("scope", "key", "d_scope", "d_key")).where(P.scope_covers(F.col("scope"), F.col("d_scope")))
     used = used.groupBy("candidate_id").agg(F.min_by("d_demand", "o").alias("used"))
     gaps = coverage.gap_ids(coverage.affecting(c.select("candidate_id", "scope", "key"), facts.gaps, "candidate_id", True), "candidate_id")
     unsure = uncertain_ids(c, dynamic, "candidate_id")
     bound, used, gaps, unsure = all_stored(bound, used, gaps, unsure)
-    b = bound.join(used, "candidate_id", "left").join(gaps, "candidate_id", "left").join(unsure, "candidate_id", "left")
+    b = bound
+    for side in (used, gaps, unsure):
+        b = b.join(large(side), "candidate_id", "left")
     b = b.withColumns({"gap_ids": F.coalesce("gap_ids", none), "uncertain": F.coalesce("uncertain", F.lit(False))})
     b = b.withColumn("coverage", F.when(F.size("gap_ids") > 0, "incomplete").otherwise("complete"))
     blocked = (F.col("coverage") == "incomplete") | F.col("uncertain")
@@ -241,7 +247,7 @@ def inventory_records(facts: Facts, wanted: DataFrame, resolved: bindings.Resolv
         reasons(F.array("candidate_id")).alias("reasons"),
     )
     taken = bound.select(F.col("snapshot_authority").alias("t_snapshot"), F.col("item.authority_id").alias("t_authority"), F.col("item.canonical_id").alias("t_canonical")).distinct()
-    free = items.join(taken, (F.col("snapshot_authority") == F.col("t_snapshot")) & (F.col("item.authority_id") == F.col("t_authority")) & (F.col("item.canonical_id") == F.col("t_canonical")), "left_anti")
+    free = items.join(large(taken), (F.col("snapshot_authority") == F.col("t_snapshot")) & (F.col("item.authority_id") == F.col("t_authority")) & (F.col("item.canonical_id") == F.col("t_canonical")), "left_anti")
     free = free.withColumn("scope", F.explode_outer("declared_scopes"))
     u = free.select(
         F.lit("inventory").alias("kind"), "scope", F.lit(None).cast(schemas.KEY).alias("key"), F.col("item").alias("resource"),

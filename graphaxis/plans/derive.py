@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphaxis.operators.reconcile import Facts, Records, reconcile
 from graphaxis.plans import schemas
-from graphaxis.plans.store import all_stored, stored
+from graphaxis.plans.store import all_stored, large, stored
 
 AS_OF = "2026-07-12T00:00:00.000Z"
 
@@ -92,7 +92,7 @@ def read(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_nationkey", "n_regionkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(place, F.col("o_custkey") == F.col("c_custkey"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("part"), F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).distinct()
+    return lines.join(large(orders), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("part"), F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).distinct()
 
 
 def demand_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
