@@ -25,6 +25,7 @@ MAX_ASSIGNMENTS = 256
 class Resolved:
     partitions: DataFrame
     selections: DataFrame
+    steps: tuple[DataFrame, ...] = ()  # stored, read by both
 
 
 def slot_key(scope: Column, destination: Column, ord: Column) -> Column:
@@ -118,7 +119,8 @@ def selection_status() -> Column:
 def resolve(candidates: DataFrame) -> Resolved:
     """All slots of ``candidates`` (schema ``CANDIDATE``)."""
     c = candidates.withColumn("slot", slot_key(F.col("scope"), F.col("destination"), F.col("ord")))
-    c = stored(c.withColumn("dims", P.dimensions_key(F.col("applies_when"))))
+    c = c.withColumn("dims", P.dimensions_key(F.col("applies_when")))
+    c = stored(c.select("slot", "ord", "id", "scope", "destination", "applies_when", "dims", "rank", "comparable", "resolution"))
     condition = F.col("applies_when.condition")
     slots = c.groupBy("slot").agg(
         F.min_by("scope", "ord").alias("scope"),
@@ -134,8 +136,10 @@ def resolve(candidates: DataFrame) -> Resolved:
     known = stored(known)
     slim = c.select("slot", F.col("id").alias("candidate_id"), "rank", "comparable", "resolution", "applies_when", "ord")
     a = _finite(known.where("finite"), slim)
+    if known.where(~F.col("finite")).isEmpty():  # else every candidate is shuffled again to meet nothing
+        return Resolved(a.partitions, a.selections, (c, known))
     b = _grouped(known.where(~F.col("finite")), slim)
-    return Resolved(a.partitions.unionByName(b.partitions), a.selections.unionByName(b.selections))
+    return Resolved(a.partitions.unionByName(b.partitions), a.selections.unionByName(b.selections), (c, known))
 
 
 def _with_condition(selector: Column, condition: Column) -> Column:

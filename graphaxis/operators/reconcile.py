@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from graphaxis.functions import predicates as P
 from graphaxis.operators import bindings, coverage, dynamics
 from graphaxis.plans import schemas
-from graphaxis.plans.store import all_stored, large, stored
+from graphaxis.plans.store import all_stored, discard, large, stored
 
 NONE = "array<string>"
 DEMAND_RANK = {"present": 3, "finite-dynamic": 2, "pattern-dynamic": 1}
@@ -196,7 +196,9 @@ def demand_records(facts: Facts, wanted: DataFrame, resolved: bindings.Resolved,
         .when(F.col("any_dynamic") == 1, "dynamic").when(F.col("any_dynamic") == 0, "possible").otherwise("no-static-evidence")
     )
     d = d.withColumn("binding", binding).withColumn("lone", F.when(n == 1, F.col("resource")))
+    met = (effective, status, applicable, gaps, unsure)
     d, first = all_stored(d, _first_match(facts.inventory))
+    discard(*met)
     # Without a lone winner a row matches nothing; its own id deals it out, where null would gather them all.
     own = F.when(F.col("lone").isNull(), F.col("demand_id")).otherwise(F.col("lone.canonical_id"))
     d = d.join(large(first), (F.col("lone.authority_id") == F.col("m_authority")) & (own == F.col("m_canonical")), "left")
@@ -231,6 +233,7 @@ def inventory_records(facts: Facts, wanted: DataFrame, resolved: bindings.Resolv
     gaps = coverage.gap_ids(coverage.affecting(c.select("candidate_id", "scope", "key"), facts.gaps, "candidate_id", True), "candidate_id")
     unsure = uncertain_ids(c, dynamic, "candidate_id")
     bound, used, gaps, unsure = all_stored(bound, used, gaps, unsure)
+    discard(c)
     b = bound
     for side in (used, gaps, unsure):
         b = b.join(large(side), "candidate_id", "left")
@@ -282,6 +285,8 @@ def reconcile(facts: Facts, max_finite: int = dynamics.MAX_FINITE_KEYS, resolved
     facts = replace(facts, candidates=candidates, inventory=inventory)
     known = resolved or bindings.resolve(candidates)
     dynamic, partitions, selections = all_stored(dynamics.validate(facts.dynamic_edges, candidates, facts.pattern_domains, max_finite), known.partitions, known.selections)
+    if resolved is None:
+        discard(*known.steps)
     resolved = bindings.Resolved(partitions, selections)
     wanted = stored(demands(facts, dynamic))
     listed = inventory.select(F.explode("declared_scopes").alias("scope"), F.struct("snapshot_ord", "ord").alias("at"))

@@ -1,21 +1,31 @@
 """Tables between the steps of a plan, in the folder that the driver and all executors share.
 
 A step that several others read is written once. What reads it plans over plain columns instead of
-the expressions that made them, a lost executor costs a reread, and :func:`release` frees the space.
+the expressions that made them, a lost executor costs a reread, and :func:`release` frees the space;
+:func:`discard` frees that of steps whose last reader is stored. The shuffle files of a write go when it ends.
 """
 
 from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+import weakref
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Steps of one plan that are written at the same time.
 AT_ONCE = 6
 _written: dict[str, SparkSession] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_writing: dict[str, int] = {}
+_before: dict[str, str | None] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,12 +39,37 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def _without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with the write that made them; the last of several writes puts the setting back."""
+    app = spark.sparkContext.applicationId
+    with _lock:
+        if not _writing.get(app):
+            _before[app] = spark.conf.get(_CLEAN, None)
+            spark.conf.set(_CLEAN, "true")
+        _writing[app] = _writing.get(app, 0) + 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writing[app] -= 1
+            if not _writing[app]:
+                was = _before.pop(app)
+                spark.conf.unset(_CLEAN) if was is None else spark.conf.set(_CLEAN, was)
+
+
 def stored(df: DataFrame) -> DataFrame:
+    """``df`` written and read back; a step that already is stored stays as it is."""
+    if df in _paths:
+        return df
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/graphaxis-step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _without_shuffle_files(spark):
+        df.write.parquet(path)
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
 
 
 def large(df: DataFrame) -> DataFrame:
@@ -54,15 +89,26 @@ def all_stored(*steps: DataFrame) -> list[DataFrame]:
         return list(pool.map(stored, steps))
 
 
+def discard(*steps: DataFrame) -> None:
+    """Delete stored steps that nothing reads any more."""
+    for step in steps:
+        if path := _paths.pop(step, None):
+            _delete(path)
+
+
 def release() -> None:
     """Delete every step written so far; whoever calls has taken the results that read them."""
-    for path, spark in list(_written.items()):
-        _written.pop(path, None)
-        try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session ended first: the folder's owner clears it
-            return
+    for path in list(_written):
+        _delete(path)
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path, None)
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session ended first: the folder's owner clears it
+        return
 
 
 atexit.register(release)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import pytest
@@ -35,3 +36,22 @@ def gathered(spark, monkeypatch, name: str) -> list[str]:
 @pytest.mark.parametrize("name", ["c2_partition_outcomes", "w1_a3_u6_binding_selections", "c4_c5_c9_demand_records", "j9_a2_scope_coverage"])
 def test_no_growing_side_is_broadcast(spark, monkeypatch, name):
     assert gathered(spark, monkeypatch, name) == []
+
+
+def test_steps_leave_no_files_behind(spark):
+    """A stored step is not written again, its shuffle files go with its write, and discard frees it."""
+    clean = store._CLEAN
+    spark.conf.set(clean, "false")
+    rows = spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count()
+    seen = []
+    write = type(rows.write).parquet
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(rows.write), "parquet", lambda self, path: seen.append(spark.conf.get(clean)) or write(self, path))
+        step = store.stored(rows)
+        again = store.all_stored(step)[0]
+    assert seen == ["true"] and again is step and step.count() == 7 and spark.conf.get(clean) == "false"
+    path = store._paths[step].removeprefix("file:")
+    assert os.path.isdir(path)
+    store.discard(step)
+    spark.conf.unset(clean)
+    assert not os.path.exists(path)
