@@ -33,7 +33,7 @@ def gathered(spark, monkeypatch, name: str) -> list[str]:
     return [line for p in plans for line in p.split("\n") if GROWING.search(line)]
 
 
-@pytest.mark.parametrize("name", ["c2_partition_outcomes", "w1_a3_u6_binding_selections", "c4_c5_c9_demand_records", "j9_a2_scope_coverage"])
+@pytest.mark.parametrize("name", ["c2_partition_outcomes", "w1_a3_u6_binding_selections", "c4_c5_c9_demand_records", "j9_a2_scope_coverage", "a8_report_groups", "c13_sarif_results", "c1_c8_dynamic_records", "a13_incomplete", "g4_explain", "g3_sarif_log"])
 def test_no_growing_side_is_broadcast(spark, monkeypatch, name):
     assert gathered(spark, monkeypatch, name) == []
 
