@@ -51,6 +51,9 @@ def scopes_of(parts: list[DataFrame]) -> DataFrame:
     for rank, part in enumerate(parts):
         one = part.select(F.col("scope"), F.lit(rank).alias("part"), F.col("ord").cast("long").alias("ord"))
         rows = one if rows is None else rows.unionByName(one)
+    # Hashed first: few scopes are left to be keyed and sorted.
+    known = F.coalesce(P.known_scope(F.col("scope")) & (F.col("scope.stage.kind") != "unknown"), F.lit(False))
+    rows = rows.groupBy("scope", "part", F.when(~known, F.col("ord")).alias("own")).agg(F.min("ord").alias("ord"))
     text = F.to_json(F.struct("part", "ord", "scope"))
     keyed = rows.withColumn("scope_id", F.coalesce(P.scope_key(F.col("scope")), F.concat(F.lit("unknown:"), text)))
     return keyed.groupBy("scope_id").agg(F.min_by("scope", F.struct("part", "ord")).alias("scope"), F.min(F.struct("part", "ord")).alias("seen"))

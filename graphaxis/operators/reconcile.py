@@ -7,7 +7,6 @@ each axis. Nothing is ever dropped by a limit: what is not known makes a record
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 from functools import cached_property
 
@@ -45,24 +44,65 @@ class Facts:
         return cls(**{f.name: given.get(f.name, spark.createDataFrame([], schemas.FACTS[f.name])) for f in fields(cls)})
 
 
+#: Facts that demand, scopes and bindings read.
+STORED = ("references", "demand_edges", "dynamic_edges", "candidates", "inventory", "gaps")
+
+
 class Records:
-    """The tables of records; each is planned when it is first asked for."""
+    """The tables of records and the steps they share; each is made when it is first asked for.
+
+    A report that reads no bindings resolves none, and one that reads no demand merges none.
+    """
+
+    def __init__(self, facts: Facts, max_finite: int = dynamics.MAX_FINITE_KEYS, resolved: bindings.Resolved | None = None):
+        self._given, self._max_finite, self._known = facts, max_finite, resolved
 
-    def __init__(self, demand: Callable[[], DataFrame], inventory: Callable[[], DataFrame], dynamic: Callable[[], DataFrame], scopes: DataFrame):
-        self._demand, self._inventory, self._dynamic = demand, inventory, dynamic
-        self.scopes = scopes
+    def _facts(self, *names: str) -> Facts:
+        """The facts, those named stored: each feeds several joins."""
+        kept = all_stored(*(getattr(self._given, n) for n in names))
+        self._given = replace(self._given, **dict(zip(names, kept)))
+        return self._given
+
+    @cached_property
+    def _dynamic(self) -> DataFrame:
+        f = self._facts("candidates", "dynamic_edges")
+        return stored(dynamics.validate(f.dynamic_edges, f.candidates, f.pattern_domains, self._max_finite))
+
+    @cached_property
+    def _wanted(self) -> DataFrame:
+        return stored(demands(self._facts("references", "demand_edges"), self._dynamic))
+
+    @cached_property
+    def _resolved(self) -> bindings.Resolved:
+        if self._known is not None:
+            return bindings.Resolved(*all_stored(self._known.partitions, self._known.selections))
+        return _settled(self._facts("candidates").candidates)
+
+    @cached_property
+    def scopes(self) -> DataFrame:
+        f = self._facts(*STORED)
+        listed = f.inventory.select(F.explode("declared_scopes").alias("scope"), F.struct("snapshot_ord", "ord").alias("at"))
+        scopes = coverage.scopes_of([
+            self._wanted.select("scope", F.col("o.ord").alias("ord")), self._dynamic.select("scope", "ord"), f.candidates.select("scope", "ord"),
+            f.target_statuses.select("scope", "ord"), listed.select("scope", F.col("at.ord").alias("ord")),
+        ])
+        return stored(coverage.scope_coverage(scopes, f.gaps))
 
     @cached_property
     def demand(self) -> DataFrame:
-        return self._demand()
+        f = self._facts(*STORED)
+        return demand_records(f, self._wanted, self._resolved, self._dynamic)
 
     @cached_property
     def inventory(self) -> DataFrame:
-        return self._inventory()
+        f = self._facts(*STORED)
+        return inventory_records(f, self._wanted, self._resolved, self._dynamic)
 
     @cached_property
     def dynamic(self) -> DataFrame:
-        return self._dynamic()
+        f = self._facts("candidates", "dynamic_edges", "gaps")
+        scopes = coverage.scopes_of([self._dynamic.select("scope", "ord")])
+        return dynamic_records(f, self._dynamic, stored(coverage.scope_coverage(scopes, f.gaps)))
 
     def union(self) -> DataFrame:
         """All records in one table."""
@@ -173,8 +213,10 @@ def _first_match(inventory: DataFrame) -> DataFrame:
     )
 
 
-def demand_records(facts: Facts, wanted: DataFrame, resolved: bindings.Resolved, dynamic: DataFrame, strong: DataFrame) -> DataFrame:
+def demand_records(facts: Facts, wanted: DataFrame, resolved: bindings.Resolved, dynamic: DataFrame) -> DataFrame:
     none = F.array().cast(NONE)
+    scopes = coverage.scopes_of([wanted.select("scope", F.col("o.ord").alias("ord"))])
+    strong = coverage.strong_scopes(scopes, facts.closed_scopes, facts.inputs, facts.inventory)
     effective = effective_for(wanted, effective_selections(resolved), facts.candidates)
     status = bindings.status_for(wanted, resolved.partitions)
     reach = facts.candidates.select(F.col("scope").alias("c_scope"), F.col("destination").alias("c_key"), F.col("resolution").alias("c_resolution"))
@@ -279,25 +321,13 @@ def dynamic_records(facts: Facts, dynamic: DataFrame, scopes: DataFrame) -> Data
     )
 
 
+def _settled(candidates: DataFrame) -> bindings.Resolved:
+    """The bindings of ``candidates``, stored before they meet anything."""
+    known = bindings.resolve(candidates)
+    partitions, selections = all_stored(known.partitions, known.selections)
+    discard(*known.steps)
+    return bindings.Resolved(partitions, selections)
+
+
 def reconcile(facts: Facts, max_finite: int = dynamics.MAX_FINITE_KEYS, resolved: bindings.Resolved | None = None) -> Records:
-    # Each of these feeds several joins below, and is stored before they meet.
-    candidates, inventory = all_stored(facts.candidates, facts.inventory)
-    facts = replace(facts, candidates=candidates, inventory=inventory)
-    known = resolved or bindings.resolve(candidates)
-    dynamic, partitions, selections = all_stored(dynamics.validate(facts.dynamic_edges, candidates, facts.pattern_domains, max_finite), known.partitions, known.selections)
-    if resolved is None:
-        discard(*known.steps)
-    resolved = bindings.Resolved(partitions, selections)
-    wanted = stored(demands(facts, dynamic))
-    listed = inventory.select(F.explode("declared_scopes").alias("scope"), F.struct("snapshot_ord", "ord").alias("at"))
-    scopes = coverage.scopes_of([
-        wanted.select("scope", F.col("o.ord").alias("ord")), dynamic.select("scope", "ord"), candidates.select("scope", "ord"),
-        facts.target_statuses.select("scope", "ord"), listed.select("scope", F.col("at.ord").alias("ord")),
-    ])
-    covered = stored(coverage.scope_coverage(scopes, facts.gaps))
-    return Records(
-        lambda: demand_records(facts, wanted, resolved, dynamic, coverage.strong_scopes(covered, facts.closed_scopes, facts.inputs, inventory)),
-        lambda: inventory_records(facts, wanted, resolved, dynamic),
-        lambda: dynamic_records(facts, dynamic, covered),
-        covered,
-    )
+    return Records(facts, max_finite, resolved)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphaxis.operators.reconcile import Facts, Records, reconcile
 from graphaxis.plans import schemas
-from graphaxis.plans.store import all_stored, large, stored
+from graphaxis.plans.store import large, stored
 
 AS_OF = "2026-07-12T00:00:00.000Z"
 
@@ -174,11 +174,11 @@ def kept(facts: DataFrame) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> Facts:
-    made = dict(
-        references=references(spark, sf_dir), demand_edges=demand_edges(spark, sf_dir), dynamic_edges=dynamic_edges(spark, sf_dir),
+    """The plans of all facts; records store those that they read."""
+    return Facts.of(
+        spark, references=references(spark, sf_dir), demand_edges=demand_edges(spark, sf_dir), dynamic_edges=dynamic_edges(spark, sf_dir),
         candidates=candidates(spark, sf_dir), inventory=inventory(spark, sf_dir), gaps=gaps(spark, sf_dir),
     )
-    return Facts.of(spark, **dict(zip(made, all_stored(*made.values()))))
 
 
 def records(spark: SparkSession, sf_dir: str) -> Records:

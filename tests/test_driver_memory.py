@@ -55,3 +55,18 @@ def test_steps_leave_no_files_behind(spark):
     store.discard(step)
     spark.conf.unset(clean)
     assert not os.path.exists(path)
+
+
+def made(monkeypatch) -> list[str]:
+    """Gets the names of the shared steps as they are planned."""
+    seen: list[str] = []
+    for module, name in ((queries.bindings, "resolve"), (queries.reconcile, "demands"), (queries.reconcile, "inventory_records"), (queries.reconcile, "demand_records")):
+        whole = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, name=name, whole=whole, **b: seen.append(name) or whole(*a, **b))
+    return seen
+
+
+def test_lookups_need_no_bindings_and_no_demand(spark, monkeypatch):
+    seen = made(monkeypatch)
+    assert queries.QUERIES["c1_c8_dynamic_records"](spark, SMALL).count() == 25
+    assert seen == []
