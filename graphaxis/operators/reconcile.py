@@ -93,6 +93,12 @@ class Records:
         f = self._facts(*STORED)
         return demand_records(f, self._wanted, self._resolved, self._dynamic)
 
+    @cached_property
+    def demand_coverage(self) -> DataFrame:
+        """The coverage of all demand, which hangs on its gaps alone."""
+        f = self._facts(*STORED)
+        return with_coverage(self._wanted.select("demand_id"), demand_gaps(f, self._wanted)).select("coverage")
+
     @cached_property
     def inventory(self) -> DataFrame:
         f = self._facts(*STORED)
@@ -213,6 +219,17 @@ def _first_match(inventory: DataFrame) -> DataFrame:
     )
 
 
+def demand_gaps(facts: Facts, wanted: DataFrame) -> DataFrame:
+    """J10 for demand: per ``demand_id`` its gaps."""
+    return coverage.gap_ids(coverage.affecting(wanted.select("demand_id", "scope", "key"), facts.gaps, "demand_id", True), "demand_id")
+
+
+def with_coverage(rows: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``gap_ids``, and ``coverage`` that a gap leaves incomplete."""
+    met = rows.join(large(gaps), "demand_id", "left").withColumn("gap_ids", F.coalesce("gap_ids", F.array().cast(NONE)))
+    return met.withColumn("coverage", F.when(F.size("gap_ids") > 0, "incomplete").otherwise("complete"))
+
+
 def demand_records(facts: Facts, wanted: DataFrame, resolved: bindings.Resolved, dynamic: DataFrame) -> DataFrame:
     none = F.array().cast(NONE)
     scopes = coverage.scopes_of([wanted.select("scope", F.col("o.ord").alias("ord"))])
@@ -222,15 +239,15 @@ def demand_records(facts: Facts, wanted: DataFrame, resolved: bindings.Resolved,
     reach = facts.candidates.select(F.col("scope").alias("c_scope"), F.col("destination").alias("c_key"), F.col("resolution").alias("c_resolution"))
     applicable = wanted.select("demand_id", "scope", "key").join(large(reach), _same_slot("scope", "key", "c_scope", "c_key")).where(P.scope_covers(F.col("c_scope"), F.col("scope")))
     applicable = applicable.groupBy("demand_id").agg(F.max((F.col("c_resolution") == "dynamic").cast("int")).alias("any_dynamic"))
-    gaps = coverage.gap_ids(coverage.affecting(wanted.select("demand_id", "scope", "key"), facts.gaps, "demand_id", True), "demand_id")
+    gaps = demand_gaps(facts, wanted)
     unsure = uncertain_ids(wanted, dynamic, "demand_id")
     # Stored before they meet, so that no plan holds all of them at once.
     effective, status, applicable, gaps, unsure, strong = all_stored(effective, status, applicable, gaps, unsure, strong)
     d = wanted
-    for side in (effective, status, applicable, gaps, unsure):
+    for side in (effective, status, applicable, unsure):
         d = d.join(large(side), "demand_id", "left")
-    d = d.withColumns({"gap_ids": F.coalesce("gap_ids", none), "uncertain": F.coalesce("uncertain", F.lit(False)), "n_effective": F.coalesce("n_effective", F.lit(0)), "candidate_ids": F.coalesce("candidate_ids", none)})
-    d = d.withColumn("coverage", F.when(F.size("gap_ids") > 0, "incomplete").otherwise("complete"))
+    d = with_coverage(d, gaps)
+    d = d.withColumns({"uncertain": F.coalesce("uncertain", F.lit(False)), "n_effective": F.coalesce("n_effective", F.lit(0)), "candidate_ids": F.coalesce("candidate_ids", none)})
     s, n = F.coalesce("status", F.lit("none")), F.col("n_effective")
     # C4
     binding = (

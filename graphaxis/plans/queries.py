@@ -357,7 +357,7 @@ SELECT bool_or(coverage = 'incomplete') AS incomplete FROM d
 def a13_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether any scope or demand leaves the whole incomplete."""
     r = derive.records(spark, sf_dir)
-    return report.incomplete(r.scopes, r.demand)
+    return report.incomplete(r.scopes, r.demand_coverage)
 
 
 # --- Sources -------------------------------------------------------------------------------

@@ -70,3 +70,9 @@ def test_lookups_need_no_bindings_and_no_demand(spark, monkeypatch):
     seen = made(monkeypatch)
     assert queries.QUERIES["c1_c8_dynamic_records"](spark, SMALL).count() == 25
     assert seen == []
+
+
+def test_incompleteness_needs_no_bindings(spark, monkeypatch):
+    seen = made(monkeypatch)
+    assert [r.incomplete for r in queries.QUERIES["a13_incomplete"](spark, SMALL).collect()] == [True]
+    assert seen == ["demands"]
