@@ -93,6 +93,13 @@ class Records:
         f = self._facts(*STORED)
         return demand_records(f, self._wanted, self._resolved, self._dynamic)
 
+    def demand_of(self, namespace: str, name: str) -> DataFrame:
+        """The demand records of one key: slots and demands hold one key each, so that no other meets them."""
+        f = self._facts(*STORED)
+        own = stored(f.candidates.where(_is("destination", namespace, name)))
+        resolved = self._resolved if self._known is not None else _settled(own)
+        return demand_records(replace(f, candidates=own), stored(demands(f, self._dynamic, (namespace, name))), resolved, self._dynamic)
+
     @cached_property
     def demand_coverage(self) -> DataFrame:
         """The coverage of all demand, which hangs on its gaps alone."""
@@ -126,8 +133,12 @@ def _unranked(rank: Column, ranks: dict[str, int]) -> Column:
     return back
 
 
-def demands(facts: Facts, dynamic: DataFrame) -> DataFrame:
-    """Demands merged by scope and key; opaque ones stay apart."""
+def _is(key: str, namespace: str, name: str) -> Column:
+    return (F.col(f"{key}.namespace") == namespace) & (F.col(f"{key}.name") == name)
+
+
+def demands(facts: Facts, dynamic: DataFrame, of: tuple[str, str] | None = None) -> DataFrame:
+    """Demands merged by scope and key (those of one key, if given); opaque ones stay apart."""
     refs = facts.references.where("demand in ('direct-read', 'eager-validation') and key.name is not null").select(F.col("id").alias("reference_id"), "key")
     direct = facts.demand_edges.join(large(refs), "reference_id").select(
         F.struct(F.lit(0).alias("part"), "ord", F.lit(0).alias("pos")).alias("o"), "scope", "key", F.lit("present").alias("demand"), "reference_id",
@@ -139,6 +150,8 @@ def demands(facts: Facts, dynamic: DataFrame) -> DataFrame:
         F.concat("kind", F.lit("-dynamic")).alias("demand"), "reference_id", F.lit("unknown-target").alias("target"),
     )
     rows = direct.unionByName(lookups)
+    if of is not None:  # demands that merge have one key
+        rows = rows.where(_is("key", *of))
     known = F.to_json(F.array(P.scope_key(F.col("scope")), F.col("key.namespace"), F.col("key.name")))
     rows = rows.withColumn("demand_id", F.when(P.scope_key(F.col("scope")).isNotNull(), known).otherwise(F.concat(F.lit("opaque:"), F.to_json("o"))))
     merged = rows.groupBy("demand_id").agg(

@@ -347,7 +347,7 @@ SELECT unit, phase, stage, binding, inventory, coverage, disposition FROM ({_DEM
 def g4_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The demand records of one key."""
     r = derive.records(spark, sf_dir)
-    return report.explain(r.demand, "env:PART_7").select(*flat_scope(), "binding", "inventory", "coverage", "disposition")
+    return report.explain(r.demand_of("env", "PART_7"), "env:PART_7").select(*flat_scope(), "binding", "inventory", "coverage", "disposition")
 
 
 @query(f"""

@@ -76,3 +76,14 @@ def test_incompleteness_needs_no_bindings(spark, monkeypatch):
     seen = made(monkeypatch)
     assert [r.incomplete for r in queries.QUERIES["a13_incomplete"](spark, SMALL).collect()] == [True]
     assert seen == ["demands"]
+
+
+def test_one_key_is_explained_by_its_own_facts(spark, monkeypatch):
+    seen = made(monkeypatch)
+    met = []
+    whole = queries.bindings.resolve
+    monkeypatch.setattr(queries.bindings, "resolve", lambda c: met.extend(c.select("destination.name").distinct().collect()) or whole(c))
+    records = queries.derive.records(spark, SMALL)
+    one = records.demand_of("env", "PART_70")
+    assert [r.name for r in met] == ["PART_70"] and sorted(seen) == ["demand_records", "demands", "resolve"]
+    assert sorted(map(str, one.collect())) == sorted(map(str, queries.report.explain(records.demand, "env:PART_70").collect())) != []
