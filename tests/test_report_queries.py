@@ -53,3 +53,20 @@ def test_shared_keys_query_calls_the_operator(spark, monkeypatch):
     nations = Counter(r.n_regionkey for r in derive.table(spark, sf_dir, "nation").collect())
     counts = Counter((region, part) for part, _, region in reads)
     assert called and got == {(f"REGION_{g}", f"PART_{p}") for (g, p), k in counts.items() if k == nations[g] >= 2}
+
+
+def test_no_row_holds_the_whole_log(spark):
+    """The lines in their order are one JSON document with all results, sorted; equal results stay apart."""
+    import json
+
+    from graphaxis.plans import report
+
+    given = [("SRI001", "b", "U1"), ("SRI005", "a\n", "U1"), ("SRI002", 'q"', "U2"), ("SRI002", "a", "U9"), ("SRI001", "b", "U1"), ("SRI001", "b", None)]
+    log = lambda rows: [r.text for r in report.sarif(spark.createDataFrame([(*r, "review") for r in rows], "rule_id string, subject string, unit string, disposition string")).orderBy("at").collect()]
+    lines = log(given)
+    assert len(lines) == len(given) + 2
+    whole = json.loads("\n".join(lines))
+    assert whole["version"] == "2.1.0" and whole["runs"][0]["tool"]["driver"]["name"] == report.TOOL and len(whole["runs"][0]["tool"]["driver"]["rules"]) == 5
+    got = [(r["ruleId"], r["level"], r["message"]["text"]) for r in whole["runs"][0]["results"]]
+    assert got == sorted((k, report.RULES[k][0], " ".join(x for x in said if x is not None)) for k, *said in given)
+    assert json.loads("\n".join(log([])))["runs"][0]["results"] == []
