@@ -73,6 +73,8 @@ def strong_scopes(scopes: DataFrame, closed: DataFrame, inputs: DataFrame, inven
     Relational division: of a covering closed scope every expected input must have a complete,
     covering observation, every authority a snapshot, and no allowed mechanism may reach the scope.
     """
+    if closed.isEmpty():  # the plan below is the largest of all, and would be made to find no scope
+        return scopes.select("scope_id").where(F.lit(False))
     c = closed.where("closed").withColumn("closed_id", F.xxhash64(F.to_json(F.struct("*")))).where(
         (F.size("approved_roots") > 0) & (F.size("binding_roots") > 0) & (F.size("expected_inputs") > 0) & (F.size("authorities") > 0) & (F.col("outside_root_imports") == "out-of-scope")
     )

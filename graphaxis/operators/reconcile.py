@@ -202,6 +202,8 @@ def uncertain_ids(rows: DataFrame, dynamic: DataFrame, id: str) -> DataFrame:
 
 def with_target(rows: DataFrame, statuses: DataFrame, fallback: Column) -> DataFrame:
     """The first declared status of an equivalent scope, else the fallback."""
+    if statuses.isEmpty():
+        return rows.withColumn("target_discovery", fallback)
     first = statuses.withColumn("t_key", P.scope_key(F.col("scope"))).where("t_key is not null").groupBy("t_key").agg(F.min_by("status", "ord").alias("declared"))
     joined = rows.join(first, P.scope_key(F.col("scope")) == F.col("t_key"), "left")
     return joined.withColumn("target_discovery", F.coalesce("declared", fallback)).drop("t_key", "declared")

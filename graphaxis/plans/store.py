@@ -16,10 +16,11 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
-#: Steps of one plan that are written at the same time.
-AT_ONCE = 6
+#: Steps of one plan that are written at the same time: each holds a plan, its code and its threads in the driver.
+AT_ONCE = 2
 _written: dict[str, SparkSession] = {}
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -66,6 +67,7 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/graphaxis-step-{uuid.uuid4().hex}"
     with _without_shuffle_files(spark):
         df.write.parquet(path)
+    _trim(spark)
     _written[path] = spark
     table = spark.read.schema(df.schema).parquet(path)
     _paths[table] = path
@@ -90,10 +92,39 @@ def all_stored(*steps: DataFrame) -> list[DataFrame]:
 
 
 def discard(*steps: DataFrame) -> None:
-    """Delete stored steps that nothing reads any more."""
-    for step in steps:
-        if path := _paths.pop(step, None):
-            _delete(path)
+    """Delete stored steps that nothing reads any more, and collect what their plans left in the driver."""
+    gone = [path for step in steps if (path := _paths.pop(step, None))]
+    sessions = {_written[path] for path in gone if path in _written}
+    for path in gone:
+        _delete(path)
+    for spark in sessions:
+        spark.sparkContext._jvm.System.gc()
+        _trim(spark)
+
+
+def _trim(spark: SparkSession) -> bool:
+    """Return to the system what planning and compiling have freed: the driver's allocator keeps it, hundreds of MB in a query.
+
+    False where the JVM or its allocator has no such command.
+    """
+    jvm = spark.sparkContext._jvm
+
+    def array(kind: str, *items: object) -> object:
+        made = spark.sparkContext._gateway.new_array(getattr(jvm.java.lang, kind), len(items))
+        for i, item in enumerate(items):
+            made[i] = item
+        return made
+
+    try:
+        kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+        known = jvm.java.lang.Class.forName("javax.management.MBeanServer")  # the server's own class is in a closed module
+        invoke = known.getMethod("invoke", array("Class", *map(jvm.java.lang.Class.forName, kinds)))
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        invoke.invoke(beans, array("Object", command, "systemTrimNativeHeap", array("Object"), array("String")))
+    except Py4JError:
+        return False
+    return True
 
 
 def release() -> None:
