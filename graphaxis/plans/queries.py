@@ -12,7 +12,7 @@ from graphaxis.functions import safety
 from graphaxis.operators import bindings, reconcile, workspace
 from graphaxis.operators.extract.facts import observations
 from graphaxis.plans import derive, report
-from graphaxis.plans.store import large
+from graphaxis.plans.store import large, settled
 from graphaxis.sources import discovery, manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -315,8 +315,10 @@ r AS (SELECT CASE WHEN inventory = 'missing' THEN 'SRI002' ELSE 'SRI003' END AS
 def c13_sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of all records, dynamic lookups included."""
     r = derive.records(spark, sf_dir)
-    found = report.sarif_results(r.demand, r.inventory, r.dynamic)
-    return found.groupBy("rule_id", "unit").agg(F.count(F.lit(1)).alias("n"))
+    # One kind after another, so that no plan of the driver holds all records and none is left to whoever reads the result.
+    kinds = (lambda: report.demand_results(r.demand), lambda: report.inventory_results(r.inventory), lambda: report.lookup_results(r.dynamic))
+    d, i, y = [settled(make().groupBy("rule_id", "unit").agg(F.count(F.lit(1)).alias("n"))) for make in kinds]
+    return d.unionByName(i).unionByName(y).groupBy("rule_id", "unit").agg(F.sum("n").alias("n"))
 
 
 @query(f"""{_SARIF} SELECT rule_id, CASE rule_id WHEN 'SRI005' THEN 'error' WHEN 'SRI001' THEN 'note' ELSE 'warning' END AS level, count(*) AS n FROM r GROUP BY ALL""")

@@ -98,8 +98,19 @@ def discard(*steps: DataFrame) -> None:
     for path in gone:
         _delete(path)
     for spark in sessions:
-        spark.sparkContext._jvm.System.gc()
-        _trim(spark)
+        _collect(spark)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` stored, and what its plan left in the driver collected before the next is made."""
+    step = stored(df)
+    _collect(df.sparkSession)
+    return step
+
+
+def _collect(spark: SparkSession) -> None:
+    spark.sparkContext._jvm.System.gc()
+    _trim(spark)
 
 
 def _trim(spark: SparkSession) -> bool:

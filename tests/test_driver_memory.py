@@ -139,3 +139,18 @@ def test_facts_that_are_absent_are_not_joined(spark):
     target = reconcile.with_target(scopes, f.target_statuses, F.lit("deployable"))
     assert strong.columns == ["scope_id"] and strong.count() == 0 and target.columns == ["scope_id", "scope", "target_discovery"]
     assert not any("Join" in df._jdf.queryExecution().optimizedPlan().toString() for df in (strong, target))
+
+
+def test_results_are_counted_one_kind_after_another(spark, monkeypatch):
+    """Each kind of record is made once the results of the one before are stored; what is returned joins nothing."""
+    steps = []
+    for name in ("demand_records", "inventory_records", "dynamic_records"):
+        whole = getattr(queries.reconcile, name)
+        monkeypatch.setattr(queries.reconcile, name, lambda *a, name=name, whole=whole: steps.append(name) or whole(*a))
+    monkeypatch.setattr(queries, "settled", lambda df: steps.append("stored") or store.settled(df), raising=False)
+    found = queries.QUERIES["c13_sarif_results"](spark, SMALL)
+    assert steps == ["demand_records", "stored", "inventory_records", "stored", "dynamic_records", "stored"]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    r = queries.derive.records(spark, SMALL)
+    whole = queries.report.sarif_results(r.demand, r.inventory, r.dynamic).groupBy("rule_id", "unit").agg(F.count(F.lit(1)).alias("n"))
+    assert found.dtypes == whole.dtypes and sorted(found.collect()) == sorted(whole.collect()) != []
